@@ -38,7 +38,7 @@ SHARD_BLOCKS = 4096
 ROUNDS = 24
 SEED = 20_240_501
 #: Documents per bucket of the running sums, about.
-BUCKET_ROWS = 4096
+BUCKET_ROWS = 1024
 
 
 def permuted(x: str, n: str, salt: str, inverse: bool = False) -> Column:
@@ -93,17 +93,18 @@ def lay_out(docs: DataFrame, buckets: int, weights: Sequence[float] = WEIGHTS, e
     offsets = groups.withColumn("__offset", F.coalesce(F.sum("__group_size").over(before), F.lit(0))).drop("__group_size")
     offsets = offsets.join(plan.drop("first_slot", "all_slots"), "skey")
     within = W.partitionBy("skey", "__bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
-    placed = bucketed.withColumn("__local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets, ["skey", "__bucket"])
+    placed = bucketed.withColumn("__local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets.hint("merge"), ["skey", "__bucket"])
     return placed.withColumn("start", (F.col("__offset") + F.col("__local")).cast("bigint")).drop("__bucket", "__local", "__offset"), plan
 
 
-def draw_slots(plan: DataFrame, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+def draw_slots(plan: DataFrame, tasks: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
     """One row per slot of the mix: skey, pass, block, and where it goes: shard, position.
 
-    Slots are made from runs of 1024, spread over the cluster before they are expanded.
+    Slots are made from runs of 1024, spread over ``tasks`` tasks before they are expanded: a run is a few
+    bytes, so that Spark would otherwise put all of them into one task.
     """
     runs = plan.filter("slots > 0").select("skey", "slots", "blocks", "first_slot", "all_slots", F.explode(F.expr("sequence(0L, (slots - 1) div 1024)")).alias("run"))
-    runs = runs.repartition("skey", "run")
+    runs = runs.repartition(tasks, "skey", "run")
     slots = runs.select("skey", "blocks", "first_slot", "all_slots", F.explode(F.expr("sequence(run * 1024, least(slots, (run + 1) * 1024) - 1)")).alias("j"))
     slots = slots.withColumn("pass", F.expr("j div blocks"))
     block = permuted("pmod(j, blocks)", "blocks", "skey, pass")
@@ -124,11 +125,17 @@ def bucket_count(docs: DataFrame) -> int:
     return max(1, -(-docs.count() // BUCKET_ROWS))
 
 
+def slot_tasks(docs: DataFrame, buckets: int) -> int:
+    return max(buckets, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
     """doc_id, size, source_size, target, taken, first_shard for each document of (doc_id, source, size)."""
-    placed, plan = lay_out(docs, bucket_count(docs), **settings)
-    uses = draw_slots(plan).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard"))
-    joined = pieces(placed).join(uses, ["skey", "block"], "left")
+    buckets = bucket_count(docs)
+    placed, plan = lay_out(docs, buckets, **settings)
+    uses = draw_slots(plan, slot_tasks(docs, buckets)).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard"))
+    # sizes before an explode say nothing here: without the hint Spark may take the uses for small and broadcast them
+    joined = pieces(placed).join(uses.hint("merge"), ["skey", "block"], "left")
     key = ("skey", "start", "doc_id", "size", "source_size", "target")  # documents with words differ in start within a source
     some = joined.groupBy(*key).agg(F.sum(F.coalesce(F.col("uses") * F.col("n_piece"), F.lit(0))).cast("bigint").alias("taken"), F.min("shard").alias("first_shard"))
     none = placed.filter("size = 0").select(*key, F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_shard"))
@@ -143,11 +150,12 @@ def mix_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     """
     columns = docs.columns
     rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col("doc_id"), F.col("source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("size"))
-    placed, plan = lay_out(rows, bucket_count(docs), **settings)
-    uses = draw_slots(plan).select("skey", "block", "pass")
-    taken = pieces(placed.drop("__row")).join(uses, ["skey", "block"])
+    buckets = bucket_count(docs)
+    placed, plan = lay_out(rows, buckets, **settings)
+    uses = draw_slots(plan, slot_tasks(docs, buckets)).select("skey", "block", "pass")
+    taken = pieces(placed.drop("__row")).join(uses.hint("merge"), ["skey", "block"])
     parts = taken.groupBy("skey", "start", "pass").agg(F.sum("n_piece").alias("__words"), F.sort_array(F.collect_list(F.struct("from_word", "n_piece"))).alias("__parts"))
-    joined = parts.join(placed.filter("size > 0").select("skey", "start", "size", "__row"), ["skey", "start"])
+    joined = parts.join(placed.filter("size > 0").select("skey", "start", "size", "__row").hint("merge"), ["skey", "start"])
     joined = joined.withColumn("__list", F.when(F.col("__words") < F.col("size"), words(F.col(f"__row.`{text}`"))))
     kept = F.when(F.col("__list").isNull(), F.col(f"__row.`{text}`")).otherwise(F.expr("array_join(flatten(transform(__parts, p -> slice(__list, int(p.from_word) + 1, int(p.n_piece)))), ' ')"))
     joined = joined.withColumn("__text", kept)
