@@ -95,6 +95,14 @@ def verdict(rules: Sequence[tuple[str, str, float | None, float | None]] = RULES
     return passed
 
 
+def oracle_rule(rule: tuple[str, str, float | None, float | None]) -> str:
+    """A rule's name where it fails, as DuckDB SQL."""
+    name, metric, least, most = rule
+    value = re.sub(r"(\w+) / (\w+)", r"(\1 / nullif(\2, 0))", metric)
+    tests = [f"{value} >= {least}"] * (least is not None) + [f"{value} <= {most}"] * (most is not None)
+    return f"case when coalesce({' and '.join(tests)}, false) then null else '{name}' end"
+
+
 def failed_rules(rules: Sequence[tuple[str, str, float | None, float | None]] = RULES) -> Column:
     """Names of the rules that a document fails, comma-joined."""
     return F.concat_ws(",", *(F.when(~verdict([rule]), F.lit(rule[0])) for rule in rules))
@@ -109,3 +117,22 @@ def filter_quality(df: DataFrame, text: str = "text", rules: Sequence[tuple[str,
     """The rows of ``df`` that are kept, with the columns of ``df`` only."""
     carried = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(f"`{text}`").alias("__value"))
     return quality_report(carried, "__value", rules).filter("kept").select("__row.*")
+
+
+#: DuckDB SQL for the query over documents.
+ORACLE = f"""
+with d as (select doc_id, coalesce(text, '') as text from documents),
+w as (select doc_id, text, regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+') as w,
+  list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as lines from d),
+g as (select doc_id, i, w[i:i + 2] as g from w, range(1, len(w) - 1) as r(i)),
+h as (select doc_id, i from g qualify count(*) over (partition by doc_id, g) >= 2),
+c as (select doc_id, count(distinct i + k) as n from h, range(0, 3) as r(k) group by doc_id),
+m as (select w.doc_id, len(w) as n_words, length(array_to_string(w, '')) as word_chars, length(regexp_replace(text, '[^#*$%&|<>]', '', 'g')) as n_symbols,
+  len(lines) as n_lines, len(lines) - len(list_distinct(lines)) as n_dup_lines, coalesce(c.n, 0) as n_repeat_words,
+  len(list_filter(lines, lambda x: left(ltrim(x, ' '), 1) in ('-', '*', '•'))) as n_bullet_lines,
+  len(list_filter(lines, lambda x: suffix(rtrim(x, ' '), '...') or suffix(rtrim(x, ' '), '…'))) as n_ellipsis_lines,
+  len(list_filter(w, lambda x: lower(x) in ({", ".join(f"'{w}'" for w in sorted(set(STOP_WORDS)))}))) as n_stop_words
+  from w left join c on w.doc_id = c.doc_id),
+f as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed, concat_ws(',', {", ".join(oracle_rule(r) for r in RULES)}) as failed from m)
+select doc_id, cast(n_words as bigint) as n_words, cast(word_chars as bigint) as word_chars, cast(n_symbols as bigint) as n_symbols, cast(n_dup_lines as bigint) as n_dup_lines,
+  cast(n_repeat_words as bigint) as n_repeat_words, base_failed, not base_failed and failed = '' as kept, failed from f"""

@@ -260,3 +260,14 @@ def round_trip(pages: DataFrame) -> DataFrame:
     """Write all pages as packages in the shared folder and read the records back."""
     folder = new_path(pages.sparkSession, "warc")
     return read_packages(write_packages(classify_payloads(pages), folder), folder)
+
+
+#: DuckDB SQL for the query over pages.
+ORACLE = f"""
+with p as (select page_id, encode(coalesce(html, '')) as payload from pages),
+q as (select page_id, octet_length(payload) as n, sha1(payload) as digest from p),
+r as (select page_id, n, digest, max(page_id) over (partition by n, digest) as last from q)
+select page_id, cast(n as bigint) as payload_bytes, digest as payload_digest,
+  case when n >= {REVISIT_BYTES} and last > page_id then 'revisit' else 'response' end as record_type,
+  case when n >= {REVISIT_BYTES} and last > page_id then last end as refers_to
+from r"""
