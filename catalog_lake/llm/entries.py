@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog_lake.llm import bpe, fingerprints, mixing, quality, secrets, sharding, warc
+from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, warc
 from catalog_lake.llm.common import table
 
 
@@ -23,6 +23,10 @@ def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality_report(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed")
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_pairs(chat.pair_with_repeats(table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -37,13 +41,17 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_report(table(spark, sf_dir, "documents"))
 
 
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_secret_scans, op4_quality_rules, op6_byte_bpe, op7_warc, op8_mixing, op10_sharding)}
+    return {f.__name__: f for f in (op1_fingerprints, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE}
