@@ -33,9 +33,9 @@ from catalog_lake.session import materialise
 
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
-TREES = 16
+TREES = 20
 DEPTH = 8
-RECALL = 0.9999
+RECALL = 0.999999
 #: Nodes of one prefix that are compared in one task.
 BLOCK = 1024
 #: Prefixes of up to so many nodes are compared pair by pair, larger ones by products of incidence matrices.
