@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, warc
+from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, suffix_dedup, warc
 from catalog_lake.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_report(table(spark, sf_dir, "documents"))
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_documents(table(spark, sf_dir, "documents"))
+
+
 def op3_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.scan_secrets(table(spark, sf_dir, "documents"))
 
@@ -50,7 +54,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
