@@ -114,9 +114,14 @@ def quality_report(df: DataFrame, text: str = "text", rules: Sequence[tuple[str,
 
 
 def filter_quality(df: DataFrame, text: str = "text", rules: Sequence[tuple[str, str, float | None, float | None]] = RULES) -> DataFrame:
-    """The rows of ``df`` that are kept, with the columns of ``df`` only."""
+    """The rows of ``df`` that are kept, with the columns of ``df`` only.
+
+    The verdict stays above its projections: pushed through them, the optimizer would write every measure
+    out again at each of its uses. A row number in the condition holds it there.
+    """
     carried = df.select(F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("__row"), F.col(f"`{text}`").alias("__value"))
-    return quality_report(carried, "__value", rules).filter("kept").select("__row.*")
+    report = quality_report(carried, "__value", rules).withColumn("__number", F.monotonically_increasing_id())
+    return report.filter("kept and __number >= 0").select("__row.*")
 
 
 #: DuckDB SQL for the query over documents.

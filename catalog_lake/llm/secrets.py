@@ -97,8 +97,13 @@ def ordinary_identifiers(text: str, spans: list[tuple[int, int, str]]) -> Iterat
 
 
 def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
-    """The table of log ratios from a bounded sample of (doc_id, text); counting runs in tasks."""
-    sample = docs.select("doc_id", "text").orderBy(F.xxhash64("doc_id", F.lit(SEED)), "doc_id").limit(sample_docs).repartition(16)
+    """The table of log ratios from a bounded sample of (doc_id, text); counting runs in tasks.
+
+    The sample's bound is the sample_docs-th least hash, so that no task receives the texts of others.
+    """
+    hashed = docs.select("doc_id", "text").withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(SEED)))
+    bound = hashed.select("__hash").orderBy("__hash").limit(sample_docs).agg(F.max("__hash")).first()[0]
+    sample = hashed.filter(F.col("__hash") <= F.lit(bound if bound is not None else 0)).select("text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
