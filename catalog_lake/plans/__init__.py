@@ -1,0 +1,6 @@
+"""Queries over the given tables: the operators applied to projections of them."""
+
+from catalog_lake.plans import merge_queries  # noqa: F401
+from catalog_lake.plans.registry import ORACLES, QUERIES
+
+__all__ = ["ORACLES", "QUERIES"]
