@@ -76,7 +76,7 @@ def doc_ranges(docs: DataFrame, ranges: int) -> Column:
     high, low = F.get(cut, segment - 1), F.get(cut, segment)
     inner = F.coalesce(F.floor((high - F.col("doc_id")) * F.lit(float(each)) / (high - low)), F.lit(0))
     place = segment.cast("bigint") * (each + 1) + F.greatest(F.lit(0), F.least(inner, F.lit(each)))
-    return F.coalesce(place, F.lit((len(edges) + 2) * (each + 1)).cast("bigint"))
+    return F.when(F.col("doc_id").isNull(), F.lit((len(edges) + 2) * (each + 1)).cast("bigint")).otherwise(place)
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:

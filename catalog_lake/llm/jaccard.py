@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -63,17 +64,29 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=4)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE and its inverse modulo 2**64 to the powers 0 to n - 1."""
-    inverse = pow(BASE, -1, 1 << 64)
     out = []
-    for base in (BASE, inverse):
+    for base in (BASE, pow(BASE, -1, 1 << 64)):
         p = np.full(n, base, dtype=np.uint64)
         p[:1] = 1
         out.append(np.multiply.accumulate(p))
     return out[0], out[1]
 
 
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least n powers; tables of the common lengths are kept."""
+    return _powers(1 << 18 if n <= 1 << 18 else n)
+
+
+@lru_cache(maxsize=4)
+def hash_factors(trees: int, depth: int) -> np.ndarray:
+    """Odd multipliers of the MinHash functions, one for each tree and level."""
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 63, size=(trees, DEPTH), dtype=np.uint64)
+    return (drawn * np.uint64(2) + np.uint64(1))[:, :depth]
+
+
 def word_hashes(raw: np.ndarray) -> np.ndarray:
     """Hashes of the maximal runs of bytes outside 0x20 and 0x09-0x0D, in order."""
     inside = ~((raw == 32) | ((raw >= 9) & (raw <= 13)))
@@ -81,7 +94,7 @@ def word_hashes(raw: np.ndarray) -> np.ndarray:
     starts, ends = edges[::2], edges[1::2]
     if not len(starts):
         return np.empty(0, dtype=np.uint64)
-    up, down = powers(len(raw) + 1)
+    up, down = powers(len(raw))
     sums = np.concatenate((np.zeros(1, dtype=np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * down[: len(raw)], dtype=np.uint64)))
     return mixed((sums[ends] - sums[starts]) * up[starts] + (ends - starts).astype(np.uint64))
 
@@ -100,12 +113,14 @@ def shingle_set(text: str, n: int = SHINGLE_WORDS) -> np.ndarray:
 
 def tree_labels(shingles: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
     """One label per tree: a hash of ``depth`` MinHashes. Tree t, level l always uses the same function."""
-    rng = np.random.default_rng(SEED)
-    factors = rng.integers(0, 1 << 63, size=(trees, DEPTH), dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+    factors = hash_factors(trees, depth)
+    least = np.full(trees * depth, MASK)
+    for first in range(0, len(shingles), 4096):  # long texts by parts
+        part = shingles[first : first + 4096]
+        np.minimum(least, (part[None, :] * factors.reshape(-1, 1)).min(axis=1), out=least)
     labels = np.zeros(trees, dtype=np.uint64)
-    for t in range(trees):
-        for level in range(depth):
-            labels[t] = mixed(labels[t : t + 1] * np.uint64(5) + (shingles * factors[t, level]).min())[0]
+    for level in least.reshape(trees, depth).T:
+        labels = mixed(labels * np.uint64(5) + level)
     return labels
 
 
@@ -272,7 +287,7 @@ def count_links(threshold: float):
 
 def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, class_id (least doc_id of its class) and n_links (other documents of at least the threshold) for every row."""
-    groups = max(groups_for(docs, "text"), 2)
+    groups = max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sigs = materialise(signatures(docs, prefix_depth(threshold)), "signatures")
     known = sigs.filter("doc_id is not null and words_key is not null")
     nodes = known.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
