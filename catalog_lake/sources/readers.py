@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from catalog_lake.functions.columns import parse_image_name
@@ -62,11 +63,22 @@ def read_offset_index(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(F.explode("v.tars").alias("tar_name", "m")).select("tar_name", F.explode("m").alias("member", "offset"))
 
 
-def read_file_inventory(spark: SparkSession, folder: str) -> DataFrame:
-    """(name, listing_id, image_id, ext, size, mtime) without reading contents; ids are NULL for other names."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
-    name = F.element_at(F.split("path", "/"), -1)
-    parsed = files.select(name.alias("name"), parse_image_name(name).alias("p"), F.col("length").alias("size"), F.col("modificationTime").alias("mtime"))
+def read_file_inventory(spark: SparkSession, *folders: str) -> DataFrame:
+    """(name, listing_id, image_id, ext, size, mtime) of all files below the folders, empty ones too; ids are NULL for other names.
+
+    Each folder is listed by a task of its own; contents aren't read. Spark's binary file source leaves out
+    empty files, and download markers are empty.
+    """
+
+    def walk(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for folder in frame["folder"]:
+                fs, base = pafs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
+                found = [f for f in fs.get_file_info(pafs.FileSelector(base, recursive=True)) if f.type == pafs.FileType.File]
+                yield pd.DataFrame({"name": [f.base_name for f in found], "size": np.array([f.size for f in found], dtype=np.int64), "mtime": pd.to_datetime([f.mtime_ns // 1000 for f in found], unit="us", utc=True)})
+
+    listed = spark.createDataFrame([(f,) for f in folders], "folder string").repartition(len(folders)).mapInPandas(walk, "name string, size bigint, mtime timestamp")
+    parsed = listed.withColumn("p", parse_image_name(F.col("name")))
     return parsed.select("name", "p.listing_id", "p.image_id", "p.ext", "size", "mtime")
 
 
