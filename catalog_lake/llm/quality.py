@@ -34,7 +34,7 @@ RULES: tuple[tuple[str, str, float | None, float | None], ...] = (
     ("stop_words", "n_stop_words / n_words", 0.02, None),
     ("bullet_lines", "n_bullet_lines / n_lines", None, 0.9),
     ("ellipsis_lines", "n_ellipsis_lines / n_lines", None, 0.3),
-    ("duplicate_lines", "n_dup_lines / n_lines", None, 0.3),
+    ("duplicate_lines", "n_dup_lines / n_lines", None, 0.5),
     ("repeated_words", "n_repeat_words / n_words", None, 0.5),
 )
 
