@@ -49,8 +49,13 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
 
 
 def read_image_index(spark: SparkSession, path: str, shard_rows: int = 500_000) -> DataFrame:
-    """(shard, shard_row, global_row, listing_id, image_id, hashes) of index files; the shard is the number in the file's name, 0 if none."""
-    files = spark.read.text(path, wholetext=True).select(F.coalesce(F.regexp_extract(F.input_file_name(), r"(\d+)\.json$", 1).try_cast("int"), F.lit(0)).alias("shard"), "value")
+    """(shard, shard_row, global_row, listing_id, image_id, hashes) of index files: one array of entries, or an entry a line.
+
+    The shard is the number in the file's name or its partition folder's, 0 if there is none.
+    """
+    shard = F.coalesce(*(F.regexp_extract(F.input_file_name(), form, 1).try_cast("int") for form in (r"(\d+)\.json$", r"/shard=(\d+)/")), F.lit(0))
+    whole = F.when(F.col("value").rlike(r"^\s*\[\s*(\[|\])"), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.rtrim(F.regexp_replace("value", r"\s+$", "")), "\n", ","), F.lit("]")))
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(shard.alias("shard"), whole.alias("value"))
     rows = files.select("shard", F.posexplode(F.from_json("value", "array<array<string>>")).alias("shard_row", "e"))
     field = lambda k: F.get("e", F.lit(k)).try_cast("bigint")
     row = F.col("shard_row").cast("bigint")
