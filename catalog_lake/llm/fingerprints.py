@@ -95,8 +95,8 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     copies = docs.join(heads.select(F.col("__head").alias("doc_id"), "__into"), "doc_id").select("doc_id", "text", F.col("__into").alias("__range"))
     # the range of NULL ids: its first row is the least text
     nulls = docs.filter("doc_id is null").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n")).filter("n > 0")
-    last = dealt.filter("doc_id is not null").agg(F.max("__range").alias("__last"))
-    copies = copies.unionByName(nulls.crossJoin(last).select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.coalesce("__last", F.lit(-1)).cast("bigint").alias("__range")))
+    last = dealt.agg(F.coalesce(F.max(F.when(F.col("doc_id").isNotNull(), F.col("__range"))), F.max("__range")).alias("__last"))
+    copies = copies.unionByName(nulls.crossJoin(last).select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("__last").cast("bigint").alias("__range")))
     rows = dealt.withColumn("__copy", F.lit(False)).unionByName(copies.withColumn("__copy", F.lit(True)))
     rows = with_sketch(rows, F.col("text"), "fp")
     window = W.partitionBy("__range").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "text")

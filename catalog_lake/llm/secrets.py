@@ -19,7 +19,6 @@ spans; a table without secrets trains on the random strings alone; empty tables
 from __future__ import annotations
 
 import hashlib
-import math
 import random
 import re
 from collections.abc import Iterable, Iterator

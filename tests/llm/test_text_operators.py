@@ -198,3 +198,8 @@ def test_the_word_cache_is_bounded(coder, monkeypatch):
     for k in range(20):
         coder.encode([" ".join(f"zq{k}x{i}" for i in range(8))])
     assert len(coder.young) + len(coder.old) < 200
+
+
+def test_fingerprints_of_null_ids_alone(spark):
+    led = fingerprints.with_next(spark.createDataFrame([(None, "b"), (None, "a")], "doc_id bigint, text string"), 3)
+    assert sorted((r["text"], r["next"]["text"]) for r in led.collect()) == [("a", "b"), ("b", "a")]
