@@ -30,32 +30,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 #: Characters of text that are encoded and decoded at a time.
-BATCH_CHARS = 4_000_000
+BATCH_CHARS = 2_000_000
 #: Words in each of the cache's two generations.
-CACHE_WORDS = 200_000
+CACHE_WORDS = 150_000
 LONG_WORD = 64
 
 STEP = """
-select w, i, coalesce(merged, tok), best is null from (
-  select w, i, tok, merged, best, lag(merged) over (partition by w order by i) as before from (
-    select w, i, tok, best, case when m = best and i = min(case when m = best then i end) over (partition by w) then m end as merged from (
-      select w, i, tok, m, min(m) over (partition by w) as best from (
-        select w, i, tok, (tok::bigint << 32) | lead(tok) over (partition by w order by i) as pair from t where not done) as p
-      left join merges using (pair)) as c) as d) as e
-where before is null"""
+select t.w, t.i, case when h.i = t.i then h.after_pair else t.nxt end, case when h.i = t.i then h.m else t.tok end, h.w is null
+from t left join (
+  select w, min(key) & 4294967295 as i, (min(key) >> 32)::int as m, arg_min(second, key) as second, arg_min(after_pair, key) as after_pair from (
+    select a.w, a.nxt as second, b.nxt as after_pair, (m::bigint << 32) | a.i as key
+    from t as a join t as b on b.i = a.nxt join merges on pair = (a.tok::bigint << 32) | b.tok where not a.done and not b.done) as pairs
+  group by w) as h on h.w = t.w
+where not t.done and (h.w is null or t.i <> h.second)"""
 
 #: As STEP, but with all disjoint occurrences of the least pair up to the first whose product, with a neighbour, makes a pair of lower rank.
 LONG_STEP = """
-select w, i, coalesce(merged, tok), best is null from (
-  select w, i, tok, merged, best, lag(merged) over (partition by w order by i) as before from (
-    select w, i, tok, best, case when taken and i <= coalesce(min(case when unsafe then i end) over (partition by w), i) then best end as merged from (
-      select g.w, g.i, g.tok, g.best, g.taken, g.taken and (coalesce(x.m < g.best, false) or coalesce(y.m < g.best, false)) as unsafe from (
-        select w, i, tok, best, nn, hit and k % 2 = 1 as taken, case when k > 1 then best else prv end as before_tok from (
+select w, i, nxt, coalesce(merged, tok), best is null from (
+  select w, i, nxt, tok, merged, best, lag(merged) over (partition by w order by i) as before from (
+    select w, i, nxt, tok, best, case when taken and i <= coalesce(min(case when unsafe then i end) over (partition by w), i) then best end as merged from (
+      select g.w, g.i, g.nxt, g.tok, g.best, g.taken, g.taken and (coalesce(x.m < g.best, false) or coalesce(y.m < g.best, false)) as unsafe from (
+        select w, i, nxt, tok, best, nn, hit and k % 2 = 1 as taken, case when k > 1 then best else prv end as before_tok from (
           select *, row_number() over (partition by w, hit, island order by i) as k from (
             select *, rn - row_number() over (partition by w, hit order by i) as island from (
               select *, coalesce(m = best, false) as hit from (
-                select w, i, tok, m, prv, nn, rn, min(m) over (partition by w) as best from (
-                  select w, i, tok, (tok::bigint << 32) | lead(tok) over o as pair, lag(tok) over o as prv, lead(tok, 2) over o as nn, row_number() over o as rn
+                select w, i, nxt, tok, m, prv, nn, rn, min(m) over (partition by w) as best from (
+                  select w, i, nxt, tok, (tok::bigint << 32) | lead(tok) over o as pair, lag(tok) over o as prv, lead(tok, 2) over o as nn, row_number() over o as rn
                   from t where not done window o as (partition by w order by i)) as p
                 left join merges using (pair)) as c) as d) as e) as f) as g
       left join merges as x on x.pair = (g.before_tok::bigint << 32) | g.best
@@ -63,8 +63,8 @@ select w, i, coalesce(merged, tok), best is null from (
 where before is null"""
 
 ENCODE = """
-with recursive t(w, i, tok, done) as (
-  select w, i, tok, false from start_rows
+with recursive t(w, i, nxt, tok, done) as (
+  select w, i, nxt, tok, false from start_rows
   union all
   {step}
 )
@@ -116,14 +116,10 @@ class Coder:
         if not words:
             return []
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
-        rows = pa.table(
-            {
-                "w": np.repeat(np.arange(len(words), dtype=np.int32), lengths),
-                "i": (np.arange(len(starts)) - starts).astype(np.int32),
-                "tok": self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)],
-            }
-        )
+        places = np.arange(lengths.sum(), dtype=np.int64)  # over all words; nxt is the place of the word's next row
+        following = places + 1
+        following[np.cumsum(lengths) - 1] = -1
+        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "i": places, "nxt": following, "tok": self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]})
         self.con.register("start_rows", rows)
         found = self.con.sql(ENCODE.format(step=step)).to_arrow_table().combine_chunks()
         self.con.unregister("start_rows")
