@@ -50,12 +50,19 @@ def assign_price_bucket(listings: DataFrame, units: DataFrame) -> DataFrame:
     """listings (taxonomy_id, price) plus unit; NULL outside all intervals.
 
     The intervals of a taxonomy travel with it as one sorted array, so that this is an equi join and a
-    search in the array, not a range join. The table of intervals is configuration: a row per interval.
+    binary search in the array, not a range join. The table of intervals is configuration: a row per interval.
     """
     arrays = units.groupBy("taxonomy_id").agg(F.sort_array(F.collect_list(F.struct(F.coalesce("min_price", F.lit(0.0)).alias("low"), F.coalesce("max_price", F.lit(float("inf"))).alias("high"), "unit"))).alias("__units"))
-    cents = F.round(F.col("price"), 2)
-    found = F.try_element_at(F.filter("__units", lambda u: (u["low"] <= cents) & (cents <= u["high"])), F.lit(1))
-    return listings.join(arrays, "taxonomy_id", "left").withColumn("unit", found["unit"]).drop("__units")
+    joined = listings.join(arrays, "taxonomy_id", "left").withColumn("__price", F.round(F.col("price"), 2))
+    # the last interval that begins at or under the price: [lo, hi] halves in each step
+    place = F.expr(
+        "aggregate(sequence(0, int(log2(size(__units) + 1))), named_struct('lo', 0, 'hi', size(__units) - 1), (a, k) -> if("
+        "a.lo < a.hi and __units[(a.lo + a.hi + 1) div 2].low <= __price, named_struct('lo', int((a.lo + a.hi + 1) div 2), 'hi', a.hi),"
+        "named_struct('lo', a.lo, 'hi', if(a.lo < a.hi, int((a.lo + a.hi + 1) div 2) - 1, a.hi))), a -> a.lo)"
+    )
+    found = joined.withColumn("__unit", F.get("__units", F.when(F.size("__units") > 0, place)))
+    inside = (F.col("__unit.low") <= F.col("__price")) & (F.col("__price") <= F.col("__unit.high"))
+    return found.withColumn("unit", F.when(inside, F.col("__unit.unit"))).drop("__units", "__unit", "__price")
 
 
 def bucket_counts(listings: DataFrame, units: DataFrame, cap: int = PAGING_CAP) -> DataFrame:
