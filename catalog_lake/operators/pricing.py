@@ -113,6 +113,9 @@ def grown_breaks(cents: np.ndarray, n: np.ndarray, target: int) -> list[float]:
             return [*breaks, UNBOUNDED]
         while upto(upper) - before(lower) >= target:
             upper *= 0.99
+        if upper < lower:  # a hundredth of the price holds the target: take the last price that stays under it
+            last = int(np.searchsorted(total, before(lower) + target, side="left")) - 1
+            upper = cents[last - 1] / 100 if last > 0 else lower
         split = max(round(upper, 2), round(lower, 2))  # one cent of progress at least
         breaks.append(split)
         lower = round(split + 0.01, 2)
