@@ -2,7 +2,8 @@
 
 1. Every text becomes its set of 64-bit hashes of five-word shingles (fewer words: one shingle), and a
    signature of TREES labels, each the MinHashes on one tree's path. Rows whose words are the same
-   sequence are copies: they collapse to one node by a combining aggregate.
+   sequence are copies: they collapse to one node by a combining aggregate. A node's shingles are made
+   from one text, that of its least doc_id, however often that row is repeated.
 2. The depth at which labels must match starts at DEPTH and is shortened until pairs at the threshold
    meet in some tree with the target recall; labels cut at that depth are the prefixes, and sorting by
    (tree, prefix) brings matches together.
@@ -14,8 +15,9 @@
 5. Roots are joined up by connected components; every document gets its class and number of links.
 
 Defined cases: texts without words (NULL, blank) have no links, each is its own class; a NULL doc_id has
-a NULL class and no links; rows of one doc_id are one node; copies count as links of each other; an
-empty table gives an empty result. Results don't depend on row order or partitioning.
+a NULL class and no links; every other row of the same or similar words counts as a link, whether or not
+it repeats a doc_id; texts of one doc_id that differ are compared each for itself; an empty table gives
+an empty result. Results don't depend on row order or partitioning.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from catalog_lake.llm.common import groups_for
 from catalog_lake.llm.graph import components
@@ -124,8 +126,12 @@ def tree_labels(shingles: np.ndarray, depth: int, trees: int = TREES) -> np.ndar
     return labels
 
 
+def text_key() -> Column:
+    return F.unhex(F.md5("text"))
+
+
 def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, words_key (16 bytes, of the sequence of words; NULL without words), labels."""
+    """doc_id, text_key (16 bytes, of the text), words_key (16 bytes, of the sequence of words; NULL without words), labels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -134,13 +140,13 @@ def signatures(docs: DataFrame, depth: int) -> DataFrame:
                 found = shingle_set(text or "")
                 keys.append(hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest() if len(found) else None)
                 labels.append(tree_labels(found, depth).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "words_key", "labels"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "text_key", "words_key", "labels"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, "doc_id bigint, words_key binary, labels array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", text_key().alias("text_key")).mapInArrow(run, "doc_id bigint, text_key binary, words_key binary, labels array<bigint>")
 
 
 def bucket_members(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (tree, prefix, i, j, own, node, copies, labels): the nodes of each pair of blocks (i <= j) of prefixes that two nodes or more share."""
+    """Rows (tree, prefix, i, j, own, node, and the other columns of nodes): the nodes of each pair of blocks (i <= j) of prefixes that two nodes or more share."""
     rows = nodes.select("node", F.posexplode("labels").alias("tree", "prefix"))
     shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = rows.join(shared.hint("merge"), ["tree", "prefix"])
@@ -260,8 +266,8 @@ def count_links(threshold: float):
         del key
         table, _ = sorted_table(table)
         nodes, place = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        copies = np.zeros(len(nodes), dtype=np.int64)
-        copies[place] = table.column("copies").to_numpy()
+        copies, docs = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
+        copies[place], docs[place] = table.column("copies").to_numpy(), table.column("doc").to_numpy()
         links, root = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
 
         def find(k: int) -> int:
@@ -279,8 +285,8 @@ def count_links(threshold: float):
                 if p != q:
                     root[max(p, q)] = min(p, q)
         hit = np.flatnonzero(links)
-        roots = np.array([nodes[find(k)] for k in hit.tolist()], dtype=np.int64)
-        return pa.table({"node": nodes[hit], "root": roots, "links": links[hit]})
+        roots = np.array([docs[find(k)] for k in hit.tolist()], dtype=np.int64)
+        return pa.table({"node": nodes[hit], "doc": docs[hit], "root": roots, "links": links[hit]})
 
     return run
 
@@ -290,11 +296,12 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     groups = max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     sigs = materialise(signatures(docs, prefix_depth(threshold)), "signatures")
     known = sigs.filter("doc_id is not null and words_key is not null")
-    nodes = known.groupBy("words_key").agg(F.min("doc_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
+    nodes = known.groupBy("words_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
+    nodes = nodes.select("words_key", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), "least.text_key", "copies", "labels")
     nodes = materialise(nodes, "nodes")
     part = F.pmod(F.xxhash64("tree", "prefix", "i", "j"), F.lit(groups)).cast("int")
-    members = bucket_members(nodes.select("node", "copies", "labels"))
-    schema = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, copies bigint, labels array<bigint>"
+    members = bucket_members(nodes.select("node", "doc", "copies", "labels"))
+    schema = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, doc bigint, copies bigint, labels array<bigint>"
     order = [x.split()[0] for x in schema.split(", ")]
     work = materialise(members.select(*order).groupBy(part.alias("part")).applyInArrow(with_work, schema), "members")
 
@@ -303,15 +310,16 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
             made = [shingle_set(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    needed = work.select("node").distinct()
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("node"), "text").join(needed.hint("merge"), "node")
+    needed = nodes.select("node", "doc", "text_key").join(work.select("node").distinct().hint("merge"), "node", "left_semi")
+    once = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_key().alias("text_key"), "text").groupBy("doc", "text_key").agg(F.min("text").alias("text"))
+    texts = once.join(needed.hint("merge"), ["doc", "text_key"]).select("node", "text")
     shingles = texts.mapInArrow(sets, "node bigint, shingles binary").filter("length(shingles) > 0")
     shipped = work.join(shingles.hint("merge"), "node").withColumn("part", part)
-    found = materialise(shipped.groupBy("part").applyInArrow(count_links(threshold), "node bigint, root bigint, links bigint"), "links")
-    classes = components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    found = materialise(shipped.groupBy("part").applyInArrow(count_links(threshold), "node bigint, doc bigint, root bigint, links bigint"), "links")
+    classes = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "doc")
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = nodes.select("words_key", "node", "copies").join(counts, "node", "left").join(classes, "node", "left")
-    facts = facts.select("words_key", F.coalesce("component", "node").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = nodes.select("words_key", "node", "doc", "copies").join(counts, "node", "left").join(classes, "doc", "left")
+    facts = facts.select("words_key", F.coalesce("component", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = sigs.select("doc_id", "words_key").join(facts.hint("merge"), "words_key", "left")
     there = F.col("doc_id").isNotNull()
     return joined.select("doc_id", F.when(there, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"))

@@ -148,6 +148,16 @@ def test_jaccard_edge_cases(spark):
     assert found.count((4, 3, 2)) == 2 and (3, 3, 2) in found
 
 
+def test_repeated_rows_with_a_near_copy(spark):
+    base = [f"w{i}" for i in range(60)]
+    text, near, other = " ".join(base), " ".join([*base[:-1], "x"]), " ".join(f"v{i}" for i in range(60))
+    found = rows(jaccard.jaccard_classes(spark.createDataFrame([(1, text), (1, text), (2, near)], "doc_id bigint, text string")))
+    assert found == [(1, 1, 2), (1, 1, 2), (2, 1, 2)]
+    listed = [(1, text)] * 40 + [(1, other), (2, near), (3, other + " x")]
+    found = rows(jaccard.jaccard_classes(spark.createDataFrame(listed, "doc_id bigint, text string").repartition(5)))
+    assert found == sorted([(1, 1, 40)] * 40 + [(1, 1, 1), (2, 1, 40), (3, 1, 1)], key=repr)
+
+
 def test_the_target_recall_sets_the_depth():
     assert jaccard.prefix_depth(0.8, 20, 8, 0.999999) == 3
     assert jaccard.prefix_depth(0.8, 1, 8, 0.999999) == 1
