@@ -1,12 +1,12 @@
-"""N-gram Jaccard join by a MinHash LSH forest, with exact verification.
+"""N-gram Jaccard join by banded MinHash of a fixed depth, with exact verification.
 
 1. Every text becomes its set of 64-bit hashes of five-word shingles (fewer words: one shingle), and a
    signature of TREES labels, each the MinHashes on one tree's path. Rows whose words are the same
    sequence are copies: they collapse to one node by a combining aggregate. A node's shingles are made
    from one text, that of its least doc_id, however often that row is repeated.
-2. The depth at which labels must match starts at DEPTH and is shortened until pairs at the threshold
-   meet in some tree with the target recall; labels cut at that depth are the prefixes, and sorting by
-   (tree, prefix) brings matches together.
+2. The depth of the labels is computed before any data is read: from DEPTH down, the first at which pairs
+   at the threshold meet in some tree with the target recall. Nodes of equal labels ("prefixes") in a tree
+   meet by an equality join; there is no trie, and no prefix is shortened by what it matched.
 3. A prefix that more than BLOCK nodes share is cut into blocks; nodes go to each pair of blocks, so that
    no task holds an unbounded group and no pair is lost.
 4. A pair is verified in the first tree where it meets only. Prefixes without a pair of their own ship
