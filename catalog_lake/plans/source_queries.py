@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_lake.functions.columns import FAILED_IMAGE
+from catalog_lake.numbering import number_rows
 from catalog_lake.operators import archive, ingest
 from catalog_lake.plans.fixtures import NOW
 from catalog_lake.plans.image_queries import MEMBERS, OFFSETS, config, members, packable
@@ -13,6 +14,9 @@ from catalog_lake.plans.registry import ORACLES, query
 from catalog_lake.session import new_path
 from catalog_lake.sources import readers
 
+#: Most entries of one file of legacy metadata.
+LEGACY_ENTRIES = 10_000
+
 
 @query("s1_read_payloads")
 def s1(t):
@@ -59,7 +63,8 @@ def s7(t):
     path = new_path(t._spark, "metadata")
     entry = F.when(F.col("error").isNotNull(), F.to_json(F.struct("error"))).when(F.col("image_id") == FAILED_IMAGE, F.col("image_id").cast("string")).otherwise(F.to_json(F.struct("shop_id", "image_id", "price")))
     value = F.when(F.col("error").isNotNull(), F.concat(F.lit('"'), F.col("error"), F.lit('"'))).otherwise(entry)
-    lines = t.legacy_meta.groupBy(F.pmod(F.xxhash64("listing_id"), F.lit(8)).alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("listing_id").cast("string"), F.lit('":'), value)), ","), F.lit("}")).alias("value"))
+    numbered = number_rows(t.legacy_meta, [F.col("listing_id")], "n")
+    lines = numbered.groupBy(F.expr(f"n div {LEGACY_ENTRIES}").alias("part")).agg(F.concat(F.lit("{"), F.array_join(F.collect_list(F.concat(F.lit('"'), F.col("listing_id").cast("string"), F.lit('":'), value)), ","), F.lit("}")).alias("value"))
     lines.write.partitionBy("part").text(path)
     return readers.read_legacy_metadata(t._spark, f"{path}/*").select("listing_id", "error", "shop_id", "image_id")
 

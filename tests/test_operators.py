@@ -3,6 +3,7 @@
 import json
 import os
 import tarfile
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from catalog_lake.functions import columns as C
 from catalog_lake.numbering import number_rows
 from catalog_lake.operators import archive, images, merge, migrate, pricing, quality, search, vectors, worklists
+from catalog_lake.plans import source_queries
 from catalog_lake.sources import readers
 from tests.conftest import rows
 
@@ -249,6 +251,15 @@ def test_inventories_agree_within_the_tolerance(spark):
 # ---- sources
 
 
+def test_legacy_metadata_files_are_bounded(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(source_queries, "new_path", lambda session, kind: str(tmp_path / kind))
+    meta = spark.range(90_000).selectExpr("id as listing_id", "if(id % 11 = 0, 'not found', null) as error", "id % 97 as shop_id", "id * 10 as image_id", "1.5D as price")
+    found = source_queries.s7(SimpleNamespace(_spark=spark, legacy_meta=meta))
+    assert found.count() == 90_000 and found.filter("error is not null").count() == 8_182
+    files = spark.read.text(str(tmp_path / "metadata" / "*"), wholetext=True)
+    assert max(len(json.loads(r["value"])) for r in files.collect()) == 10_000 and files.count() == 9
+
+
 def test_readers(spark, tmp_path):
     def put(name, value):
         os.makedirs(tmp_path / os.path.dirname(name), exist_ok=True)
