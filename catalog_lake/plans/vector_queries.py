@@ -65,7 +65,8 @@ def g3(t):
 @query("g4_embed_text")
 def g4(t):
     texts = t.listings.select("listing_id", F.col("title").alias("text"))
-    return vectors.embed_text(t.shard_index, texts, letters, "letters", 16).select("listing_id", "image_id", F.size("embedding").alias("dim"), "decoded")
+    index = t.line_order.filter("ord = 1").select("listing_id", "image_id")
+    return vectors.embed_text(index, texts, letters, "letters", 16).select("listing_id", "image_id", F.size("embedding").alias("dim"), "decoded")
 
 
 @query("g5_vector_hash")

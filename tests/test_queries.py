@@ -25,5 +25,10 @@ def test_query_equals_sql(spark, name):
     assert norm(plain(got)) == norm(plain(want))
 
 
+def test_text_embeddings_are_of_every_image(spark):
+    pairs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
+    assert QUERIES["g4_embed_text"](spark, SMALL).count() == pairs
+
+
 def test_names_are_consistent():
     assert set(ORACLES) <= set(QUERIES)
