@@ -1,20 +1,23 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside Spark partitions.
 
-Encoding: every match of the split pattern is a word. A batch's words that the worker hasn't met become
-token-position rows, one per byte; a recursive query joins neighbouring rows to the merge table and
-contracts each word's leftmost pair of least rank until no word has a pair left. Words that are tokens
-themselves need no merges. Encoded words are kept in a cache of bounded size, and a document's ids are
-its words' ids in order. Words of over LONG_WORD bytes go through a second recursive query that
-contracts, in one step, all occurrences of the least pair up to the first whose product starts a pair
-of lower rank: the same result in far fewer steps.
-
-Decoding: token-position rows of all documents of a batch join the vocabulary; an ordered aggregation
-puts each document's pieces together.
+Encoding: every match of the split pattern is a word. A window's words that the worker hasn't met become
+token-position rows, one per byte, each with the rank of its pair with the next row in the merge table. A
+recursive query contracts each word's leftmost pair of least rank until no word has a pair left; only the
+contracted row and the one before it join the merge table again. Where the least pair occurs again in a
+word, the step contracts the further occurrences, too, left to right, as long as contracting one by one
+would choose them next: up to the first whose product makes a pair of lower rank with a neighbour. That
+is one rule for words of any length. Words that are tokens themselves need no merges. Encoded words are
+kept in a cache of bounded size, and a document's ids are its words' ids in order.
+
+Decoding: token-position rows of the documents of a window join the vocabulary; an aggregation in order
+of position puts each document's pieces together.
 
 Scale: a map over partitions, no shuffle; the merge table depends on the vocabulary alone and is built
-once per Python worker from the rank file. Batches are cut at BATCH_CHARS characters, so that memory
-follows the longest text, not the partition. Defined cases: a NULL text is empty and has no tokens;
-empty tables give empty results; special tokens are ordinary text; text whose UTF-8 form isn't
+once per Python worker from the rank file. Windows are cut at WINDOW_CHARS characters, so that memory
+follows the longest text, not the partition; DuckDB gets MEMORY, or a fixed multiple of a longer word or
+text, and no folder to spill to. Defined cases: a NULL text is empty and has no tokens; rows that repeat,
+and NULL ids, are encoded each for itself; empty tables give empty results; other columns are not touched;
+special tokens are ordinary text; very long texts are windows of their own. Text whose UTF-8 form isn't
 reproducible (lone surrogates) can't occur in Spark strings.
 """
 
@@ -27,50 +30,60 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-#: Characters of text that are encoded and decoded at a time.
-BATCH_CHARS = 2_000_000
+#: Characters of text whose unseen words are encoded together.
+WINDOW_CHARS = 2_000_000
+#: Bytes of unseen words in one recursive query, and tokens in one decoding query; one word or text at least.
+QUERY_BYTES = 500_000
 #: Words in each of the cache's two generations.
 CACHE_WORDS = 150_000
-LONG_WORD = 64
-
-STEP = """
-select t.w, t.i, case when h.i = t.i then h.after_pair else t.nxt end, case when h.i = t.i then h.m else t.tok end, h.w is null
-from t left join (
-  select w, min(key) & 4294967295 as i, (min(key) >> 32)::int as m, arg_min(second, key) as second, arg_min(after_pair, key) as after_pair from (
-    select a.w, a.nxt as second, b.nxt as after_pair, (m::bigint << 32) | a.i as key
-    from t as a join t as b on b.i = a.nxt join merges on pair = (a.tok::bigint << 32) | b.tok where not a.done and not b.done) as pairs
-  group by w) as h on h.w = t.w
-where not t.done and (h.w is null or t.i <> h.second)"""
-
-#: As STEP, but with all disjoint occurrences of the least pair up to the first whose product, with a neighbour, makes a pair of lower rank.
-LONG_STEP = """
-select w, i, nxt, coalesce(merged, tok), best is null from (
-  select w, i, nxt, tok, merged, best, lag(merged) over (partition by w order by i) as before from (
-    select w, i, nxt, tok, best, case when taken and i <= coalesce(min(case when unsafe then i end) over (partition by w), i) then best end as merged from (
-      select g.w, g.i, g.nxt, g.tok, g.best, g.taken, g.taken and (coalesce(x.m < g.best, false) or coalesce(y.m < g.best, false)) as unsafe from (
-        select w, i, nxt, tok, best, nn, hit and k % 2 = 1 as taken, case when k > 1 then best else prv end as before_tok from (
-          select *, row_number() over (partition by w, hit, island order by i) as k from (
-            select *, rn - row_number() over (partition by w, hit order by i) as island from (
-              select *, coalesce(m = best, false) as hit from (
-                select w, i, nxt, tok, m, prv, nn, rn, min(m) over (partition by w) as best from (
-                  select w, i, nxt, tok, (tok::bigint << 32) | lead(tok) over o as pair, lag(tok) over o as prv, lead(tok, 2) over o as nn, row_number() over o as rn
-                  from t where not done window o as (partition by w order by i)) as p
-                left join merges using (pair)) as c) as d) as e) as f) as g
-      left join merges as x on x.pair = (g.before_tok::bigint << 32) | g.best
-      left join merges as y on y.pair = (g.best::bigint << 32) | g.nn) as h) as j) as k
-where before is null"""
+#: DuckDB's memory in MB; a longer word or text than QUERY_BYTES raises it in proportion.
+MEMORY = 96
 
+#: Rows of t: word, place, place and token of the next row, rank of the pair of the two. A word without a pair is done.
 ENCODE = """
-with recursive t(w, i, nxt, tok, done) as (
-  select w, i, nxt, tok, false from start_rows
-  union all
-  {step}
+with recursive t(w, i, nxt, tok, ntok, m, done) as (
+  select w, i, nxt, tok, ntok, m, false from start_rows left join merges on pair = (tok::bigint << 32) | ntok
+  union all (
+  with least as (
+    select w, min((m::bigint << 32) | i) as key, arg_min(nxt, (m::bigint << 32) | i) as second, max(((2147483647 - m)::bigint << 32) | i) & 4294967295 as final
+    from t where m is not null and not done group by w),
+  u as materialized (
+    select l.w, (l.key & 4294967295)::int as i, (l.key >> 32)::int as best, l.second, q.nxt as after, q.ntok as after_tok, l.key & 4294967295 <> l.final as again
+    from t as q join least as l on q.i = l.second),
+  once as (
+    select t.w, t.i, t.m, u.w is null as done, coalesce(t.i = u.i or t.nxt = u.i, false) as changed,
+      case when t.i = u.i then u.after else t.nxt end as nxt,
+      case when t.i = u.i then u.best else t.tok end as tok,
+      case when t.i = u.i then u.after_tok when t.nxt = u.i then u.best else t.ntok end as ntok
+    from t left join u on u.w = t.w where not t.done and (u.w is null or (not u.again and t.i <> u.second))),
+  words as materialized (select t.w, t.i, t.nxt, t.tok, t.ntok, t.m, v.best from t join (select w, best from u where again) as v on v.w = t.w where not t.done),
+  hits as (select *, coalesce(lag(nxt) over (partition by w order by i) = i, false) as follows from words where m = best),
+  runs as (select *, max(case when not follows then i end) over (partition by w order by i) as head from hits),
+  turns as (select *, row_number() over (partition by w, head order by i) as turn from runs),
+  around as (
+    select x.w, x.i, x.nxt, x.best, q.nxt as after, q.ntok as after_tok, case when coalesce(lag(q.nxt) over (partition by x.w order by x.i) = x.i, false) then x.best else p.tok end as before_tok
+    from turns as x join words as q on q.i = x.nxt left join words as p on p.nxt = x.i where x.turn % 2 = 1),
+  beside as materialized (select *, unnest([(before_tok::bigint << 32) | best, (best::bigint << 32) | after_tok]) as pair from around),
+  stops as (select w, min(i) as stop from merges join beside using (pair) where m < best group by w),
+  taken as materialized (select distinct w, i, nxt, best, after, after_tok from beside left join stops using (w) where i <= coalesce(stop, i)),
+  several as (
+    select x.w, x.i, x.m, false as done, a.i is not null or n.i is not null as changed,
+      case when a.i is not null then a.after else x.nxt end as nxt, coalesce(a.best, x.tok) as tok,
+      case when f.i is not null or n.i is not null then x.best when a.i is not null then a.after_tok else x.ntok end as ntok
+    from words as x left join taken as a on a.i = x.i left join taken as n on n.i = x.nxt and a.i is null left join taken as f on f.i = a.after left join taken as g on g.nxt = x.i
+    where g.i is null),
+  s as (select * from once union all by name select * from several)
+  select s.w, s.i, s.nxt, s.tok, s.ntok, case when s.changed then merges.m else s.m end, s.done
+  from s left join merges on merges.pair = case when s.changed then (s.tok::bigint << 32) | s.ntok end
+  )
 )
 select w, list(tok order by i) as ids from t where done group by w"""
 
-DECODE = "select doc, string_agg(piece, '' order by pos) as text from tokens join vocab using (id) group by doc"
+#: One thread aggregates rows in the order in which they come.
+DECODE = "select doc, string_agg(piece, '') as text from (select doc, piece from tokens join vocab using (id) order by doc, pos) group by doc"
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -98,30 +111,35 @@ class Coder:
         import duckdb
         import regex
 
-        self.ranks, self.split = read_ranks(path), regex.compile(pattern).findall
-        self.ids = {token: np.uint32(rank).tobytes() for token, rank in self.ranks.items()}
-        self.byte_ids = np.array([self.ranks[bytes([b])] for b in range(256)], dtype=np.int32)
-        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": "400MB"})
+        ranks = read_ranks(path)
+        self.split = regex.compile(pattern).findall
+        self.ids = {token: np.uint32(rank).tobytes() for token, rank in ranks.items()}
+        self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
+        self.con.execute("set disabled_optimizers = 'join_order,build_side_probe_side'")  # tables of a step are built on, not the merge table
         # bytes are carried as the code points of the same number
-        vocab = pa.table({"id": np.array(list(self.ranks.values()), dtype=np.int32), "piece": pa.array([t.decode("latin-1") for t in self.ranks], pa.string())})
-        for name, table in (("merges", merge_pairs(self.ranks)), ("vocab", vocab)):
+        vocab = pa.table({"id": np.array(list(ranks.values()), dtype=np.int32), "piece": pa.array([t.decode("latin-1") for t in ranks], pa.string())})
+        for name, table in (("merges", merge_pairs(ranks)), ("vocab", vocab)):
             self.con.register("given", table)
             self.con.execute(f"create table {name} as select * from given")
             self.con.unregister("given")
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
 
-    def _contract(self, words: list[bytes], step: str) -> list[bytes]:
+    def _room_for(self, rows: int) -> None:
+        self.con.execute(f"set memory_limit = '{max(MEMORY, MEMORY * 4 * rows // QUERY_BYTES)}MB'")
+
+    def _contract(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
-        if not words:
-            return []
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
-        places = np.arange(lengths.sum(), dtype=np.int64)  # over all words; nxt is the place of the word's next row
-        following = places + 1
-        following[np.cumsum(lengths) - 1] = -1
-        rows = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "i": places, "nxt": following, "tok": self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]})
-        self.con.register("start_rows", rows)
-        found = self.con.sql(ENCODE.format(step=step)).to_arrow_table().combine_chunks()
+        last = np.zeros(int(lengths.sum()), dtype=bool)
+        self._room_for(len(last) if len(words) == 1 else 0)
+        last[np.cumsum(lengths) - 1] = True
+        places = np.arange(len(last), dtype=np.int32)  # over all words
+        tokens = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
+        following = {"nxt": pa.array(places + 1, mask=last), "ntok": pa.array(np.roll(tokens, -1), mask=last)}
+        self.con.register("start_rows", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "i": places, "tok": tokens} | following))
+        found = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
         self.con.unregister("start_rows")
         lists = found.column("ids").combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
@@ -134,27 +152,29 @@ class Coder:
         """Put the ids of all ``words`` into the young generation."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        pending: dict[bool, list[str]] = {False: [], True: []}
-        for word in words:
-            if word in self.young:
-                continue
+        unseen, raws = [], []
+        for word in words.difference(self.young):
             raw = word.encode()
             known = self.old.get(word) or self.ids.get(raw)
             if known is not None:
                 self.young[word] = known
             else:
-                pending[len(raw) > LONG_WORD].append(word)
-        for long, step in ((False, STEP), (True, LONG_STEP)):
-            self.young.update(zip(pending[long], self._contract([w.encode() for w in pending[long]], step), strict=True))
+                unseen.append(word), raws.append(raw)
+        for part in runs_of(list(map(len, raws)), QUERY_BYTES):
+            self.young.update(zip(unseen[part], self._contract(raws[part]), strict=True))
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def encode(self, texts: Iterator[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""
         split = [self.split(text) for text in texts]
         self._learn(set().union(*split))
         return [b"".join(map(self.young.__getitem__, words)) for words in split]
 
-    def decode(self, ids: list[bytes]) -> list[bytes]:
+    def decode(self, ids: list[bytes]) -> Iterator[bytes]:
         """Bytes of each list of ids."""
+        for part in runs_of([len(x) // 4 for x in ids], QUERY_BYTES):
+            yield from self._decode(ids[part])
+
+    def _decode(self, ids: list[bytes]) -> list[bytes]:
         lengths = np.fromiter((len(x) // 4 for x in ids), dtype=np.int64, count=len(ids))
         starts = np.repeat(np.cumsum(lengths) - lengths, lengths)
         rows = pa.table(
@@ -164,6 +184,7 @@ class Coder:
                 "id": np.frombuffer(b"".join(ids), dtype="<u4").astype(np.int32),
             }
         )
+        self._room_for(len(rows) if len(ids) == 1 else 0)
         self.con.register("tokens", rows)
         found = self.con.sql(DECODE).to_arrow_table()
         self.con.unregister("tokens")
@@ -179,16 +200,16 @@ def coder(path: str, pattern: str) -> Coder:
     return Coder(path, pattern)
 
 
-def text_groups(texts: list[str], most: int = BATCH_CHARS) -> Iterator[slice]:
-    """Runs of texts of about ``most`` characters together, one text at least."""
-    begin, size = 0, 0
-    for k, text in enumerate(texts):
-        if size and size + len(text) > most:
+def runs_of(sizes: list[int], most: int) -> Iterator[slice]:
+    """Runs of items of at most ``most`` together, one item at least."""
+    begin, total = 0, 0
+    for k, size in enumerate(sizes):
+        if k > begin and total + size > most:
             yield slice(begin, k)
-            begin, size = k, 0
-        size += len(text)
-    if begin < len(texts):
-        yield slice(begin, len(texts))
+            begin, total = k, 0
+        total += size
+    if begin < len(sizes):
+        yield slice(begin, len(sizes))
 
 
 def code_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False) -> DataFrame:
@@ -197,15 +218,15 @@ def code_documents(docs: DataFrame, path: str, pattern: str, ids: bool = False)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = coder(path, pattern)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for part in text_groups(texts):
-                encoded = own.encode(texts[part])
-                decoded = own.decode(encoded)
+            texts = batch.column("text")
+            for part in runs_of(pc.fill_null(pc.binary_length(texts), 0).to_pylist(), WINDOW_CHARS):
+                n = part.stop - part.start
+                encoded = own.encode(t or "" for t in texts.slice(part.start, n).to_pylist())
                 columns = [
-                    batch.column("doc_id").slice(part.start, part.stop - part.start),
+                    batch.column("doc_id").slice(part.start, n),
                     pa.array([len(x) // 4 for x in encoded], pa.int64()),
                     pa.array([hashlib.sha256(x).hexdigest() for x in encoded], pa.string()),
-                    pa.array([hashlib.sha256(x).hexdigest() for x in decoded], pa.string()),
+                    pa.array([hashlib.sha256(x).hexdigest() for x in own.decode(encoded)], pa.string()),
                 ]
                 names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
                 if ids:
