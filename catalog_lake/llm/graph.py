@@ -30,7 +30,7 @@ def _small_star(links: DataFrame) -> DataFrame:
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, component: its component's least node) for the nodes of ``links`` (a, b), bigint; nodes without links aren't listed."""
+    """(node, component: its component's least node) for the nodes of ``links`` (a, b), of any one type that can be ordered; nodes without links aren't listed."""
     oriented = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     state, mark = materialise(oriented, "links"), None
     for _ in range(MOST_ROUNDS):

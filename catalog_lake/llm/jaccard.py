@@ -1,23 +1,28 @@
-"""N-gram Jaccard join by banded MinHash of a fixed depth, with exact verification.
+"""N-gram Jaccard join by a MinHash LSH forest with exact verification.
 
 1. Every text becomes its set of 64-bit hashes of five-word shingles (fewer words: one shingle), and a
-   signature of TREES labels, each the MinHashes on one tree's path. Rows whose words are the same
-   sequence are copies: they collapse to one node by a combining aggregate. A node's shingles are made
-   from one text, that of its least doc_id, however often that row is repeated.
-2. The depth of the labels is computed before any data is read: from DEPTH down, the first at which pairs
-   at the threshold meet in some tree with the target recall. Nodes of equal labels ("prefixes") in a tree
-   meet by an equality join; there is no trie, and no prefix is shortened by what it matched.
+   signature: TREES sequences of DEPTH MinHashes. Rows whose words are the same sequence are copies: they
+   collapse to one node by a combining aggregate, whatever their doc_ids. A node's shingles are made from
+   one text, that of its least doc_id, however often that row is repeated.
+2. A tree's trie holds the nodes by their sequences: a trie's node at depth d is a prefix of d MinHashes,
+   and its members are the rows of one (tree, prefix), sorted. Matching starts at full depth. Pairs that
+   meet there are verified exactly; each verified similarity s tells how probable it was to meet by then
+   (1 - (1 - s^d)^TREES), so that the links found give an unbiased estimate of those missed. While the
+   estimated recall is under the target, the prefixes are shortened by one level and only prefixes with
+   two or more different children are matched again. At the depth where pairs of exactly the threshold
+   meet with the target recall the estimate can't fall short, so that shortening ends there at the latest.
 3. A prefix that more than BLOCK nodes share is cut into blocks; nodes go to each pair of blocks, so that
    no task holds an unbounded group and no pair is lost.
-4. A pair is verified in the first tree where it meets only. Prefixes without a pair of their own ship
-   nothing; for the rest, shingle sets are compared exactly inside the task. Pairs aren't rows: a task
-   returns each node's number of links and its root in the task's links.
+4. A pair is verified where it meets first (deepest prefix, then least tree) only. Rows without a pair of
+   their own ship nothing; for the rest, shingle sets are compared exactly inside the task. Pairs aren't
+   rows: a task returns each node's number of links and its root in the task's links.
 5. Roots are joined up by connected components; every document gets its class and number of links.
 
 Defined cases: texts without words (NULL, blank) have no links, each is its own class; a NULL doc_id has
 a NULL class and no links; every other row of the same or similar words counts as a link, whether or not
-it repeats a doc_id; texts of one doc_id that differ are compared each for itself; an empty table gives
-an empty result. Results don't depend on row order or partitioning.
+it repeats a doc_id; texts of one doc_id that differ are compared each for itself; very long texts are
+hashed whole, by parts; other columns of the input, whatever their names, are not touched; an empty table
+gives an empty result. Results don't depend on row order or partitioning.
 """
 
 from __future__ import annotations
@@ -37,12 +42,10 @@ from catalog_lake.session import materialise
 SHINGLE_WORDS = 5
 THRESHOLD = 0.8
 TREES = 20
-DEPTH = 8
+DEPTH = 5
 RECALL = 0.999999
-#: Nodes of one prefix that are compared in one task.
-BLOCK = 1024
-#: Prefixes of up to so many nodes are compared pair by pair, larger ones by products of incidence matrices.
-SMALL = 32
+#: Nodes of one block of a prefix; two blocks are compared in one task.
+BLOCK = 512
 SEED = 11
 
 MASK = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -85,8 +88,8 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 @lru_cache(maxsize=4)
 def hash_factors(trees: int, depth: int) -> np.ndarray:
     """Odd multipliers of the MinHash functions, one for each tree and level."""
-    drawn = np.random.default_rng(SEED).integers(0, 1 << 63, size=(trees, DEPTH), dtype=np.uint64)
-    return (drawn * np.uint64(2) + np.uint64(1))[:, :depth]
+    drawn = np.random.default_rng(SEED).integers(0, 1 << 63, size=(trees, depth), dtype=np.uint64)
+    return drawn * np.uint64(2) + np.uint64(1)
 
 
 def word_hashes(raw: np.ndarray) -> np.ndarray:
@@ -113,47 +116,64 @@ def shingle_set(text: str, n: int = SHINGLE_WORDS) -> np.ndarray:
     return np.unique(total)
 
 
-def tree_labels(shingles: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
-    """One label per tree: a hash of ``depth`` MinHashes. Tree t, level l always uses the same function."""
-    factors = hash_factors(trees, depth)
+def signature(shingles: np.ndarray, depth: int = DEPTH, trees: int = TREES) -> np.ndarray:
+    """The upper halves of ``depth`` MinHashes for each tree, tree by tree."""
+    factors = hash_factors(trees, depth).reshape(-1, 1)
     least = np.full(trees * depth, MASK)
     for first in range(0, len(shingles), 4096):  # long texts by parts
-        part = shingles[first : first + 4096]
-        np.minimum(least, (part[None, :] * factors.reshape(-1, 1)).min(axis=1), out=least)
-    labels = np.zeros(trees, dtype=np.uint64)
-    for level in least.reshape(trees, depth).T:
-        labels = mixed(labels * np.uint64(5) + level)
-    return labels
+        np.minimum(least, (shingles[None, first : first + 4096] * factors).min(axis=1), out=least)
+    return (least >> np.uint64(32)).astype(np.uint32).view(np.int32)
 
 
 def text_key() -> Column:
     return F.unhex(F.md5("text"))
 
 
-def signatures(docs: DataFrame, depth: int) -> DataFrame:
-    """doc_id, text_key (16 bytes, of the text), words_key (16 bytes, of the sequence of words; NULL without words), labels."""
+def signatures(docs: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """doc_id, text_key (16 bytes, of the text), words_key (16 bytes, of the sequence of words; NULL without words), signature."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, labels = [], []
+            keys, made = [], []
             for text in batch.column("text").to_pylist():
                 found = shingle_set(text or "")
                 keys.append(hashlib.blake2b(b" ".join(text.encode().split()), digest_size=16).digest() if len(found) else None)
-                labels.append(tree_labels(found, depth).view(np.int64) if len(found) else None)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(labels, pa.list_(pa.int64()))], ["doc_id", "text_key", "words_key", "labels"])
+                made.append(signature(found, depth) if len(found) else None)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_key"), pa.array(keys, pa.binary()), pa.array(made, pa.list_(pa.int32()))], ["doc_id", "text_key", "words_key", "signature"])
 
-    return docs.select(F.col("doc_id").cast("bigint"), "text", text_key().alias("text_key")).mapInArrow(run, "doc_id bigint, text_key binary, words_key binary, labels array<bigint>")
+    return docs.select(F.col("doc_id").cast("bigint"), "text", text_key().alias("text_key")).mapInArrow(run, "doc_id bigint, text_key binary, words_key binary, signature array<int>")
 
 
-def bucket_members(nodes: DataFrame, block: int = BLOCK) -> DataFrame:
-    """Rows (tree, prefix, i, j, own, node, and the other columns of nodes): the nodes of each pair of blocks (i <= j) of prefixes that two nodes or more share."""
-    rows = nodes.select("node", F.posexplode("labels").alias("tree", "prefix"))
-    shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
+def prefixes(depth: int, full: int = DEPTH, trees: int = TREES) -> Column:
+    """The prefix of ``depth`` MinHashes in each tree, as a 64-bit hash."""
+    return F.expr(f"transform(sequence(0, {trees - 1}), t -> xxhash64(t, slice(signature, t * {full} + 1, {depth})))")
+
+
+def met_before(depth: int, full: int = DEPTH, trees: int = TREES) -> Column:
+    """Per tree, 32 bits of what two rows of ``tree`` share if they met before: prefixes of ``depth`` in lower trees, of ``depth`` + 1 in the others (nothing at full depth)."""
+    short = "cast(shiftright(shorter[t], 32) as int)"
+    long = f"cast(shiftright(xxhash64(t, slice(signature, t * {full} + 1, {depth + 1})), 32) as int)" if depth < full else "cast(null as int)"
+    return F.expr(f"filter(transform(sequence(0, {trees - 1}), t -> if(t < tree, {short}, {long})), x -> x is not null)")
+
+
+def prefix_members(nodes: DataFrame, depth: int, full: int = DEPTH, block: int | None = None) -> DataFrame:
+    """Rows (tree, prefix, i, j, own, node, doc, copies, before): the nodes of each pair of blocks (i <= j) of the prefixes that hold pairs which didn't meet at greater depth in this tree."""
+    block = block or BLOCK
+    if depth < full:
+        both = F.arrays_zip(prefixes(depth, full).alias("prefix"), prefixes(depth + 1, full).alias("child"))
+        rows = nodes.select("node", F.posexplode(both).alias("tree", "x")).select("node", "tree", "x.prefix", "x.child")
+        shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n"), F.min("child").alias("first"), F.max("child").alias("last")).filter("first <> last").drop("first", "last")
+        rows = rows.drop("child")
+    else:
+        rows = nodes.select("node", F.posexplode(prefixes(depth, full)).alias("tree", "prefix"))
+        shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = rows.join(shared.hint("merge"), ["tree", "prefix"])
     met = met.withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")))
     met = met.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     met = met.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
-    return met.join(nodes.hint("merge"), "node")
+    known = nodes.select("node", "doc", "copies", "signature", prefixes(depth, full).alias("shorter"))
+    joined = met.join(known.hint("merge"), "node")
+    return joined.select("tree", "prefix", "i", "j", "own", "node", "doc", "copies", met_before(depth, full).alias("before"))
 
 
 def group_bounds(*columns: np.ndarray) -> np.ndarray:
@@ -165,13 +185,12 @@ def group_bounds(*columns: np.ndarray) -> np.ndarray:
     return np.append(np.flatnonzero(change), len(change))
 
 
-def new_pairs(labels: np.ndarray, tree: int, own: np.ndarray, across: bool) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of a prefix's rows that meet in no earlier tree; ``across`` blocks only if the blocks differ."""
-    a, b = np.triu_indices(len(labels), 1)
-    fresh = np.ones(len(a), dtype=bool) if not across else own[a] != own[b]
-    for t in range(tree):
-        fresh &= labels[a, t] != labels[b, t]
-    return a[fresh], b[fresh]
+def fresh_pairs(before: np.ndarray, own: np.ndarray, across: bool) -> np.ndarray:
+    """Upper matrix of the pairs of a prefix's rows that haven't met before; of different blocks only if ``across``."""
+    met = own[:, None] == own[None, :] if across else np.zeros((len(own), len(own)), dtype=bool)
+    for column in before.T:
+        met |= column[:, None] == column[None, :]
+    return np.triu(~met, 1)
 
 
 def sorted_table(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
@@ -179,21 +198,23 @@ def sorted_table(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     return table, group_bounds(*(table.column(c).to_numpy() for c in ("tree", "prefix", "i", "j")))
 
 
-def label_matrix(table: pa.Table) -> np.ndarray:
-    column = table.column("labels").combine_chunks()
-    return column.flatten().to_numpy(zero_copy_only=False).reshape(len(table), -1)
+def by_prefix(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[int, int, np.ndarray]]:
+    """Begin, end and fresh pairs of each pair of blocks of a sorted table."""
+    lists = table.column("before").combine_chunks()
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
+    own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+    for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+        yield a, b, fresh_pairs(flat[ends[a] : ends[b]].reshape(b - a, -1), own[a:b], i[a] != j[a])
 
 
 def with_work(key: tuple, table: pa.Table) -> pa.Table:
-    """The rows of prefixes that have a pair of their own."""
+    """The rows that have a pair of their own."""
     del key
     table, bounds = sorted_table(table)
-    labels, own, trees = label_matrix(table), table.column("own").to_numpy(), table.column("tree").to_numpy()
-    i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
     keep = np.zeros(len(table), dtype=bool)
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        keep[a:b] = b - a > SMALL or len(new_pairs(labels[a:b], trees[a], own[a:b], i[a] != j[a])[0]) > 0
-    return table.filter(pa.array(keep))
+    for a, b, fresh in by_prefix(table, bounds):
+        keep[a:b] = fresh.any(axis=0) | fresh.any(axis=1)
+    return table.filter(pa.array(keep)).cast(pa.schema([f if f.name != "before" else pa.field("before", pa.list_(pa.int32())) for f in table.schema]))
 
 
 def shared_counts(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -235,40 +256,51 @@ def shared_matrix(sets: list[np.ndarray]) -> np.ndarray:
     return total
 
 
-def linked(table: pa.Table, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of row numbers of ``table`` (sorted) that reach the threshold, each pair of nodes once."""
-    bounds = group_bounds(*(table.column(c).to_numpy() for c in ("tree", "prefix", "i", "j")))
-    labels, own, trees = label_matrix(table), table.column("own").to_numpy(), table.column("tree").to_numpy()
-    i, j = table.column("i").to_numpy(), table.column("j").to_numpy()
+def linked(table: pa.Table, bounds: np.ndarray, threshold: float) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Row numbers of a sorted table's pairs that reach the threshold, and their similarity; each pair of nodes once."""
     sets = [np.frombuffer(s, dtype="<u8") for s in table.column("shingles").to_pylist()]
     sizes = np.array([len(s) for s in sets])
     few: list[tuple[np.ndarray, np.ndarray]] = []
-    for a, b in zip(bounds[:-1], bounds[1:], strict=True):
-        x, y = new_pairs(labels[a:b], trees[a], own[a:b], i[a] != j[a])
-        if b - a <= SMALL:
+    for a, b, fresh in by_prefix(table, bounds):
+        x, y = np.nonzero(fresh)
+        small, large = np.minimum(sizes[a + x], sizes[a + y]), np.maximum(sizes[a + x], sizes[a + y])
+        possible = small >= threshold * large - 1e-9
+        x, y = x[possible], y[possible]
+        if len(x) <= 8 * (b - a):  # pair by pair costs less than all pairs at once
             few.append((x + a, y + a))
             continue
         both = shared_matrix(sets[a:b])[x, y]
-        hit = both >= threshold * (sizes[a + x] + sizes[a + y] - both) - 1e-9
-        yield a + x[hit], a + y[hit]
+        whole = sizes[a + x] + sizes[a + y] - both
+        hit = both >= threshold * whole - 1e-9
+        yield a + x[hit], a + y[hit], both[hit] / whole[hit]
     if few:
         x, y = (np.concatenate(s) for s in zip(*few, strict=True))
-        small, large = np.minimum(sizes[x], sizes[y]), np.maximum(sizes[x], sizes[y])
-        possible = small >= threshold * large - 1e-9
-        x, y = x[possible], y[possible]
         both = shared_counts(sets, x, y)
-        hit = both >= threshold * (sizes[x] + sizes[y] - both) - 1e-9
-        yield x[hit], y[hit]
+        whole = sizes[x] + sizes[y] - both
+        hit = both >= threshold * whole - 1e-9
+        yield x[hit], y[hit], both[hit] / whole[hit]
+
+
+def missed_share(similarity: np.ndarray, depth: int, trees: int = TREES) -> np.ndarray:
+    """For each link found by matching to ``depth``, how many of its similarity are missed, on average."""
+    missed = (1 - similarity**depth) ** trees
+    return missed / (1 - missed)
 
 
-def count_links(threshold: float):
+def count_links(threshold: float, full: int = DEPTH):
     def run(key: tuple, table: pa.Table) -> pa.Table:
         del key
-        table, _ = sorted_table(table)
-        nodes, place = np.unique(table.column("node").to_numpy(), return_inverse=True)
-        copies, docs = np.zeros(len(nodes), dtype=np.int64), np.zeros(len(nodes), dtype=np.int64)
-        copies[place], docs[place] = table.column("copies").to_numpy(), table.column("doc").to_numpy()
-        links, root = np.zeros(len(nodes), dtype=np.int64), np.arange(len(nodes))
+        table, bounds = sorted_table(table)
+        node, doc = table.column("node").to_numpy(), table.column("doc").to_numpy()
+        order = np.lexsort((node, doc))
+        change = np.append(False, node[order][1:] != node[order][:-1])
+        place = np.empty(len(node), dtype=np.int64)
+        place[order] = np.cumsum(change)  # number of the row's node, by (doc, node)
+        n = int(place.max()) + 1 if len(place) else 0
+        nodes, docs, copies = (np.zeros(n, dtype=np.int64) for _ in range(3))
+        nodes[place], docs[place], copies[place] = node, doc, table.column("copies").to_numpy()
+        links, root, missed = np.zeros(n, dtype=np.int64), np.arange(n), np.zeros((n, full))
+        pairs = np.zeros(n, dtype=np.int64)
 
         def find(k: int) -> int:
             while root[k] != k:
@@ -276,50 +308,70 @@ def count_links(threshold: float):
                 k = root[k]
             return k
 
-        for x, y in linked(table, threshold):
+        for x, y, s in linked(table, bounds, threshold):
             x, y = place[x], place[y]
             np.add.at(links, x, copies[y])
             np.add.at(links, y, copies[x])
+            np.add.at(pairs, x, 1)
+            for d in range(full):
+                np.add.at(missed[:, d], x, missed_share(s, d + 1))
             for a, b in zip(x.tolist(), y.tolist(), strict=True):
                 p, q = find(a), find(b)
                 if p != q:
                     root[max(p, q)] = min(p, q)
         hit = np.flatnonzero(links)
-        roots = np.array([docs[find(k)] for k in hit.tolist()], dtype=np.int64)
-        return pa.table({"node": nodes[hit], "doc": docs[hit], "root": roots, "links": links[hit]})
+        roots = np.array([find(k) for k in hit.tolist()], dtype=np.int64)
+        columns = {"node": nodes[hit], "doc": docs[hit], "root": nodes[roots], "root_doc": docs[roots], "links": links[hit], "pairs": pairs[hit]}
+        return pa.table(columns | {"missed": pa.array(list(missed[hit]), pa.list_(pa.float64()))})
 
     return run
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class) and n_links (other documents of at least the threshold) for every row."""
-    groups = max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    sigs = materialise(signatures(docs, prefix_depth(threshold)), "signatures")
-    known = sigs.filter("doc_id is not null and words_key is not null")
-    nodes = known.groupBy("words_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("labels").alias("labels"))
-    nodes = nodes.select("words_key", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), "least.text_key", "copies", "labels")
-    nodes = materialise(nodes, "nodes")
+def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """(node, doc, root, root_doc, links) of every comparison that found links: from full depth up, until the estimated recall is the target."""
+    groups = 4 * max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     part = F.pmod(F.xxhash64("tree", "prefix", "i", "j"), F.lit(groups)).cast("int")
-    members = bucket_members(nodes.select("node", "doc", "copies", "labels"))
-    schema = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, doc bigint, copies bigint, labels array<bigint>"
+    schema = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, doc bigint, copies bigint, before array<int>"
     order = [x.split()[0] for x in schema.split(", ")]
-    work = materialise(members.select(*order).groupBy(part.alias("part")).applyInArrow(with_work, schema), "members")
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [shingle_set(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    needed = nodes.select("node", "doc", "text_key").join(work.select("node").distinct().hint("merge"), "node", "left_semi")
-    once = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_key().alias("text_key"), "text").groupBy("doc", "text_key").agg(F.min("text").alias("text"))
-    texts = once.join(needed.hint("merge"), ["doc", "text_key"]).select("node", "text")
-    shingles = texts.mapInArrow(sets, "node bigint, shingles binary").filter("length(shingles) > 0")
-    shipped = work.join(shingles.hint("merge"), "node").withColumn("part", part)
-    found = materialise(shipped.groupBy("part").applyInArrow(count_links(threshold), "node bigint, doc bigint, root bigint, links bigint"), "links")
-    classes = components(found.select(F.col("doc").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "doc")
+    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_key().alias("text_key"), "text")
+    found: DataFrame | None = None
+    for depth in range(DEPTH, 0, -1):
+        work = materialise(prefix_members(nodes, depth).select(*order).groupBy(part.alias("part")).applyInArrow(with_work, schema), "members")
+        needed = nodes.select("node", "doc", "text_key").join(work.select("node").distinct().hint("merge"), "node", "left_semi")
+        # a row that is repeated is sent once: the semi-join comes before the aggregate
+        some = texts.join(needed.select("doc", "text_key").hint("merge"), ["doc", "text_key"], "left_semi")
+        once = some.groupBy("doc", "text_key").agg(F.min("text").alias("text")).join(needed.hint("merge"), ["doc", "text_key"]).select("node", "text")
+        shipped = work.join(once.mapInArrow(sets, "node bigint, shingles binary").hint("merge"), "node").withColumn("part", part)
+        result = "node bigint, doc bigint, root bigint, root_doc bigint, links bigint, pairs bigint, missed array<double>"
+        level = materialise(shipped.groupBy("part").applyInArrow(count_links(threshold), result), "links")
+        found = level if found is None else found.unionByName(level)
+        sums = [F.sum("pairs").alias("pairs"), *(F.sum(F.element_at("missed", d)).alias(f"m{d}") for d in range(1, depth + 1))]
+        seen = found.agg(*sums).first()
+        enough = bool(seen["pairs"]) and seen[f"m{depth}"] <= (1 - recall) * (seen["pairs"] + seen[f"m{depth}"])
+        if enough or depth == prefix_depth(threshold, TREES, DEPTH, recall):
+            break
+    return found
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class) and n_links (other documents of at least the threshold) for every row."""
+    sigs = materialise(signatures(docs), "signatures")
+    known = sigs.filter("doc_id is not null and words_key is not null")
+    nodes = known.groupBy("words_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
+    nodes = nodes.select("words_key", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), "least.text_key", "copies", "signature")
+    nodes = materialise(nodes, "nodes")
+    found = forest_links(docs, nodes, threshold)
+    classes = components(found.select(F.struct("doc", "node").alias("a"), F.struct(F.col("root_doc").alias("doc"), F.col("root").alias("node")).alias("b")))
+    classes = classes.select(F.col("node.node").alias("node"), F.col("component.doc").alias("class"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = nodes.select("words_key", "node", "doc", "copies").join(counts, "node", "left").join(classes, "doc", "left")
-    facts = facts.select("words_key", F.coalesce("component", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    facts = nodes.select("words_key", "node", "doc", "copies").join(counts, "node", "left").join(classes, "node", "left")
+    facts = facts.select("words_key", F.coalesce("class", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = sigs.select("doc_id", "words_key").join(facts.hint("merge"), "words_key", "left")
     there = F.col("doc_id").isNotNull()
     return joined.select("doc_id", F.when(there, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"))

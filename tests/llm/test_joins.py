@@ -118,11 +118,9 @@ def brute_classes(listed, threshold=0.8):
     return {d: (find(d), links[d]) for d in ids}
 
 
-@pytest.mark.parametrize(("block", "small"), [(1024, 32), (4, 2)])
-def test_classes_equal_brute_force(docs, monkeypatch, block, small):
-    monkeypatch.setattr(jaccard, "SMALL", small)
-    whole = jaccard.bucket_members
-    monkeypatch.setattr(jaccard, "bucket_members", lambda nodes: whole(nodes, block))
+@pytest.mark.parametrize("block", [512, 4])
+def test_classes_equal_brute_force(docs, monkeypatch, block):
+    monkeypatch.setattr(jaccard, "BLOCK", block)
     found = {r["doc_id"]: (r["class_id"], r["n_links"]) for r in jaccard.jaccard_classes(docs).collect()}
     assert found == brute_classes(corpus())
 
@@ -158,8 +156,31 @@ def test_repeated_rows_with_a_near_copy(spark):
     assert found == sorted([(1, 1, 40)] * 40 + [(1, 1, 1), (2, 1, 40), (3, 1, 1)], key=repr)
 
 
+def test_texts_of_one_id_are_nodes_of_their_own(spark):
+    a, b = [f"w{i}" for i in range(60)], [f"v{i}" for i in range(60)]
+    text = lambda w: " ".join(w)
+    listed = [(1, text(a), "n"), (1, text(b), "n"), (2, text([*a[:-1], "x"]), "n"), (3, text([*b[:-1], "x"]), "n"), (4, text(a), "n")]
+    found = rows(jaccard.jaccard_classes(spark.createDataFrame(listed, "doc_id bigint, text string, node string")))
+    assert found == [(1, 1, 1), (1, 1, 2), (2, 1, 2), (3, 1, 1), (4, 1, 2)]
+
+
+def test_near_copies_ship_where_they_are_verified_only(spark):
+    base = [f"w{i}" for i in range(400)]
+    near = [(d, " ".join([*base[:-1], f"x{d}"])) for d in range(200)]
+    docs = spark.createDataFrame(near, "doc_id bigint, text string")
+    nodes = jaccard.signatures(docs).selectExpr("doc_id as node", "doc_id as doc", "1L as copies", "signature")
+    members = jaccard.prefix_members(nodes, jaccard.DEPTH)
+    kept = members.groupBy("tree").applyInArrow(jaccard.with_work, members.schema)
+    assert members.count() > 15 * 200 and kept.count() < 4 * 200
+
+
+def test_missed_links_are_estimated_from_those_found():
+    assert abs(jaccard.missed_share(np.array([0.8]), 5)[0] - (1 - 0.8**5) ** 20 / (1 - (1 - 0.8**5) ** 20)) < 1e-15
+    assert jaccard.missed_share(np.array([1.0]), 5)[0] == 0
+
+
 def test_the_target_recall_sets_the_depth():
-    assert jaccard.prefix_depth(0.8, 20, 8, 0.999999) == 3
+    assert jaccard.prefix_depth(0.8, 20, 5, 0.999999) == 3
     assert jaccard.prefix_depth(0.8, 1, 8, 0.999999) == 1
 
 
