@@ -6,9 +6,11 @@ the spans of the completion that carry loss, which are the bodies of assistant t
 
 One aggregation by pair brings a pair's turns together; a pair is as large as its two conversations,
 whatever other pairs there are, so a turn that very many conversations share is no hot key. Column
-expressions only. Defined cases: NULL roles and texts are empty; turns are ordered by turn, then role and
-text; turns that repeat one number are all kept; identical conversations have empty completions and empty
-masks; a conversation without turns has an empty prompt and completion.
+expressions only. Defined cases: NULL roles and texts are empty; NULL conv_ids make one conversation; turns
+are ordered by turn (NULL first), then role and text; turns that repeat one number, and repeated rows, are
+all kept; identical conversations have empty completions and empty masks; a conversation without turns has
+an empty prompt and completion; texts of any length are rendered whole; an empty table gives an empty
+result; other columns of the input are not touched.
 """
 
 from __future__ import annotations
@@ -61,33 +63,46 @@ def format_pairs(pairs: DataFrame, key: str) -> DataFrame:
     )
 
 
+#: Conversation ids are reduced by the first and spread by the second when a branch is chosen.
+REDUCE, SPREAD = 1_000_003, 7919
+
+
 def pair_with_repeats(conversations: DataFrame) -> DataFrame:
-    """One pair per conversation: chosen is the conversation up to its last assistant turn; rejected is the same with that reply replaced by the one before it, or by nothing.
+    """One pair per conversation: chosen is the whole conversation; rejected branches off at one of its assistant turns.
 
-    Conversations without an assistant turn make no pair.
+    The branch is chosen by conv_id, so that prompts end anywhere in a conversation. There, rejected has
+    the assistant turn before instead, or nothing at the first; the later turns follow on both sides.
+    Conversations without an assistant turn are paired with themselves: all prompt, empty completions.
     """
-    listed = conversations.groupBy("conv_id").agg(turns(F.col("role"), F.col("text")).alias("__turns"))
-    last = "array_max(transform(__turns, (t, i) -> if(t.role = 'assistant', i, -1)))"
-    listed = listed.withColumn("__last", F.expr(f"coalesce({last}, -1)")).filter("__last >= 0")
-    listed = listed.withColumn("chosen_turns", F.expr("slice(__turns, 1, __last + 1)"))
-    before = "element_at(filter(slice(__turns, 1, __last), t -> t.role = 'assistant'), -1).text"
-    other = F.expr(f"coalesce(if(size(filter(slice(__turns, 1, __last), t -> t.role = 'assistant')) > 0, {before}, ''), '')")
-    swapped = F.expr("slice(__turns, 1, __last)")
-    reply = F.struct(F.expr("__turns[__last].turn").alias("turn"), F.lit("assistant").alias("role"), F.col("__other").alias("text"))
-    return listed.withColumn("__other", other).withColumn("rejected_turns", F.concat(swapped, F.array(reply))).select("conv_id", "chosen_turns", "rejected_turns")
-
-
-#: DuckDB SQL for the query over conversations.
+    listed = conversations.groupBy("conv_id").agg(turns(F.col("role"), F.col("text")).alias("chosen_turns"))
+    places = "filter(transform(chosen_turns, (t, i) -> if(t.role = 'assistant', i, null)), i -> i is not null)"
+    listed = listed.withColumn("__places", F.expr(places))
+    listed = listed.withColumn("__k", F.expr(f"pmod(pmod(coalesce(conv_id, 0L), {REDUCE}L) * {SPREAD}L, nullif(size(__places), 0))").cast("int"))
+    listed = listed.withColumn("__at", F.expr("get(__places, __k)")).withColumn("__other", F.expr("coalesce(get(chosen_turns, get(__places, __k - 1)).text, '')"))
+    swapped = F.expr("transform(chosen_turns, (t, i) -> if(i <=> __at, named_struct('turn', t.turn, 'role', t.role, 'text', __other), t))")
+    return listed.select("conv_id", "chosen_turns", swapped.alias("rejected_turns"))
+
+
+def _oracle_side(name: str, column: str) -> str:
+    """Rows (conv_id, body, mask) of one side's completion, as DuckDB SQL."""
+    head, tail = len(OPEN) + 1, len(CLOSE)
+    return f"""{name} as (select conv_id, string_agg(piece, '' order by pos) as body,
+    coalesce(string_agg(case when role = 'assistant' then (begins + {head} + length(role)) || '-' || (begins + {head} + length(role) + length({column}) + {tail - 1}) end, ',' order by pos), '') as mask
+  from (select *, coalesce(sum(length(piece)) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding), 0)::bigint as begins
+    from (select *, '{OPEN}' || role || chr(10) || {column} || '<|im_end|>' || chr(10) as piece from cut where pos >= first_difference)) group by conv_id)"""
+
+
+#: DuckDB SQL for the query over conversations: turns are compared by position.
 ORACLE = f"""
-with t as (select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations),
-last as (select conv_id, max(turn) as last from t where role = 'assistant' group by conv_id),
-prev as (select t.conv_id, arg_max(text, turn) as text from t join last using (conv_id) where role = 'assistant' and turn < last group by t.conv_id),
-reply as (select t.conv_id, turn, t.text as chosen, coalesce(prev.text, '') as rejected from t join last on t.conv_id = last.conv_id and turn = last left join prev on t.conv_id = prev.conv_id where role = 'assistant'),
-prompt as (select t.conv_id, count(*) as n, string_agg('{OPEN}' || t.role || chr(10) || t.text || '<|im_end|>' || chr(10), '' order by t.turn) as prompt
-  from t join last on t.conv_id = last.conv_id and t.turn < last group by t.conv_id),
-made as (select r.conv_id, coalesce(p.n, 0) as n, coalesce(p.prompt, '') as prompt, r.chosen, r.rejected, r.chosen = r.rejected as same,
-  '{OPEN}assistant' || chr(10) as head, '<|im_end|>' || chr(10) as tail from reply r left join prompt p on r.conv_id = p.conv_id)
-select conv_id, cast(n + same::int as bigint) as n_prompt_turns, prompt || case when same then head || chosen || tail else '' end as prompt,
-  case when same then '' else head || chosen || tail end as chosen, case when same then '' else '22-' || (22 + length(chosen) + 10) end as chosen_mask,
-  case when same then '' else head || rejected || tail end as rejected, case when same then '' else '22-' || (22 + length(rejected) + 10) end as rejected_mask
-from made"""
+with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations),
+a as (select *, sum((role = 'assistant')::int) over (partition by conv_id order by pos) as k, sum((role = 'assistant')::int) over (partition by conv_id) as n,
+  last_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding) as before from t),
+r as (select conv_id, pos, role, text, case when role = 'assistant' and k - 1 = ((coalesce(conv_id, 0) % {REDUCE} + {REDUCE}) % {REDUCE} * {SPREAD}) % n then coalesce(before, '') else text end as other from a),
+cut as (select *, coalesce(min(case when text <> other then pos end) over (partition by conv_id), 9223372036854775807) as first_difference from r),
+{_oracle_side("chosen", "text")},
+{_oracle_side("rejected", "other")},
+prompts as (select conv_id, count(*) filter (where pos < first_difference) as n,
+  coalesce(string_agg('{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by pos) filter (where pos < first_difference), '') as prompt from cut group by conv_id)
+select p.conv_id, cast(p.n as bigint) as n_prompt_turns, p.prompt, coalesce(c.body, '') as chosen, coalesce(c.mask, '') as chosen_mask, coalesce(r.body, '') as rejected, coalesce(r.mask, '') as rejected_mask
+from prompts as p left join chosen as c on c.conv_id is not distinct from p.conv_id left join rejected as r on r.conv_id is not distinct from p.conv_id"""

@@ -2,6 +2,7 @@
 
 import hashlib
 import io
+import random
 import zipfile
 
 import pytest
@@ -60,17 +61,37 @@ def test_packages_are_closed_by_size(spark, tmp_path):
     assert warc.read_packages(manifest, f"file://{tmp_path}/w", payload=True).filter("length(payload) = payload_bytes").count() == 60
 
 
-def test_preference_pairs_share_a_prompt(spark):
-    turns = [(1, 0, "user", "hi"), (1, 1, "assistant", "a"), (1, 2, "user", "more"), (1, 3, "assistant", "b"), (2, 0, "user", "hi"), (3, 0, "system", None), (3, 1, "assistant", "é"), (4, 0, "user", "q"), (4, 1, "assistant", "s"), (4, 2, "assistant", "s")]
-    found = {r["conv_id"]: r for r in chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame(turns, "conv_id bigint, turn int, role string, text string")), "conv_id").collect()}
-    assert set(found) == {1, 3, 4}
-    one = found[1]
-    assert one["n_prompt_turns"] == 3 and one["prompt"].endswith("<|im_start|>user\nmore<|im_end|>\n")
-    assert one["chosen"] == "<|im_start|>assistant\nb<|im_end|>\n" and one["rejected"] == "<|im_start|>assistant\na<|im_end|>\n"
-    a, b = map(int, one["chosen_mask"].split("-"))
-    assert one["chosen"][a:b] == "b<|im_end|>"
-    assert found[3]["rejected"] == "<|im_start|>assistant\n<|im_end|>\n" and found[4]["chosen"] == "" and found[4]["chosen_mask"] == ""
-    assert chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame([], "conv_id bigint, turn int, role string, text string")), "conv_id").count() == 0
+TURNS = "conv_id bigint, turn int, role string, text string, prompt string, __k int"
+
+
+def brute_pairs(listed):
+    """conv_id and the rendered pair, by the definition."""
+    out = {}
+    for conv in {r[0] for r in listed}:
+        chosen = [(role or "", text or "") for _, role, text in sorted(((t is not None, t or 0), r or "", x or "") for c, t, r, x, *_ in listed if c == conv)]
+        replies = [i for i, t in enumerate(chosen) if t[0] == "assistant"]
+        rejected = list(chosen)
+        if replies:
+            k = (conv or 0) % chat.REDUCE * chat.SPREAD % len(replies)
+            rejected[replies[k]] = ("assistant", chosen[replies[k - 1]][1] if k else "")
+        n = 0
+        while n < len(chosen) and chosen[n] == rejected[n]:
+            n += 1
+        render = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in ts)
+        bodies = lambda ts: [x + "<|im_end|>" for r, x in ts if r == "assistant"]
+        out[conv] = n, render(chosen[:n]), render(chosen[n:]), bodies(chosen[n:]), render(rejected[n:]), bodies(rejected[n:])
+    return out
+
+
+def test_preference_pairs_equal_brute_force(spark):
+    rng = random.Random(8)
+    listed = [(c, t, rng.choice(("user", "assistant", "assistant", None, "system")), rng.choice(("hi", "é", None, "", f"reply {t}", "x" * 50_000)), "extra", 5) for c in [*range(40), None, -7, 2**63 - 1] for t in range(rng.randint(1, 7))]
+    listed += [(3, None, "user", "null turn", None, None), (3, 0, "assistant", "tie", None, None), (3, 0, "assistant", "tie", None, None)]
+    cut = lambda text, mask: [text[a:b] for a, b in (map(int, m.split("-")) for m in mask.split(",") if m)]
+    pairs = chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame(listed, TURNS)), "conv_id").collect()
+    found = {r["conv_id"]: (r["n_prompt_turns"], r["prompt"], r["chosen"], cut(r["chosen"], r["chosen_mask"]), r["rejected"], cut(r["rejected"], r["rejected_mask"])) for r in pairs}
+    assert found == brute_pairs(listed) and len({n for n, *_ in found.values()}) > 3 and max(len(f[3]) for f in found.values()) > 2
+    assert chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame([], TURNS)), "conv_id").count() == 0
 
 
 def test_masks_of_longer_completions(spark):
