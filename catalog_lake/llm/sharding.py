@@ -1,15 +1,17 @@
 """Sharding along a Hilbert curve over several metadata dimensions.
 
-Each dimension is quantised to ``2**bits`` levels of about equal depth (bounds from one approximate
-percentile pass over all rows), the levels of a row give its place on the Hilbert curve, rows are
+Each dimension is quantised to ``2**bits`` levels: a value's level is the middle of the share of rows up
+to it (from one approximate percentile pass over all rows), so that a dimension of few values spreads over
+the whole range of levels, too, and takes part in the curve's first turns. The levels of a row give its place on the Hilbert curve, rows are
 numbered in curve order without a single-task sort, and the sequence is cut into runs whose row counts
 differ by one at most. Rows near on the curve are near in every dimension, so that a file of one run has
 narrow minima and maxima in all of them and a filter on any of them skips files.
 
 Law: ``rows``. Equal texts needn't meet in a shard: a group of copies larger than a shard couldn't.
 Defined cases: NULL strings and numbers are level 0; a NULL text has size 8 and checksum 0; identical
-rows get neighbouring slots; an empty table gives an empty result; other columns of the input are not
-touched. Rerunning on the same rows gives the same shards.
+rows get neighbouring slots, rows that tie in all columns of the order any of them; strings are compared
+by their first seven bytes when quantised; very long texts count whole; an empty table gives an empty
+result; other columns of the input, whatever their names, are not touched. Rerunning on the same rows gives the same shards.
 """
 
 from __future__ import annotations
@@ -66,12 +68,12 @@ def curve_places(df: DataFrame, dimensions: Sequence[str], bits: int = BITS, nam
     keys = [order_key(c, kinds[c]) for c in dimensions]
     shares = [i / (1 << bits) for i in range(1, 1 << bits)]
     bounds = df.agg(*(F.percentile_approx(k, shares, 10_000).alias(f"b{i}") for i, k in enumerate(keys))).first()
-    cuts = [np.unique(np.array(b or [], dtype=np.int64)) for b in bounds]  # dimensions x 2**bits numbers
+    cuts = [np.array(b or [], dtype=np.int64) for b in bounds]  # dimensions x 2**bits numbers; a frequent value stands there many times
 
     @F.pandas_udf("bigint")
     def place(*columns: pd.Series) -> pd.Series:
-        levels = np.stack([np.searchsorted(cut, c.to_numpy(), side="right") for cut, c in zip(cuts, columns, strict=True)], axis=1)
-        return pd.Series(hilbert_index(levels, bits))
+        sides = [[np.searchsorted(cut, c.to_numpy(), side=side) for side in ("left", "right")] for cut, c in zip(cuts, columns, strict=True)]
+        return pd.Series(hilbert_index(np.stack([(low + high) // 2 for low, high in sides], axis=1), bits))
 
     return df.withColumn(name, place(*keys))
 

@@ -296,3 +296,28 @@ def test_written_shards_hold_their_rows_in_order(spark, docs, tmp_path):
     placed = sharding.shard_documents(docs, shards=3)
     sharding.write_shards(placed, str(tmp_path / "out"))
     assert rows(spark.read.parquet(str(tmp_path / "out")), "doc_id", "shard", "slot") == rows(placed, "doc_id", "shard", "slot")
+
+
+def test_shards_are_runs_of_the_sorted_curve(spark):
+    """Against brute force: rows sorted by curve place and tie, cut into even runs."""
+    rng = random.Random(6)
+    listed = [(rng.choice((None, i, i)), "x" * rng.randint(0, 400), rng.choice(("de", "en", "es", "fr")), rng.choice((*"abcde", None)), 1, rng.randint(0, 9)) for i in range(700)]
+    df = spark.createDataFrame(listed, SCHEMA + ", curve int")
+    found = sharding.shard_documents(df).collect()
+    order = sorted(found, key=lambda r: (r["curve"], r["doc_id"] is None, r["doc_id"] or 0, r["size"], r["text_crc32"]))
+    total = len(order)
+    want = [(i * 24 // total, i - -(-(i * 24 // total) * total // 24)) for i in range(total)]
+    assert [(r["shard"], r["slot"]) for r in order] == want
+
+
+def test_every_dimension_prunes_shards(spark):
+    rng = random.Random(7)
+    listed = [(i, "x" * rng.randint(0, 400), rng.choices(("de", "en", "es", "fr"), (3, 4, 2, 1))[0], rng.choice("abcdefgh"), 1) for i in range(4000)]
+    found = sharding.shard_documents(spark.createDataFrame(listed, SCHEMA)).collect()
+    touched = collections.defaultdict(set)
+    for r in found:
+        _, text, lang, source, _ = listed[r["doc_id"]]
+        for key in (("lang", lang), ("source", source), ("size", len(text) // 50)):
+            touched[key].add(r["shard"])
+    mean = lambda kind: np.mean([len(s) for (k, _), s in touched.items() if k == kind])
+    assert mean("lang") <= 12 and mean("source") <= 12 and mean("size") <= 14, (mean("lang"), mean("source"), mean("size"))
