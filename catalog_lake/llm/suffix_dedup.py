@@ -8,19 +8,19 @@ removed; the first document keeps its copy. Exact, over whole texts, in three sh
    only) to hash buckets; a bucket answers which of them other groups have too.
 2. Segments. Around each shared anchor a group cuts the segment under the windows whose anchor it is.
    Equal segments of a group are sent once, with their least doc_id, so that a passage or a group of
-   copies that very many documents share stays at one row a group. In a bucket the windows of all
-   segments are put into suffix order; previous and next smaller documents in that order and the common
-   prefixes with them give each window's longest previous factor. A factor of WINDOW bytes means that the
-   window has an earlier document; windows without one are first, and their document is the answer for
-   all equal windows.
+   copies that very many documents share stays at one row a group. In a bucket the suffixes of all
+   segments are sorted, the common prefixes of neighbours are computed, and the previous and next smaller
+   documents in that order, with the least common prefix on the way to them, give each suffix's longest
+   previous factor. A factor of WINDOW bytes or more means that its window has an earlier document.
 3. The groups get the answers back, lay them over their documents and remove what is covered.
 
 A group's documents meet in one task (about GROUP_BYTES of text); buckets are as many as groups, so tasks
 keep their size as the corpus grows. The shuffle of the texts is made once and used in each step.
 
 Defined cases: a NULL text is empty; texts of under WINDOW bytes lose nothing; a NULL doc_id counts as
-larger than every other, and NULLs don't remove each other's bytes, nor do rows of the same doc_id; an
-empty table gives an empty result.
+larger than every other, and NULLs don't remove each other's bytes, nor do rows of the same doc_id; very
+long texts are scanned whole, one to a scan if they exceed SCAN_BYTES; other columns of the input, whatever
+their names, are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -208,58 +208,64 @@ def send_segments(buckets: int):
     return run
 
 
-def smaller_neighbour(values: np.ndarray) -> np.ndarray:
-    """For each place, the nearest place before it with a smaller value, or -1: by jumps along the answers of others."""
-    found = np.arange(len(values)) - 1
+def smaller_neighbour(values: np.ndarray, common: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each place, the nearest place before it with a smaller value, or -1, and the least of ``common`` on the way.
+
+    ``common[k]`` belongs to the step from k to k - 1. By jumps along the answers of others.
+    """
+    found, least = np.arange(len(values)) - 1, common.copy()
     open_now = np.flatnonzero((found >= 0) & (values[found] >= values))
     while len(open_now):
-        found[open_now] = found[found[open_now]]
+        at = found[open_now]
+        least[open_now] = np.minimum(least[open_now], least[at])
+        found[open_now] = found[at]
         at = found[open_now]
         open_now = open_now[(at >= 0) & (values[at] >= values[open_now])]
-    return found
+    return found, least
 
 
-def has_previous_factor(doc: np.ndarray, run: np.ndarray) -> np.ndarray:
-    """Whether each suffix, in suffix order, shares a full window with one of a smaller document.
+def previous_factors(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, start, longest previous factor) of the suffixes of segments that begin a window.
 
-    ``run`` numbers the stretches in which neighbours share a full window. The previous and the next
-    smaller document are the only candidates for the longest factor: if either lies in the same stretch,
-    the longest previous factor is a full window.
+    The suffixes of all segments, each to its segment's end, are put into order; ``common`` has the common
+    prefix of neighbours. A suffix's longest match with a suffix of a smaller document is with the nearest
+    of those before or after it in that order, and as long as the least common prefix on the way.
     """
-    before = smaller_neighbour(doc)
-    after = len(doc) - 1 - smaller_neighbour(doc[::-1])[::-1]
-    return ((before >= 0) & (run[before] == run)) | ((after < len(doc)) & (run[np.minimum(after, len(doc) - 1)] == run))
-
-
-def first_documents(rows: np.ndarray, least: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, window start, first document that has the window) for all windows of the segments."""
     lo, hi = rows[:, SEGMENT].astype(np.int64), rows[:, SEGMENT + 1].astype(np.int64)
     sizes = hi - lo + 1
     row = np.repeat(np.arange(len(rows)), sizes)
     start = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes) + lo[row]
-    windows = np.lib.stride_tricks.sliding_window_view(rows[:, :SEGMENT], WINDOW, axis=1)
-    text = np.ascontiguousarray(windows[row, start]).view(f"V{WINDOW}").ravel()
-    order = np.argsort(text, kind="stable")  # suffix order, to the depth of a window
-    ranked = text[order].view(np.uint8).reshape(-1, WINDOW)
-    run = np.concatenate(([0], np.cumsum((ranked[1:] != ranked[:-1]).any(axis=1))))
-    doc = least[row[order]]
-    source = np.full(int(run[-1]) + 1, NO_DOC)
-    head = ~has_previous_factor(doc, run)
-    source[run[head]] = doc[head]  # heads of one stretch are of one document, its least
-    first = np.empty(len(row), dtype=np.int64)
-    first[order] = source[run]
-    return row, start, first
+    length = (hi + WINDOW)[row] - start
+    padded = np.concatenate((rows[:, :SEGMENT], np.zeros((len(rows), SEGMENT), dtype=np.uint8)), axis=1)  # zeros after the end
+    suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SEGMENT, axis=1)[row, start])
+    order = np.argsort(suffix.view(f"V{SEGMENT}").ravel(), kind="stable")
+    ranked, ends = suffix[order], length[order]
+    differ = ranked[1:] != ranked[:-1]
+    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SEGMENT)
+    common = np.minimum(common, np.minimum(ends[1:], ends[:-1]))
+    values = doc[row[order]]
+    before, with_before = smaller_neighbour(values, np.append(0, common))
+    after, with_after = smaller_neighbour(values[::-1], np.append(0, common[::-1]))
+    longest = np.maximum(np.where(before >= 0, with_before, 0), np.where(after >= 0, with_after, 0)[::-1])
+    factor = np.empty(len(row), dtype=np.int64)
+    factor[order] = longest
+    return row, start, factor
 
 
 def answer_segments(key: tuple, table: pa.Table) -> pa.Table:
-    """For each group, runs of window starts with the same first document: numbers of runs by row, starts, documents."""
+    """For each group, runs of window starts: numbers of runs by row, starts, and the document from which on an occurrence has an earlier one.
+
+    Where the factor of the row's least document is a full window, every occurrence has an earlier
+    document; elsewhere those of larger documents than the least have.
+    """
     groups, given = table.column("grp").to_pylist(), [np.frombuffer(x, dtype=np.uint8).reshape(-1, SEGMENT + 2) for x in table.column("segments").to_pylist()]
     least = np.concatenate([np.frombuffer(x, dtype="<i8") for x in table.column("least").to_pylist()])
     rows = np.ascontiguousarray(np.concatenate(given)).view(f"V{SEGMENT + 2}").ravel()
     distinct, place = np.unique(rows, return_inverse=True)
     lowest = np.full(len(distinct), NO_DOC)
     np.minimum.at(lowest, place, least)
-    row, start, first = first_documents(distinct.view(np.uint8).reshape(-1, SEGMENT + 2), lowest)
+    row, start, factor = previous_factors(distinct.view(np.uint8).reshape(-1, SEGMENT + 2), lowest)
+    first = np.where(factor >= WINDOW, np.iinfo(np.int64).min, lowest[row])
     bounds = group_bounds(row, first)[:-1]
     run_row, run_start, run_doc = row[bounds], start[bounds], first[bounds]
     counts = np.bincount(run_row, minlength=len(distinct))
