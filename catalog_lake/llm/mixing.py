@@ -1,21 +1,30 @@
 """Mixing sources to target weights, by fixed-length blocks and index permutations.
 
-1. Each source's documents are laid end to end; its word stream is cut into blocks of a fixed length.
+1. Each source's documents are laid end to end; its word stream is cut into blocks of BLOCK_WORDS words.
    Offsets are two-level running sums over (source, hash bucket), so no task holds a whole source.
 2. Targets: ``epochs`` times all words, shared by weight, none above ``most`` times its source; what a
    capped source can't take is shared again among the rest.
-3. A source's target gives a whole number of block slots. All slots of all sources are dealt to output
-   shards through one pseudorandom permutation: the source counts of the shards are multinomial draws,
-   conditioned on the totals, which is why each source meets its target to within a block.
-4. Slot j of a source maps to block ``permutation(j mod blocks)``; each pass over the source permutes anew.
+3. A source's target gives block slots: whole passes over its blocks, then some of them, the last of which
+   is cut to the words that are still missing. The output shards' source counts are multinomial
+   draws conditioned on those totals (``draw_counts``): the slots of all sources are dealt to the shards'
+   places through one pseudorandom permutation, and a shard's count of a source is how many it was dealt.
+   Unconditioned draws would leave sources off their targets by sampling noise and capped ones above
+   their caps.
+4. Slot j of a source maps to block ``permutation(j mod blocks)`` of the source's own permutation; each pass
+   over the source permutes anew.
 5. Slots are joined to blocks by (source, index).
 
 Permutations are swap-or-not shuffles: every round pairs x with K - x and swaps by a hash bit, a
 bijection for any length. Everything is column expressions: no user functions, nothing collected, no
-broadcast. Keys of every exchange are spread within a source, so a source may hold most of the rows.
+broadcast. Keys of every exchange are spread within a source, so a source may hold most of the rows, and
+NULL ids are spread by their texts. The windows over the plan have one row per source, in one task: that
+suits thousands of sources, not one for each site of a crawl.
 
 Defined cases: a NULL text has size 0; NULL source is a source of its own, last; documents without words
-are taken 0 times; repeated rows are mixed as separate documents; empty tables give empty results.
+are taken 0 times; repeated rows are mixed as separate documents, each with a place of its own; rows that
+tie in doc_id and text are alike and may swap places; very long texts span many blocks; a source shorter
+than a block is one short block; other
+columns of the input, whatever their names, are carried or not touched; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -30,9 +39,8 @@ from catalog_lake.session import materialise
 WEIGHTS = (5.0, 2.0, 1.0)
 EPOCHS = 1.5
 MOST = 2.0
-#: Words in a block; sources of fewer than LEAST_BLOCKS such blocks are cut into shorter ones.
+#: Words in a block.
 BLOCK_WORDS = 128
-LEAST_BLOCKS = 256
 #: Blocks in an output shard.
 SHARD_BLOCKS = 4096
 ROUNDS = 24
@@ -76,49 +84,61 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, epochs:
 def lay_out(docs: DataFrame, buckets: int, weights: Sequence[float] = WEIGHTS, epochs: float = EPOCHS, most: float = MOST, block_words: int = BLOCK_WORDS) -> tuple[DataFrame, DataFrame]:
     """(documents with their place in the source's stream, one row per source with its block plan).
 
-    ``docs`` has doc_id, source, size. Places: skey, start (first word of the stream), source_size,
-    target, block_words, blocks, slots.
+    ``docs`` has doc_id, source, size and mark, a hash of the text. Places: skey, start (first word of the
+    stream), source_size, target, block_words, blocks, slots.
     """
-    bucketed = docs.withColumn("skey", source_key(F.col("source"))).drop("source").withColumn("__bucket", F.pmod(F.xxhash64("doc_id"), F.lit(buckets)).cast("int"))
+    bucketed = docs.withColumn("skey", source_key(F.col("source"))).drop("source").withColumn("__bucket", F.pmod(F.xxhash64("doc_id", "mark"), F.lit(buckets)).cast("int"))
     groups = bucketed.groupBy("skey", "__bucket").agg(F.sum("size").alias("__group_size"))
     sizes = groups.groupBy("skey").agg(F.sum("__group_size").alias("source_size"))
-    length = F.greatest(F.lit(1), F.least(F.lit(block_words), F.expr(f"source_size div {LEAST_BLOCKS}"))).cast("bigint")
-    plan = source_targets(sizes, weights, epochs, most).withColumn("block_words", length).withColumn("blocks", F.expr("(source_size + block_words - 1) div block_words"))
-    slots = F.when(F.col("source_size") > 0, F.round(F.col("target") * F.col("blocks") / F.col("source_size"))).otherwise(0.0).cast("bigint")
-    plan = plan.withColumn("slots", F.least(slots, F.floor(F.lit(most) * F.col("blocks")).cast("bigint")))
+    plan = source_targets(sizes, weights, epochs, most).withColumn("block_words", F.lit(block_words).cast("bigint")).withColumn("blocks", F.expr("(source_size + block_words - 1) div block_words"))
+    wanted = F.least(F.round("target"), F.lit(float(most)) * F.col("source_size")).cast("bigint")
+    plan = plan.withColumn("__wanted", F.when(F.col("source_size") > 0, wanted).otherwise(0)).withColumn("__rest", F.expr("if(source_size > 0, pmod(__wanted, source_size), 0L)"))
+    plan = plan.withColumn("slots", F.expr("if(source_size > 0, __wanted div source_size, 0L) * blocks + (__rest + block_words - 1) div block_words"))
+    # words of the last slot: what the full blocks before it in its pass leave
+    plan = plan.withColumn("last_words", F.expr("if(__rest > 0, pmod(__rest - 1, block_words) + 1, block_words)")).drop("__wanted", "__rest")
     by_name = W.orderBy(F.col("skey") == "", "skey").rowsBetween(W.unboundedPreceding, -1)
     plan = plan.withColumn("first_slot", F.coalesce(F.sum("slots").over(by_name), F.lit(0)).cast("bigint")).withColumn("all_slots", F.sum("slots").over(W.partitionBy()))
     # running sums over a source's buckets: as many rows as buckets, whatever the number of documents
     before = W.partitionBy("skey").orderBy("__bucket").rowsBetween(W.unboundedPreceding, -1)
     offsets = groups.withColumn("__offset", F.coalesce(F.sum("__group_size").over(before), F.lit(0))).drop("__group_size")
-    offsets = offsets.join(plan.drop("first_slot", "all_slots"), "skey")
-    within = W.partitionBy("skey", "__bucket").orderBy("doc_id", "size").rowsBetween(W.unboundedPreceding, -1)
+    offsets = offsets.join(plan.drop("first_slot", "all_slots", "last_words"), "skey")
+    within = W.partitionBy("skey", "__bucket").orderBy("doc_id", "mark").rowsBetween(W.unboundedPreceding, -1)
     placed = bucketed.withColumn("__local", F.coalesce(F.sum("size").over(within), F.lit(0))).join(offsets.hint("merge"), ["skey", "__bucket"])
     return placed.withColumn("start", (F.col("__offset") + F.col("__local")).cast("bigint")).drop("__bucket", "__local", "__offset"), plan
 
 
 def draw_slots(plan: DataFrame, tasks: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
-    """One row per slot of the mix: skey, pass, block, and where it goes: shard, position.
+    """One row per slot of the mix: skey, pass, block, the words it takes of the block at most, and where it goes: shard, position.
 
     Slots are made from runs of 1024, spread over ``tasks`` tasks before they are expanded: a run is a few
     bytes, so that Spark would otherwise put all of them into one task.
     """
-    runs = plan.filter("slots > 0").select("skey", "slots", "blocks", "first_slot", "all_slots", F.explode(F.expr("sequence(0L, (slots - 1) div 1024)")).alias("run"))
+    runs = plan.filter("slots > 0").select("skey", "slots", "blocks", "block_words", "last_words", "first_slot", "all_slots", F.explode(F.expr("sequence(0L, (slots - 1) div 1024)")).alias("run"))
     runs = runs.repartition(tasks, "skey", "run")
-    slots = runs.select("skey", "blocks", "first_slot", "all_slots", F.explode(F.expr("sequence(run * 1024, least(slots, (run + 1) * 1024) - 1)")).alias("j"))
-    slots = slots.withColumn("pass", F.expr("j div blocks"))
+    slots = runs.withColumn("j", F.explode(F.expr("sequence(run * 1024, least(slots, (run + 1) * 1024) - 1)")))
+    slots = slots.withColumn("pass", F.expr("j div blocks")).withColumn("most_words", F.expr("if(j = slots - 1, last_words, block_words)"))
     block = permuted("pmod(j, blocks)", "blocks", "skey, pass")
     place = permuted("first_slot + j", "all_slots", "-1", inverse=True)
-    placed = slots.select("skey", "pass", block.alias("block"), place.alias("__place"))
+    placed = slots.select("skey", "pass", block.alias("block"), "most_words", place.alias("__place"))
     return placed.withColumns({"shard": F.expr(f"__place div {shard_blocks}"), "position": F.expr(f"pmod(__place, {shard_blocks})")}).drop("__place")
 
 
+def draw_counts(plan: DataFrame, tasks: int, shard_blocks: int = SHARD_BLOCKS) -> DataFrame:
+    """(shard, skey, n): how many blocks of each source every output shard takes."""
+    return draw_slots(plan, tasks, shard_blocks).groupBy("shard", "skey").agg(F.count(F.lit(1)).alias("n"))
+
+
 def pieces(placed: DataFrame) -> DataFrame:
-    """One row for each part of a document that lies in one block: block, from_word, n_piece (words)."""
+    """One row for each part of a document that lies in one block: block, in_block (its place there), from_word, n_piece (words)."""
     spread = placed.filter("size > 0").withColumn("block", F.explode(F.expr("sequence(start div block_words, (start + size - 1) div block_words)")))
     begin = F.greatest(F.col("start"), F.col("block") * F.col("block_words"))
     end = F.least(F.col("start") + F.col("size"), (F.col("block") + 1) * F.col("block_words"))
-    return spread.withColumn("from_word", begin - F.col("start")).withColumn("n_piece", end - begin)
+    return spread.withColumn("from_word", begin - F.col("start")).withColumn("n_piece", end - begin).withColumn("in_block", begin - F.col("block") * F.col("block_words"))
+
+
+def words_taken(most: str) -> Column:
+    """Words of a piece that lie in the first ``most`` words of its block."""
+    return F.greatest(F.lit(0), F.least(F.col("n_piece"), F.col(most) - F.col("in_block")))
 
 
 def bucket_count(docs: DataFrame) -> int:
@@ -130,14 +150,14 @@ def slot_tasks(docs: DataFrame, buckets: int) -> int:
 
 
 def taken_words(docs: DataFrame, **settings) -> DataFrame:
-    """doc_id, size, source_size, target, taken, first_shard for each document of (doc_id, source, size)."""
+    """doc_id, size, source_size, target, taken, first_shard for each document of (doc_id, source, size, mark)."""
     buckets = bucket_count(docs)
     placed, plan = lay_out(docs, buckets, **settings)
-    uses = draw_slots(plan, slot_tasks(docs, buckets)).groupBy("skey", "block").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard"))
+    uses = draw_slots(plan, slot_tasks(docs, buckets)).groupBy("skey", "block", "most_words").agg(F.count(F.lit(1)).alias("uses"), F.min("shard").alias("shard"))
     # sizes before an explode say nothing here: without the hint Spark may take the uses for small and broadcast them
     joined = pieces(placed).join(uses.hint("merge"), ["skey", "block"], "left")
     key = ("skey", "start", "doc_id", "size", "source_size", "target")  # documents with words differ in start within a source
-    some = joined.groupBy(*key).agg(F.sum(F.coalesce(F.col("uses") * F.col("n_piece"), F.lit(0))).cast("bigint").alias("taken"), F.min("shard").alias("first_shard"))
+    some = joined.groupBy(*key).agg(F.sum(F.coalesce(F.col("uses") * words_taken("most_words"), F.lit(0))).cast("bigint").alias("taken"), F.min("shard").alias("first_shard"))
     none = placed.filter("size = 0").select(*key, F.lit(0).cast("bigint").alias("taken"), F.lit(None).cast("bigint").alias("first_shard"))
     return some.unionByName(none).select("doc_id", "size", "source_size", "target", "taken", "first_shard")
 
@@ -149,11 +169,11 @@ def mix_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
     kept, space-joined, in order. Columns are those of ``docs`` (n_chars follows the text).
     """
     columns = docs.columns
-    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col("doc_id"), F.col("source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("size"))
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in columns)).alias("__row"), F.col("doc_id"), F.col("source"), F.size(words(F.col(f"`{text}`"))).cast("bigint").alias("size"), F.xxhash64(F.col(f"`{text}`")).alias("mark"))
     buckets = bucket_count(docs)
     placed, plan = lay_out(rows, buckets, **settings)
-    uses = draw_slots(plan, slot_tasks(docs, buckets)).select("skey", "block", "pass")
-    taken = pieces(placed.drop("__row")).join(uses.hint("merge"), ["skey", "block"])
+    uses = draw_slots(plan, slot_tasks(docs, buckets)).select("skey", "block", "pass", "most_words")
+    taken = pieces(placed.drop("__row")).join(uses.hint("merge"), ["skey", "block"]).withColumn("n_piece", words_taken("most_words")).filter("n_piece > 0")
     parts = taken.groupBy("skey", "start", "pass").agg(F.sum("n_piece").alias("__words"), F.sort_array(F.collect_list(F.struct("from_word", "n_piece"))).alias("__parts"))
     joined = parts.join(placed.filter("size > 0").select("skey", "start", "size", "__row").hint("merge"), ["skey", "start"])
     joined = joined.withColumn("__list", F.when(F.col("__words") < F.col("size"), words(F.col(f"__row.`{text}`"))))
@@ -165,4 +185,4 @@ def mix_documents(docs: DataFrame, text: str = "text", **settings) -> DataFrame:
 
 def mix_report(docs: DataFrame) -> DataFrame:
     """The report over documents; the words of each text are counted once, into a narrow stage."""
-    return taken_words(materialise(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size")), "sizes"))
+    return taken_words(materialise(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("mark")), "sizes"))

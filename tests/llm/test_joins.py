@@ -7,6 +7,8 @@ import zlib
 
 import numpy as np
 import pytest
+import xxhash
+from pyspark.sql import functions as F
 
 from catalog_lake.llm import graph, jaccard, mixing, sharding, suffix_dedup
 from tests.conftest import rows
@@ -83,12 +85,33 @@ def test_suffix_dedup_edge_cases(spark):
     assert found == sorted([(None, 200_000), (None, 200_000), (1, 0), (1, 0), (2, 0)], key=repr)
 
 
-def test_previous_and_next_smaller():
+def test_previous_smaller_and_the_least_on_the_way():
     rng = np.random.default_rng(0)
     for _ in range(50):
-        v = rng.integers(0, 9, size=40)
+        v, common = rng.integers(0, 9, size=40), rng.integers(0, 99, size=40)
         want = [max((j for j in range(i) if v[j] < v[i]), default=-1) for i in range(40)]
-        assert suffix_dedup.smaller_neighbour(v).tolist() == want
+        found, least = suffix_dedup.smaller_neighbour(v, common)
+        assert found.tolist() == want and all(least[i] == min(common[j + 1 : i + 1]) for i, j in enumerate(want) if j >= 0)
+
+
+def test_longest_previous_factors_equal_brute_force():
+    rng = np.random.default_rng(5)
+    for letters in (1, 2, 3):
+        rows_, docs_ = [], rng.integers(0, 6, size=25)
+        whole = rng.integers(97, 97 + letters, size=400).astype(np.uint8)
+        for _ in docs_:
+            lo = rng.integers(0, 30)
+            hi = rng.integers(lo, 30)
+            at = rng.integers(0, 400 - 80)
+            segment = np.zeros(suffix_dedup.SEGMENT + 2, dtype=np.uint8)
+            segment[lo : hi + 50] = whole[at + lo : at + hi + 50]
+            segment[suffix_dedup.SEGMENT :] = lo, hi
+            rows_.append(segment)
+        row, start, factor = suffix_dedup.previous_factors(np.stack(rows_), docs_)
+        suffix = [bytes(rows_[r][s : rows_[r][-1] + 50]) for r, s in zip(row, start, strict=True)]
+        shared = lambda a, b: next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+        want = [max((shared(a, b) for r, b in zip(row, suffix, strict=True) if docs_[r] < docs_[q]), default=0) for q, a in zip(row, suffix, strict=True)]
+        assert factor.tolist() == want
 
 
 # ---- Jaccard
@@ -230,7 +253,59 @@ def test_mixing_meets_its_targets(spark, docs):
         taken[source[r["doc_id"]]] += r["taken"]
     assert len(found) == len(listed)
     for s, target in want.items():
-        assert abs(taken[s] - target) <= max(0.03 * target, 60)
+        assert abs(taken[s] - target) <= max(0.03 * target, 60), (s, taken[s], target)
+
+
+def swap_or_not(x, n, *salt, inverse=False):
+    """The permutation by its definition, with the hash that the engine's expressions use."""
+
+    def hashed(*values):
+        h = 42
+        for v in values:
+            raw = v.encode() if isinstance(v, str) else int(v).to_bytes(8 if v is not None and isinstance(v, Long) else 4, "little", signed=True)
+            h = xxhash.xxh64(raw, seed=h).intdigest()
+        return h - (1 << 64) if h >> 63 else h
+
+    for r in sorted(range(1, mixing.ROUNDS + 1), reverse=inverse):
+        partner = (hashed(mixing.SEED, *salt, r) % n - x) % n
+        if hashed(mixing.SEED, *salt, r, Long(max(x, partner))) % 2:
+            x = partner
+    return x
+
+
+class Long(int):
+    """An integer of eight bytes."""
+
+
+def test_taken_words_equal_brute_force(spark):
+    """Every slot of the plan is mapped by hand; the documents' words in the blocks drawn are counted."""
+    listed = [(d, t, lang, s, n) for d, t, lang, s, n in corpus(150, seed=12)]
+    df = spark.createDataFrame(listed, SCHEMA).selectExpr("doc_id", "source", "size(filter(split(coalesce(text, ''), ' '), w -> w <> '')) as size", "xxhash64(text) as mark").withColumn("size", F.col("size").cast("bigint"))
+    placed, plan = mixing.lay_out(df, 3, block_words=16)
+    places, sources = placed.collect(), {r["skey"]: r for r in plan.collect()}
+    streams = collections.Counter()
+    for r in sorted(places, key=lambda r: r["start"]):
+        assert r["start"] == streams[r["skey"]] or not r["size"]
+        streams[r["skey"]] += r["size"]
+    assert all(r["blocks"] == -(-streams[key] // 16) for key, r in sources.items())
+    assert mixing.bucket_count(df) == 1
+    found = {r["doc_id"]: r["taken"] for r in mixing.taken_words(df, block_words=16).collect()}
+    placed, _ = mixing.lay_out(df, 1, block_words=16)
+    streams = collections.defaultdict(list)
+    for r in sorted(placed.collect(), key=lambda r: r["start"]):
+        streams[r["skey"]] += [r["doc_id"]] * r["size"]
+    taken = collections.Counter({d: 0 for d, *_ in listed})
+    for key, r in sources.items():
+        for j in range(r["slots"]):
+            block = swap_or_not(j % r["blocks"], r["blocks"], key, Long(j // r["blocks"]))
+            taken.update(streams[key][block * 16 : block * 16 + 16][: 16 if j < r["slots"] - 1 else r["last_words"]])
+    assert found == dict(taken)
+    counts = mixing.draw_counts(plan, 4, shard_blocks=20).collect()
+    by_source, by_shard = collections.Counter(), collections.Counter()
+    for r in counts:
+        by_source[r["skey"]] += r["n"]
+        by_shard[r["shard"]] += r["n"]
+    assert by_source == {k: r["slots"] for k, r in sources.items() if r["slots"]} and sorted(by_shard.values())[1:] == [20] * (len(by_shard) - 1)
 
 
 def test_permutations_are_bijections(spark):
