@@ -10,10 +10,13 @@ first-order model of random strings explains better than a model of ordinary ide
 ``THRESHOLD`` nats a character or more. Both models are trained from labelled samples: random strings
 are the values of base matches in a bounded sample of documents plus seeded random strings over common
 alphabets; ordinary identifiers are the words of the sampled documents, also joined by case and
-underscores. The sample is the SAMPLE_DOCS documents with the least hash, whatever the table's size.
+underscores. The sample is the SAMPLE_DOCS documents with the least hash, whatever the table's size; rows
+that repeat count once.
 
-Scanning is one pass over whole texts, without shuffle. Defined cases: a NULL text is empty and has no
-spans; a table without secrets trains on the random strings alone; empty tables give empty results.
+Scanning is one pass over whole texts, without shuffle, in time that grows with the text's length alone.
+Defined cases: a NULL text is empty and has no spans; very long texts are scanned whole; NULL and repeated
+ids are scanned row by row; a table without secrets trains on the random strings alone; other columns of
+the input, whatever their names, are not touched; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -101,8 +104,8 @@ def train(docs: DataFrame, sample_docs: int = SAMPLE_DOCS) -> np.ndarray:
     The sample's bound is the sample_docs-th least hash, so that no task receives the texts of others.
     """
     hashed = docs.select("doc_id", "text").withColumn("__hash", F.xxhash64("doc_id", "text", F.lit(SEED)))
-    bound = hashed.select("__hash").orderBy("__hash").limit(sample_docs).agg(F.max("__hash")).first()[0]
-    sample = hashed.filter(F.col("__hash") <= F.lit(bound if bound is not None else 0)).select("text")
+    bound = hashed.select("__hash").distinct().orderBy("__hash").limit(sample_docs).agg(F.max("__hash")).first()[0]
+    sample = hashed.filter(F.col("__hash") <= F.lit(bound if bound is not None else 0)).dropDuplicates(["__hash"]).select("text")
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
@@ -126,12 +129,13 @@ def score(token: str, ratios: np.ndarray) -> float:
 
 def model_spans(text: str, spans: list[tuple[int, int, str]], ratios: np.ndarray, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Tokens outside ``spans`` that look random. Tokens without a letter and a digit or both cases are passed over."""
-    found, at = [], 0
+    found, at, reach = [], 0, 0  # reach: the furthest end of the spans that start before the token's end
     for m in TOKEN.finditer(text):
         token = m.group()
-        while at < len(spans) and spans[at][1] <= m.start() and all(s[1] <= m.start() for s in spans[: at + 1]):
+        while at < len(spans) and spans[at][0] < m.end():
+            reach = max(reach, spans[at][1])
             at += 1
-        if any(s < m.end() and e > m.start() for s, e, _ in spans[at:]):
+        if reach > m.start():
             continue
         mixed = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)
         if mixed >= 2 and score(token, ratios) >= threshold:
