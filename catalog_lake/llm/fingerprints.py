@@ -7,9 +7,13 @@ Because the fraction is fixed, sketches of very unequal documents stay comparabl
 small one's hashes that the large one has estimates containment, and the shared part of the union
 estimates likeness (Jaccard).
 
-Only column expressions, in one projection. Defined cases: a text of fewer than five words has one
+Only column expressions. Defined cases: a text of fewer than five words has one
 shingle, all its words; a text without words (NULL, blank) has an empty sketch, and two empty sketches
-have likeness 1, one empty and one not 0; repeated words and rows change nothing.
+have likeness 1, one empty and one not 0; repeated words and rows change nothing; very long texts are
+sketched whole. In the report documents are in descending order of doc_id, NULL ids last; rows of one id
+follow by the hash of their texts, then by the texts, and are spread over ranges of that hash where the id
+is frequent, so that neither NULL nor any other id fills one task. Ids may be as wide as bigint allows;
+other columns of the input, whatever their names, are not touched; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,9 +25,8 @@ from catalog_lake.llm.common import groups_for, words
 SHINGLE_WORDS = 5
 #: One of so many hashes is kept, on average.
 SCALE = 4
-#: Percentile segments of doc_id, and ranges up to which their first rows are broadcast.
+#: Percentile segments of doc_id.
 SEGMENTS = 256
-BROADCAST_RANGES = 1_000_000
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -63,9 +66,11 @@ def printed(hashes: Column) -> Column:
 
 
 def doc_ranges(docs: DataFrame, ranges: int) -> Column:
-    """Number of the range of doc_id that a row lies in, ascending as doc_id descends; NULL ids have the last.
+    """Number of the range that a row lies in, ascending as doc_id descends and, within a frequent id, as __hash ascends.
 
-    At most SEGMENTS segments of about equally many rows, by approximate percentiles, each cut into ranges of equal width.
+    At most SEGMENTS segments of about equally many rows, by approximate percentiles, each cut into ranges
+    of equal width. An id that bounds a segment may be frequent: it has a place of its own, which is cut by
+    __hash, like the last place, that of NULL ids.
     """
     segments = min(ranges, SEGMENTS)
     each = -(-ranges // segments)
@@ -73,34 +78,35 @@ def doc_ranges(docs: DataFrame, ranges: int) -> Column:
     edges = sorted(set(found), reverse=True)  # at most SEGMENTS + 1 numbers
     cut = F.array(*(F.lit(int(e)).cast("bigint") for e in edges))
     segment = F.least(F.size(F.filter(cut, lambda e: e > F.col("doc_id"))), F.lit(len(edges)))
-    high, low = F.get(cut, segment - 1), F.get(cut, segment)
-    inner = F.coalesce(F.floor((high - F.col("doc_id")) * F.lit(float(each)) / (high - low)), F.lit(0))
-    place = segment.cast("bigint") * (each + 1) + F.greatest(F.lit(0), F.least(inner, F.lit(each)))
-    return F.when(F.col("doc_id").isNull(), F.lit((len(edges) + 2) * (each + 1)).cast("bigint")).otherwise(place)
+    high, low, at = (c.cast("double") for c in (F.get(cut, segment - 1), F.get(cut, segment), F.col("doc_id")))
+    inner = F.coalesce(F.floor((high - at) * F.lit(float(each)) / F.nullif(high - low, F.lit(0.0))), F.lit(0))
+    inner = F.greatest(F.lit(0), F.least(inner, F.lit(each)))
+    edge = F.array_contains(cut, F.col("doc_id"))
+    place = segment.cast("bigint") * (each + 2) + F.when(edge, F.lit(each + 1)).otherwise(inner)
+    place = F.when(F.col("doc_id").isNull(), F.lit((len(edges) + 1) * (each + 2)).cast("bigint")).otherwise(place)
+    part = F.when(F.col("doc_id").isNull() | edge, F.least(F.floor((F.col("__hash") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(ranges)), F.lit(ranges - 1))).otherwise(F.lit(0))
+    return place * ranges + part.cast("bigint")
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     """``docs`` (doc_id, text; no NULL text) plus fp and next: struct (text, fp) of the next row in descending doc_id, of the first row after the last.
 
-    Rows are dealt once, to ranges of doc_id; within a range the next row is a window's lead. Every range
-    also gets a copy of the first row of the range after it, behind its own rows, for its last row. NULL
-    ids come last; rows of one id follow by their texts.
+    Rows are dealt once, to ranges in that order; within a range the next row is a window's lead. Every
+    range also gets a copy of the first row of the range after it, behind its own rows, for its last row.
     """
-    dealt = docs.withColumn("__range", doc_ranges(docs, ranges))
+    dealt = docs.withColumn("__hash", F.xxhash64("text"))
+    dealt = dealt.withColumn("__range", doc_ranges(dealt, ranges))
     heads = dealt.groupBy("__range").agg(F.max("doc_id").alias("__head"))
     order = W.orderBy(F.col("__range").desc())  # one row per range
-    heads = heads.withColumn("__into", F.coalesce(F.lag("__range", -1).over(order), F.max("__range").over(W.partitionBy()))).filter("__head is not null")
-    if ranges <= BROADCAST_RANGES:  # 24 bytes a range
-        heads = F.broadcast(heads)
-    copies = docs.join(heads.select(F.col("__head").alias("doc_id"), "__into"), "doc_id").select("doc_id", "text", F.col("__into").alias("__range"))
-    # the range of NULL ids: its first row is the least text
-    nulls = docs.filter("doc_id is null").agg(F.min("text").alias("text"), F.count(F.lit(1)).alias("n")).filter("n > 0")
-    last = dealt.agg(F.coalesce(F.max(F.when(F.col("doc_id").isNotNull(), F.col("__range"))), F.max("__range")).alias("__last"))
-    copies = copies.unionByName(nulls.crossJoin(last).select(F.lit(None).cast("bigint").alias("doc_id"), "text", F.col("__last").cast("bigint").alias("__range")))
+    heads = heads.withColumn("__into", F.coalesce(F.lag("__range", -1).over(order), F.max("__range").over(W.partitionBy())))
+    # a combining aggregate: of the rows of a range's first id, one a task is sent
+    first = dealt.join(heads, (dealt["__range"] == heads["__range"]) & dealt["doc_id"].eqNullSafe(heads["__head"]))
+    copies = first.groupBy("__into").agg(F.min(F.struct("__hash", "text")).alias("__first"))
+    copies = copies.select(F.lit(None).cast("bigint").alias("doc_id"), F.col("__first.text").alias("text"), F.col("__first.__hash").alias("__hash"), F.col("__into").alias("__range"))
     rows = dealt.withColumn("__copy", F.lit(False)).unionByName(copies.withColumn("__copy", F.lit(True)))
     rows = with_sketch(rows, F.col("text"), "fp")
-    window = W.partitionBy("__range").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "text")
-    return rows.withColumn("next", F.lead(F.struct("text", "fp")).over(window)).filter("not __copy").drop("__copy", "__range")
+    window = W.partitionBy("__range").orderBy("__copy", F.col("doc_id").desc_nulls_last(), "__hash", "text")
+    return rows.withColumn("next", F.lead(F.struct("text", "fp")).over(window)).filter("not __copy").drop("__copy", "__range", "__hash")
 
 
 def fingerprint_report(docs: DataFrame) -> DataFrame:

@@ -4,11 +4,13 @@ import hashlib
 import random
 import re
 import string
+import time
 
 import numpy as np
 import public_tokenizers
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 
 from catalog_lake.llm import bpe, fingerprints, quality, secrets
@@ -46,11 +48,50 @@ def test_fingerprints_follow_the_next_document(spark):
     assert found[11]["fingerprint"] == found[12]["fingerprint"] and found[12]["near_next"] == 1
 
 
+def text_hash(*parts):
+    """The engine's 64-bit hash of strings, signed."""
+    h = 42
+    for part in parts:
+        h = xxhash.xxh64(part.encode(), seed=h).intdigest()
+    return h - (1 << 64) if h >> 63 else h
+
+
+def brute_sketch(text):
+    w = re.findall(r"[^\x20\x09-\x0D]+", text)
+    hashes = {text_hash(*w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    return sorted({h for h in hashes if h < -(1 << 63) + (1 << 64) // fingerprints.SCALE} | ({min(hashes)} if hashes else set()))
+
+
+def test_report_equals_brute_force(spark):
+    rng = random.Random(3)
+    word = lambda: rng.choice(("the", "é", "cat", "x1", "日本", "ran"))
+    listed = [(d, " ".join(word() for _ in range(rng.choice((0, 1, 4, 5, 30, 200))))) for d in [*range(60), -(2**63), 2**63 - 1, 0, 5, 5, 5, None, None, None]]
+    listed += [(7, "many rows of one id " * 3)] * 40 + [(9, None)]
+    order = sorted(((d, t or "") for d, t in listed), key=lambda r: (r[0] is None, -(r[0] or 0), text_hash(r[1])))
+    want = []
+    for i, (d, t) in enumerate(order):
+        after, cut = order[(i + 1) % len(order)][1], len(t) // 3
+        edited = t[: len(t) - cut] + after[:cut]
+        a, b, c = map(brute_sketch, (t, edited, after))
+        like = lambda x, y: 1.0 if not x and not y else len(set(x) & set(y)) / len(set(x) | set(y))
+        shown = lambda x: ",".join(f"{h % (1 << 64):016x}" for h in x)
+        want.append((d, len(t), hashlib.sha256(edited.encode()).hexdigest(), shown(a), shown(b), like(a, b), like(a, c)))
+    df = spark.createDataFrame([(d, t, 1, "e") for d, t in listed], "doc_id bigint, text string, fp int, next string")
+    report = fingerprints.fingerprint_report(df).select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next")
+    assert sorted(map(tuple, report.collect()), key=repr) == sorted(want, key=repr)
+
+
+def test_frequent_ids_are_spread_over_ranges(spark):
+    docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate([None] * 500 + [5] * 500 + list(range(300)))], "doc_id bigint, text string").withColumn("__hash", F.xxhash64("text"))
+    sizes = [r["count"] for r in docs.groupBy(fingerprints.doc_ranges(docs, 16).alias("r")).count().collect()]
+    assert max(sizes) < 80
+
+
 def test_fingerprints_over_many_ranges_and_null_ids(spark):
     rows = [(d, f"text number {d} " * 9) for d in [*range(0, 400, 3), *range(100_000, 100_050)]] + [(None, "b"), (None, "a")]
     led = fingerprints.with_next(spark.createDataFrame(rows, "doc_id bigint, text string"), 7)
     found = [(r["doc_id"], r["text"], r["next"]["text"]) for r in led.collect()]
-    order = sorted((r for r in rows if r[0] is not None), reverse=True) + [(None, "a"), (None, "b")]
+    order = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), text_hash(r[1])))
     assert sorted(found, key=repr) == sorted(((*order[i], order[(i + 1) % len(order)][1]) for i in range(len(order))), key=repr)
 
 
@@ -125,6 +166,30 @@ def test_secret_edge_cases(spark, docs):
     assert r["spans"] == "assign:2:26,hex:32:64" and (r["n_assign"], r["n_hex"]) == (1, 1)
 
 
+def brute_model_spans(text, spans, ratios):
+    return [(m.start(), m.end(), "markov") for m in secrets.TOKEN.finditer(text) if not any(s < m.end() and e > m.start() for s, e, _ in spans)
+            and sum((any(c.isdigit() for c in m[0]), any(c.islower() for c in m[0]), any(c.isupper() for c in m[0]))) >= 2 and secrets.score(m[0], ratios) >= secrets.THRESHOLD]
+
+
+def test_model_spans_equal_brute_force_and_long_texts_are_quick():
+    rng = random.Random(11)
+    strings = secrets.random_strings(300, seed=2)
+    names = [f"read_{a}_{b}_handler" for a in ("user", "block", "index") for b in ("table", "shard", "lease")]
+    ratios = secrets.log_ratio(secrets.transitions(secrets.random_strings()), secrets.transitions(names * 50))
+    found = 0
+    for _ in range(60):
+        text = " ".join(rng.choice((rng.choice(strings), rng.choice(names), "token=" + rng.choice(strings), "deadbeef" * 4, "AKIA" + "A1" * 9, "word")) for _ in range(rng.randint(0, 40)))
+        base = secrets.base_spans(text)
+        spans = secrets.model_spans(text, base, ratios)
+        assert spans == brute_model_spans(text, base, ratios)
+        found += len(spans)
+    assert found > 20
+    long = " ".join([*strings * 20, *("token=" + s for s in strings * 60)])
+    began = time.perf_counter()
+    assert len(secrets.scan(long, ratios)[0]) >= 60 * 300
+    assert time.perf_counter() - began < 5
+
+
 def test_redaction_leaves_clean_rows_alone(spark):
     docs = spark.createDataFrame([(1, "clean text", 10), (2, "token=abcdefgh end", 18), (3, None, None)], "doc_id bigint, text string, n_chars bigint")
     found = {r["doc_id"]: (r["text"], r["n_chars"]) for r in secrets.redact(docs).collect()}
