@@ -52,7 +52,7 @@ def build_cdn_url(host: str, shop: Column, hex_: Column, image: Column, suffix:
 def listing_text(title: Column, materials: Column) -> Column:
     """Title and materials (a JSON list of strings) joined by ``". "``; other JSON gives the title alone."""
     listed = F.from_json(materials, "array<string>")
-    strings = ~F.coalesce(materials.rlike(r'^\s*\[\s*[^"\]\s]|,\s*[^"\s]'), F.lit(False)) & ~F.coalesce(F.exists(listed, lambda x: x.isNull()), F.lit(False))
+    strings = F.schema_of_variant(F.try_parse_json(materials)).isin("ARRAY<STRING>", "ARRAY<VOID>") & ~F.coalesce(F.exists(listed, lambda x: x.isNull()), F.lit(False))
     joined = F.when(strings & (F.size(listed) > 0), F.array_join(listed, ", "))
     return F.concat_ws(". ", empty_to_null(title), joined)
 

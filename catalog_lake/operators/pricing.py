@@ -10,7 +10,9 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window as W, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from catalog_lake.session import materialise
 
 UNBOUNDED = 1_000_000.0
 PAGING_CAP = 10_000
@@ -18,16 +20,19 @@ GROW_TARGET, HALVE_TARGET = 5_000, 8_000
 
 
 def descendants(nodes: DataFrame, root: int) -> DataFrame:
-    """(id, name, depth, path): root and everything below it; sort by path for pre-order."""
-    name = "taxonomy_nodes_for_descendants"
-    nodes.createOrReplaceTempView(name)
+    """(id, name, depth, path): root and everything below it; sort by path for pre-order.
+
+    A recursive query: up to spark.sql.cteRecursionLevelLimit levels and cteRecursionRowLimit rows, beyond which it fails.
+    """
     return nodes.sparkSession.sql(
-        f"""with recursive tree as (
-            select id, name, 0 as depth, cast('' as string) as path from {name} where id = {int(root)}
+        """with recursive tree as (
+            select id, name, 0 as depth, cast('' as string) as path from {nodes} where id = {root}
             union all
             select n.id, n.name, t.depth + 1, concat(t.path, '/', lpad(cast(n.ord as string), 6, '0'))
-            from {name} n join tree t on n.parent_id = t.id)
-        select * from tree"""
+            from {nodes} n join tree t on n.parent_id = t.id)
+        select * from tree""",
+        nodes=nodes,
+        root=int(root),
     )
 
 
@@ -66,8 +71,12 @@ def assign_price_bucket(listings: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def bucket_counts(listings: DataFrame, units: DataFrame, cap: int = PAGING_CAP) -> DataFrame:
-    """Listings per interval, empty ones too, and whether the count reaches the paging cap."""
-    counts = assign_price_bucket(listings, units).filter("unit is not null").groupBy("taxonomy_id", "unit").agg(F.count(F.lit(1)).alias("n"))
+    """Listings per interval, empty ones too, and whether the count reaches the paging cap.
+
+    Listings are counted by price first, so that intervals are looked up once for each price of a taxonomy.
+    """
+    prices = listings.groupBy("taxonomy_id", F.round("price", 2).alias("price")).agg(F.count(F.lit(1)).alias("listings"))
+    counts = assign_price_bucket(prices, units).filter("unit is not null").groupBy("taxonomy_id", "unit").agg(F.sum("listings").alias("n"))
     joined = units.select("taxonomy_id", "unit").join(counts, ["taxonomy_id", "unit"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     return joined.withColumn("at_cap", F.col("n") >= cap)
 
@@ -166,12 +175,7 @@ def price_breaks_halve(listings: DataFrame, target: int = HALVE_TARGET) -> DataF
 
 
 def interval_loads(listings: DataFrame, breaks: DataFrame) -> DataFrame:
-    """Counts per interval of searched breaks, to see how even they are."""
-    config = breaks.select("taxonomy_id", F.lit("").alias("name"), "price_breaks")
+    """Counts per interval of searched breaks, to see how even they are. The breaks are searched once and stored."""
+    config = materialise(breaks, "breaks").select("taxonomy_id", F.lit("").alias("name"), "price_breaks")
     return bucket_counts(listings, crawl_units(config))
 
-
-def running_counts(listings: DataFrame) -> DataFrame:
-    """(taxonomy_id, cents, n, upto): the histogram with its prefix sums, for probing any break."""
-    w = W.partitionBy("taxonomy_id").orderBy("cents").rowsBetween(W.unboundedPreceding, 0)
-    return histogram(listings).withColumn("upto", F.sum("n").over(w))

@@ -124,19 +124,19 @@ def e3(t):
 
 def nodes(t):
     """A tree over the parts' ids: node n is below n div 3."""
-    return t.part.filter("p_partkey < 2000").select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.expr("p_partkey div 3")).alias("parent_id"), F.col("p_name").alias("name"), F.expr("cast(p_partkey % 3 as int)").alias("ord")).filter("id > 0 or parent_id is null")
+    return t.part.select(F.col("p_partkey").alias("id"), F.when(F.col("p_partkey") > 0, F.expr("p_partkey div 3")).alias("parent_id"), F.col("p_name").alias("name"), F.expr("cast(p_partkey % 3 as int)").alias("ord")).filter("id > 0 or parent_id is null")
 
 
 @query(
     "f1_descendants",
     """with recursive tree as (select p_partkey as id, p_name as name, 0 as depth, '' as path from part where p_partkey = 4 union all
-    select p.p_partkey, p.p_name, t.depth + 1, concat(t.path, '/', lpad(cast(p.p_partkey % 3 as string), 6, '0')) from part p join tree t on p.p_partkey DIV 3 = t.id where p.p_partkey < 2000 and p.p_partkey > 0) select * from tree""",
+    select p.p_partkey, p.p_name, t.depth + 1, concat(t.path, '/', lpad(cast(p.p_partkey % 3 as string), 6, '0')) from part p join tree t on p.p_partkey DIV 3 = t.id where p.p_partkey > 0) select * from tree""",
 )
 def f1(t):
     return pricing.descendants(nodes(t), 4)
 
 
-@query("f2_leaves", "with recursive tree as (select cast(4 as bigint) as id, 0 as depth union all select p.p_partkey, t.depth + 1 from part p join tree t on p.p_partkey DIV 3 = t.id where p.p_partkey < 2000 and p.p_partkey > 0) select t.id, p_name as name from tree t join part on p_partkey = t.id where depth > 0 and t.id not in (select p_partkey DIV 3 from part where p_partkey > 0 and p_partkey < 2000)")
+@query("f2_leaves", "with recursive tree as (select cast(4 as bigint) as id, 0 as depth union all select p.p_partkey, t.depth + 1 from part p join tree t on p.p_partkey DIV 3 = t.id where p.p_partkey > 0) select t.id, p_name as name from tree t join part on p_partkey = t.id where depth > 0 and t.id not in (select p_partkey DIV 3 from part where p_partkey > 0)")
 def f2(t):
     return pricing.leaves(nodes(t), 4)
 
@@ -303,13 +303,13 @@ def i11(t):
     return archive.primary_batches(archive.primary_map(t.image_status), t.region.select(F.format_string("primary_%05d.tar", F.col("r_regionkey") + 3).alias("tar_name")), 250)
 
 
-@query("i12_read_members", f"with {MEMBERS} select tar_name, concat(cast(listing_id as string), '_', cast(image_id as string), '.jpg') as member, size from members where pos % 7 = 0")
+@query("i12_read_members", f"with {MEMBERS} select tar_name, concat(cast(listing_id as string), '_', cast(image_id as string), '.jpg') as member, size from members")
 def i12(t):
     from catalog_lake.session import materialise
 
     folder = new_folder(t)
     scanned = materialise(archive.scan_tars(archive.pack_tars(packable(t), folder), folder), "scan")
-    wanted = members(t).filter("pos % 7 = 0").select("tar_name", F.format_string("%d_%d.jpg", "listing_id", "image_id").alias("member"))
+    wanted = members(t).select("tar_name", F.format_string("%d_%d.jpg", "listing_id", "image_id").alias("member"))
     return archive.read_members(scanned.join(wanted, ["tar_name", "member"]), folder).select("tar_name", "member", F.length("content").cast("bigint").alias("size"))
 
 

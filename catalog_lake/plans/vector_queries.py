@@ -35,9 +35,9 @@ def searched(t, k: int):
     return search.top_k(queries, c, k)
 
 
-@query("g1_listing_text", "select listing_id, case listing_id % 4 when 0 then title when 1 then title || '. ' || brand || ', ' || kind when 2 then brand when 3 then title end as text from listings")
+@query("g1_listing_text", "select listing_id, case listing_id % 4 when 0 then title when 1 then title || '. ' || brand || ', \"' || kind || '\", [x]' when 2 then brand when 3 then title end as text from listings")
 def g1(t):
-    materials = F.expr("case listing_id % 4 when 0 then null when 1 then to_json(array(brand, kind)) when 2 then to_json(array(brand)) else '[1, \"x\"]' end")
+    materials = F.expr("case listing_id % 4 when 0 then null when 1 then to_json(array(brand, concat('\"', kind, '\", [x]'))) when 2 then to_json(array(brand)) else if(listing_id % 8 = 3, '[1, \"x\"]', '[[\"x\"]]') end")
     return t.listings.select("listing_id", C.listing_text(F.expr("if(listing_id % 4 = 2, '', title)"), materials).alias("text"))
 
 
@@ -56,13 +56,13 @@ def letters():
     return encode
 
 
-@query("g3_embed")
+@query("g3_embed", "select doc_id as listing_id, cast(1 as bigint) as image_id, 'letters' as model, case when text is not null then cast(16 as int) end as dim, text is not null as decoded from documents")
 def g3(t):
     images = t.documents.select(F.col("doc_id").alias("listing_id"), F.lit(1).cast("bigint").alias("image_id"), F.encode("text", "UTF-8").alias("content"))
     return vectors.embed(images, letters, "letters", 16).select("listing_id", "image_id", "model", F.size("embedding").alias("dim"), "decoded")
 
 
-@query("g4_embed_text")
+@query("g4_embed_text", "select o.listing_id, o.image_id, cast(16 as int) as dim, true as decoded from line_order o where o.ord = 1")
 def g4(t):
     texts = t.listings.select("listing_id", F.col("title").alias("text"))
     index = t.line_order.filter("ord = 1").select("listing_id", "image_id")
@@ -108,12 +108,12 @@ def g10(t):
 
 @query(
     "g11_check_shards",
-    """with v as (select image_id DIV 100 as shard, count(*) as n, count(*) filter (where image_id % 50 > 0) as head from vectors where image_id DIV 100 <> 2 group by 1), i as (select image_id DIV 100 as shard, count(*) as n from vectors where image_id < 350 group by 1)
+    """with v as (select image_id DIV 100 as shard, count(*) as n, count(*) filter (where image_id % 50 > 0) as head from vectors where image_id DIV 100 <> 2 group by 1), i as (select image_id DIV 100 as shard, count(*) as n from vectors where image_id DIV 100 % 3 > 0 or image_id % 7 > 0 group by 1)
     select coalesce(i.shard, v.shard) as shard, coalesce(i.n, 0) as indexed, case when v.shard = 1 then head else v.n end as least, v.n as most,
     case when v.shard is null then 'no vectors' when v.shard = 1 then 'different counts' when v.n <> coalesce(i.n, 0) then 'count mismatch' else 'consistent' end as outcome from v full join i on i.shard = v.shard""",
 )
 def g11(t):
-    index = t.vectors.filter("image_id < 350").select(F.expr("image_id div 100").alias("shard"))
+    index = t.vectors.filter("image_id div 100 % 3 > 0 or image_id % 7 > 0").select(F.expr("image_id div 100").alias("shard"))
     return vectors.check_shards(index, corpus(t).filter("shard <> 2 and not (model = 'head' and shard = 1 and image_id % 50 = 0)"))
 
 

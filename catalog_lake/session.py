@@ -26,11 +26,13 @@ def build_session(name: str = "catalog_lake", master: str | None = None, **conf:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``.
 
-    Where the cluster names none (local runs, tests) a local folder is set for the session.
+    Where none is named, a local master (tests) gets a local folder for the session; a cluster is an error.
     """
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not named:
         current = spark.sparkContext.getCheckpointDir()
+        if current is None and not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         if current is None:
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
             current = spark.sparkContext.getCheckpointDir()

@@ -113,9 +113,9 @@ def test_names_and_addresses(spark):
 
 
 def test_listing_texts(spark):
-    given = [("T", '["a","b"]'), ("T", "[]"), ("", '["a"]'), (None, None), ("T", "broken"), ("T", '[1,"x"]'), ("T", None)]
+    given = [("T", '["a","b"]'), ("T", "[]"), ("", '["a"]'), (None, None), ("T", "broken"), ("T", '[1,"x"]'), ("T", None), ("T", '["oak, solid","glass"]'), ("", '["a,b"]'), ("T", '["q\\"1, 2\\"", "[z]"]'), ("T", '[["a"]]'), ("T", '["a",null]'), ("T", '[null]'), ("T", '{"a":"b"}'), ("T", ' [ "a" , "b" ] ')]
     found = [r[0] for r in frame(spark, given, "t string, m string").select(C.listing_text(F.col("t"), F.col("m"))).collect()]
-    assert found == ["T. a, b", "T", "a", "", "T", "T", "T"]
+    assert found == ["T. a, b", "T", "a", "", "T", "T", "T", "T. oak, solid, glass", "a,b", 'T. q"1, 2", [z]', "T", "T", "T", "T", "T. a, b"]
 
 
 def test_migration_to_image_status(spark):
