@@ -25,8 +25,9 @@ from catalog_lake.llm.common import groups_for, words
 SHINGLE_WORDS = 5
 #: One of so many hashes is kept, on average.
 SCALE = 4
-#: Percentile segments of doc_id.
+#: Percentile segments of doc_id, and first rows of ranges (24 bytes each) that are broadcast at most; more are joined by a shuffle.
 SEGMENTS = 256
+BROADCAST_ROWS = 3_000_000
 
 
 def with_sketch(df: DataFrame, text: Column, name: str) -> DataFrame:
@@ -74,8 +75,12 @@ def doc_ranges(docs: DataFrame, ranges: int) -> Column:
     """
     segments = min(ranges, SEGMENTS)
     each = -(-ranges // segments)
-    found = docs.agg(F.percentile_approx("doc_id", [i / segments for i in range(segments + 1)], 20_000).alias("b")).first()["b"] or [0]
+    row = docs.agg(F.percentile_approx("doc_id", [i / segments for i in range(segments + 1)], 20_000).alias("b"), F.avg(F.col("doc_id").isNull().cast("double")).alias("nulls")).first()
+    found = row["b"] or [0]
     edges = sorted(set(found), reverse=True)  # at most SEGMENTS + 1 numbers
+    # parts of a place by its share of the rows: about twice as many ranges as asked for, whatever the ids
+    parts = F.array(*(F.lit(-(-ranges * found.count(e) // segments)) for e in edges))
+    null_parts = int(ranges * (row["nulls"] or 0)) + 1
     cut = F.array(*(F.lit(int(e)).cast("bigint") for e in edges))
     segment = F.least(F.size(F.filter(cut, lambda e: e > F.col("doc_id"))), F.lit(len(edges)))
     high, low, at = (c.cast("double") for c in (F.get(cut, segment - 1), F.get(cut, segment), F.col("doc_id")))
@@ -84,8 +89,9 @@ def doc_ranges(docs: DataFrame, ranges: int) -> Column:
     edge = F.array_contains(cut, F.col("doc_id"))
     place = segment.cast("bigint") * (each + 2) + F.when(edge, F.lit(each + 1)).otherwise(inner)
     place = F.when(F.col("doc_id").isNull(), F.lit((len(edges) + 1) * (each + 2)).cast("bigint")).otherwise(place)
-    part = F.when(F.col("doc_id").isNull() | edge, F.least(F.floor((F.col("__hash") / F.lit(2.0**64) + F.lit(0.5)) * F.lit(ranges)), F.lit(ranges - 1))).otherwise(F.lit(0))
-    return place * ranges + part.cast("bigint")
+    most = F.when(F.col("doc_id").isNull(), F.lit(null_parts)).when(edge, F.get(parts, (F.array_position(cut, F.col("doc_id")) - 1).cast("int"))).otherwise(F.lit(1))
+    part = F.least(F.floor((F.col("__hash") / F.lit(2.0**64) + F.lit(0.5)) * most), most - 1)
+    return place * (2 * ranges + 2) + part.cast("bigint")
 
 
 def with_next(docs: DataFrame, ranges: int) -> DataFrame:
@@ -99,6 +105,8 @@ def with_next(docs: DataFrame, ranges: int) -> DataFrame:
     heads = dealt.groupBy("__range").agg(F.max("doc_id").alias("__head"))
     order = W.orderBy(F.col("__range").desc())  # one row per range
     heads = heads.withColumn("__into", F.coalesce(F.lag("__range", -1).over(order), F.max("__range").over(W.partitionBy())))
+    if 3 * ranges + 3 * SEGMENTS <= BROADCAST_ROWS:
+        heads = F.broadcast(heads)
     # a combining aggregate: of the rows of a range's first id, one a task is sent
     first = dealt.join(heads, (dealt["__range"] == heads["__range"]) & dealt["doc_id"].eqNullSafe(heads["__head"]))
     copies = first.groupBy("__into").agg(F.min(F.struct("__hash", "text")).alias("__first"))
