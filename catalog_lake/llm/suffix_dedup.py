@@ -239,9 +239,13 @@ def previous_factors(rows: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.
     padded = np.concatenate((rows[:, :SEGMENT], np.zeros((len(rows), SEGMENT), dtype=np.uint8)), axis=1)  # zeros after the end
     suffix = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(padded, SEGMENT, axis=1)[row, start])
     order = np.argsort(suffix.view(f"V{SEGMENT}").ravel(), kind="stable")
-    ranked, ends = suffix[order], length[order]
-    differ = ranked[1:] != ranked[:-1]
-    common = np.where(differ.any(axis=1), differ.argmax(axis=1), SEGMENT)
+    ends, common = length[order], np.empty(max(len(order) - 1, 0), dtype=np.int64)
+    for a in range(0, len(common), 1 << 16):  # neighbours by parts, so that one matrix of suffixes is held
+        b = min(a + (1 << 16), len(common))
+        ranked = suffix[order[a : b + 1]]
+        differ = ranked[1:] != ranked[:-1]
+        common[a:b] = np.where(differ.any(axis=1), differ.argmax(axis=1), SEGMENT)
+    del suffix
     common = np.minimum(common, np.minimum(ends[1:], ends[:-1]))
     values = doc[row[order]]
     before, with_before = smaller_neighbour(values, np.append(0, common))
