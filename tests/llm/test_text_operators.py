@@ -84,7 +84,7 @@ def test_report_equals_brute_force(spark):
 def test_frequent_ids_are_spread_over_ranges(spark):
     docs = spark.createDataFrame([(d, f"text {i}") for i, d in enumerate([None] * 500 + [5] * 500 + list(range(300)))], "doc_id bigint, text string").withColumn("__hash", F.xxhash64("text"))
     sizes = [r["count"] for r in docs.groupBy(fingerprints.doc_ranges(docs, 16).alias("r")).count().collect()]
-    assert max(sizes) < 80
+    assert max(sizes) < 2 * 1300 / 16  # about twice an even share at most
 
 
 def test_fingerprints_over_many_ranges_and_null_ids(spark):
