@@ -51,7 +51,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: No SQL: signatures, trained models, permutations and merges. Tests hold each stage against brute force.
+#: No SQL: signatures, trained models, permutations and merges. Operators are tested against brute force; the stages by the ids that they keep.
 ORACLE_SQL = None
 
 
