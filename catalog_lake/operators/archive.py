@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import hashlib
 import io
 import tarfile
 import uuid
 from collections.abc import Iterator
+from itertools import groupby
+from operator import itemgetter
 
 import pandas as pd
+import pyarrow as pa
 import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window as W, functions as F
 
@@ -17,6 +19,8 @@ from catalog_lake.numbering import number_rows
 from catalog_lake.operators.merge import set_status
 
 TAR_ROWS, SHARD_ROWS = 10_000, 500_000
+#: Bytes of content that a task gathers before it gives them on.
+PIECE_BYTES = 16 << 20
 KEYS = ["listing_id", "image_id"]
 
 
@@ -45,35 +49,48 @@ def member_offsets(members: DataFrame) -> DataFrame:
     return members.withColumn("offset", F.coalesce(F.sum(tar_size(F.col("size"))).over(before), F.lit(0)).cast("bigint"))
 
 
-def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+def open_store(folder: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
 
 
+def _by_tar(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, Iterator[tuple]]]:
+    """(tar_name, its rows) of batches in which a tar's rows lie together; one batch is held at a time."""
+    streamed = (tuple(v.as_py() for v in row) for batch in batches for row in zip(*batch.columns, strict=True))
+    return groupby(streamed, key=itemgetter(0))
+
+
 def pack_tars(members: DataFrame, folder: str) -> DataFrame:
-    """Write one tar per tar_name from (tar_name, pos, member, content); (tar_name, members, bytes). A batch is one task's group."""
+    """Write one tar per tar_name from (tar_name, pos, member, content); (tar_name, members, bytes).
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fs, base = _store(folder)
-        fs.create_dir(base, recursive=True)
-        name = frame["tar_name"].iloc[0]
-        temporary = f"{base}/{name}.{uuid.uuid4().hex}.tmp"
-        with fs.open_output_stream(temporary) as sink, tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
-            for member, content in frame.sort_values("pos")[["member", "content"]].itertuples(index=False):
-                info = tarfile.TarInfo(member)
-                info.size = len(content)
-                tar.addfile(info, io.BytesIO(content))
-        size = fs.get_file_info(temporary).size
-        fs.move(temporary, f"{base}/{name}")
-        return pd.DataFrame({"tar_name": [name], "members": [len(frame)], "bytes": [size]})
+    Tars are dealt to tasks and their members streamed in order of pos, so that a task holds one Arrow batch
+    (bounded by bytes, ``spark.sql.execution.arrow.maxBytesPerBatch``), not a tar. A NULL content is empty.
+    A tar is written under another name first, so that a task that runs again replaces it whole.
+    """
 
-    return members.select("tar_name", "pos", "member", "content").groupBy("tar_name").applyInPandas(run, "tar_name string, members bigint, bytes bigint")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_store(folder)
+        fs.create_dir(base, recursive=True)
+        for name, rows in _by_tar(batches):
+            temporary, count = f"{base}/{name}.{uuid.uuid4().hex}.tmp", 0
+            with fs.open_output_stream(temporary) as sink, tarfile.open(fileobj=sink, mode="w|", format=tarfile.USTAR_FORMAT) as tar:
+                for _, member, content in rows:
+                    info = tarfile.TarInfo(member)
+                    info.size = len(content or b"")
+                    tar.addfile(info, io.BytesIO(content or b""))
+                    count += 1
+            size = fs.get_file_info(temporary).size
+            fs.move(temporary, f"{base}/{name}")
+            yield pa.RecordBatch.from_pydict({"tar_name": [name], "members": pa.array([count], pa.int64()), "bytes": pa.array([size], pa.int64())})
+
+    ordered = members.repartition("tar_name").sortWithinPartitions("tar_name", "pos").select("tar_name", "member", "content")
+    return ordered.mapInArrow(run, "tar_name string, members bigint, bytes bigint")
 
 
 def scan_tars(tars: DataFrame, folder: str) -> DataFrame:
     """(tar_name, member, offset, size) of existing tars, reading headers only."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fs, base = _store(folder)
+        fs, base = open_store(folder)
         for frame in frames:
             for name in frame["tar_name"]:
                 with fs.open_input_file(f"{base}/{name}") as source, tarfile.open(fileobj=source, mode="r:") as tar:
@@ -84,18 +101,32 @@ def scan_tars(tars: DataFrame, folder: str) -> DataFrame:
 
 
 def read_members(index_rows: DataFrame, folder: str) -> DataFrame:
-    """(tar_name, member, content) by offset: each tar is opened once per group."""
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        fs, base = _store(folder)
-        name, out = frame["tar_name"].iloc[0], []
-        with fs.open_input_file(f"{base}/{name}") as source:
-            for member, offset in frame[["member", "offset"]].itertuples(index=False):
-                info = tarfile.TarInfo.frombuf(source.read_at(512, offset), "utf-8", "strict")
-                out.append((name, member, source.read_at(info.size, offset + 512) if info.name == member else None))
-        return pd.DataFrame(out, columns=["tar_name", "member", "content"])
-
-    return index_rows.select("tar_name", "member", "offset").groupBy("tar_name").applyInPandas(run, "tar_name string, member string, content binary")
+    """(tar_name, member, content) by offset; content is NULL where another member is at the offset.
+
+    A tar is read by one task, in order of offset, and given on in pieces of about PIECE_BYTES.
+    """
+    names = ["tar_name", "member", "content"]
+
+    def piece(out: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.string(), pa.string(), pa.binary()), strict=True)], names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, base = open_store(folder)
+        for name, rows in _by_tar(batches):
+            out, held = [], 0
+            with fs.open_input_file(f"{base}/{name}") as source:
+                for _, member, offset in rows:
+                    info = tarfile.TarInfo.frombuf(source.read_at(512, offset), "utf-8", "strict")
+                    out.append((name, member, source.read_at(info.size, offset + 512) if info.name == member else None))
+                    held += info.size
+                    if held >= PIECE_BYTES:
+                        yield piece(out)
+                        out, held = [], 0
+            if out:
+                yield piece(out)
+
+    ordered = index_rows.select("tar_name", "member", "offset").repartition("tar_name").sortWithinPartitions("tar_name", "offset")
+    return ordered.mapInArrow(run, "tar_name string, member string, content binary")
 
 
 def check_tars(scanned: DataFrame, sources: DataFrame, folder: str, expected: int = TAR_ROWS, sample: int = 50) -> DataFrame:
@@ -135,17 +166,9 @@ def locate_in_tars(primaries: DataFrame, tar_index: DataFrame) -> DataFrame:
     return primaries.join(tar_index.select(*KEYS, "tar_name", "offset"), KEYS, "left").withColumn("found", F.col("tar_name").isNotNull())
 
 
-def located_counts(located: DataFrame) -> DataFrame:
-    return located.groupBy("tar_name").agg(F.count(F.lit(1)).alias("n"))
-
-
 def primary_batches(new: DataFrame, existing: DataFrame, size: int = TAR_ROWS) -> DataFrame:
     """(listing_id, member, pos, tar_name): names in string order, in chunks of ``size``, numbered after the highest existing tar."""
     last = existing.agg(F.coalesce(F.max(F.regexp_extract("tar_name", r"(\d+)", 1).cast("bigint")) + 1, F.lit(0))).first()[0]
     named = new.select("listing_id", F.concat(F.col("listing_id").cast("string"), F.lit(".jpg")).alias("member"))
     numbered = number_rows(named, [F.col("member")], "__n")
     return numbered.select("listing_id", "member", F.expr(f"__n % {size}").alias("pos"), F.format_string("primary_%05d.tar", F.expr(f"__n div {size} + {last}")).alias("tar_name"))
-
-
-def content_digest(content: bytes) -> str:
-    return hashlib.md5(content).hexdigest()

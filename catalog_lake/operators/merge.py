@@ -15,6 +15,8 @@ from catalog_lake.functions.columns import empty_to_null, missing
 STALE_SECONDS = 432_000
 DEFAULT_WATERMARK = 946_684_800
 REVIEWS_PER_SHOP = 10_000
+#: Parts of a shop whose reviews are numbered apart.
+SALTS = 32
 
 
 def firsts(incoming: DataFrame, keys: Sequence[str], ord_: str = "ord") -> DataFrame:
@@ -46,11 +48,19 @@ def append_reviews(existing: DataFrame, incoming: DataFrame) -> DataFrame:
 
 
 def reviews_after_watermark(incoming: DataFrame, last_ts: DataFrame, default: int = DEFAULT_WATERMARK, most: int = REVIEWS_PER_SHOP) -> DataFrame:
-    """Per shop, in payload order, the reviews before the first that isn't newer than the watermark; at most ``most``."""
-    marked = incoming.join(last_ts, "shop_id", "left").withColumn("__old", (F.coalesce("create_timestamp", F.lit(0)) <= F.coalesce("last_ts", F.lit(default))).cast("int"))
-    order = W.partitionBy("shop_id").orderBy("ord")
-    ranked = marked.withColumns({"__stop": F.max("__old").over(order.rowsBetween(W.unboundedPreceding, 0)), "__n": F.row_number().over(order)})
-    return ranked.filter(f"__stop = 0 and __n <= {most}").select(*incoming.columns)
+    """Per shop, in payload order, the reviews before the first that isn't newer than the watermark; at most ``most``, the paging limit of a fetch.
+
+    The first old review of a shop is a combining aggregate. What comes before it is numbered in SALTS parts
+    of a shop first: a review among the shop's first ``most`` is among those of its part, so that the shop's
+    own window sees SALTS * most rows at most. Reviews without a shop count as one shop.
+    """
+    marked = incoming.join(last_ts.select("shop_id", "last_ts"), "shop_id", "left")
+    old = F.coalesce("create_timestamp", F.lit(0)) <= F.coalesce("last_ts", F.lit(default))
+    stops = marked.filter(old).groupBy(F.col("shop_id").alias("__shop")).agg(F.min("ord").alias("__stop"))
+    fresh = incoming.join(stops, F.col("shop_id").eqNullSafe(F.col("__shop")), "left").filter("__stop is null or ord < __stop")
+    number = lambda *by: F.row_number().over(W.partitionBy(*by).orderBy("ord"))
+    parts = fresh.withColumn("__salt", F.pmod(F.xxhash64("ord"), F.lit(SALTS))).withColumn("__n", number("shop_id", "__salt")).filter(F.col("__n") <= most)
+    return parts.withColumn("__n", number("shop_id")).filter(F.col("__n") <= most).select(*incoming.columns)
 
 
 def upsert_images(image_status: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -112,5 +112,5 @@ def locate(results: DataFrame, tar_index: DataFrame, primary_index: DataFrame) -
 
 
 def enrich(results: DataFrame, listings: DataFrame, latest: DataFrame, shops: DataFrame) -> DataFrame:
-    """Results with title and price of the listing, its latest metrics, and its shop."""
-    return results.join(listings.select("listing_id", "title", "price", "shop_id"), "listing_id", "left").join(latest, "listing_id", "left").join(shops, "shop_id", "left")
+    """Results with title, price, tags and materials of the listing, its latest metrics, and its shop."""
+    return results.join(listings.select("listing_id", "title", "price", "tags", "materials", "shop_id"), "listing_id", "left").join(latest, "listing_id", "left").join(shops, "shop_id", "left")

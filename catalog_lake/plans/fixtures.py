@@ -18,7 +18,7 @@ BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem"
 FIXTURES: dict[str, str] = {
     "part_last": "select l_partkey, max(TS(l_shipdate)) as last_ts from lineitem group by l_partkey",
     "listings": """select p_partkey as listing_id, p_partkey % 97 as shop_id, p_name as title, p_brand as brand, p_type as kind, cast(p_size as bigint) as taxonomy_id,
-        p_retailprice as price, last_ts as last_dynamic_ts from part left join part_last on l_partkey = p_partkey""",
+        p_retailprice as price, last_ts as last_dynamic_ts, p_type as tags, p_brand as materials from part left join part_last on l_partkey = p_partkey""",
     "listing_snapshots": "select event_id as id, user_id as listing_id, TS(ts) as snapshot_timestamp, event_type as state, cast(round(value * 100) as bigint) as views from events",
     "line_snapshots": """select row_number() over (partition by l_partkey order by l_shipdate, l_orderkey, l_linenumber, l_suppkey, l_extendedprice, l_quantity, l_discount, l_tax) as id,
         l_partkey as listing_id, TS(l_shipdate) as snapshot_timestamp, cast(l_quantity as bigint) as quantity from lineitem""",

@@ -328,9 +328,12 @@ def j3(t):
     return quality.missing_url_count(t.image_status)
 
 
-@query("j4_table_counts", """select 'listings' as name, count(*) as "rows" from listings union all select 'reviews', count(*) from reviews union all select 'image_status', count(*) from image_status""")
+COUNTED = ("listings", "listing_snapshots", "shops", "shop_snapshots", "reviews")
+
+
+@query("j4_table_counts", " union all ".join(f"""select '{n}' as name, count(*) as "rows" from {n}""" for n in COUNTED))
 def j4(t):
-    return quality.table_counts({n: getattr(t, n) for n in ("listings", "reviews", "image_status")})
+    return quality.table_counts({n: getattr(t, n) for n in COUNTED})
 
 
 @query(

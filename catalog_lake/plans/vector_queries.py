@@ -56,17 +56,28 @@ def letters():
     return encode
 
 
-@query("g3_embed", "select doc_id as listing_id, cast(1 as bigint) as image_id, 'letters' as model, case when text is not null then cast(16 as int) end as dim, text is not null as decoded from documents")
+#: The letters encoder in SQL: shares of the bytes' low halves, which are each second digit of the text in hex.
+LETTERS = """halves as (select *, regexp_replace(hex(encode(text)), '.(.)', '\\1', 'g') as h from texts),
+    counted as (select *, list_transform(range(16), lambda d: length(h) - length(replace(h, substr('0123456789ABCDEF', cast(d + 1 as int), 1), '')) + 0.5) as c from halves),
+    encoded as (select *, list_transform(c, lambda x: cast(x as double) / sqrt(list_sum(list_transform(c, lambda y: cast(y as double) * cast(y as double))))) as e from counted)"""
+PARTS_OF = "round(e[1], 2) as first, round(list_sum(e), 2) as total"
+
+
+def parts_of(embedded):
+    return F.round(embedded[0].cast("double"), 2).alias("first"), F.round(F.aggregate(embedded, F.lit(0.0), lambda a, x: a + x.cast("double")), 2).alias("total")
+
+
+@query("g3_embed", f"with texts as (select doc_id, coalesce(text, '') as text, text is not null as decoded from documents), {LETTERS} select doc_id as listing_id, cast(1 as bigint) as image_id, 'letters' as model, cast(16 as int) as dim, {PARTS_OF}, decoded from encoded")
 def g3(t):
     images = t.documents.select(F.col("doc_id").alias("listing_id"), F.lit(1).cast("bigint").alias("image_id"), F.encode("text", "UTF-8").alias("content"))
-    return vectors.embed(images, letters, "letters", 16).select("listing_id", "image_id", "model", F.size("embedding").alias("dim"), "decoded")
+    return vectors.embed(images, letters, "letters", 16).select("listing_id", "image_id", "model", F.size("embedding").alias("dim"), *parts_of(F.col("embedding")), "decoded")
 
 
-@query("g4_embed_text", "select o.listing_id, o.image_id, cast(16 as int) as dim, true as decoded from line_order o where o.ord = 1")
+@query("g4_embed_text", f"with texts as (select o.listing_id, o.image_id, coalesce(l.title, '') as text from line_order o left join listings l on l.listing_id = o.listing_id where o.ord = 1), {LETTERS} select listing_id, image_id, cast(16 as int) as dim, {PARTS_OF}, true as decoded from encoded")
 def g4(t):
     texts = t.listings.select("listing_id", F.col("title").alias("text"))
     index = t.line_order.filter("ord = 1").select("listing_id", "image_id")
-    return vectors.embed_text(index, texts, letters, "letters", 16).select("listing_id", "image_id", F.size("embedding").alias("dim"), "decoded")
+    return vectors.embed_text(index, texts, letters, "letters", 16).select("listing_id", "image_id", F.size("embedding").alias("dim"), *parts_of(F.col("embedding")), "decoded")
 
 
 @query("g5_vector_hash")
@@ -147,6 +158,11 @@ def h3(t):
     return found.select("query_id", "model", F.round(F.aggregate("embedding", F.lit(0.0), lambda a, x: a + x), 6).alias("total"))
 
 
+@query("h3_unknown_listings", "select listing_id from listings where listing_id not in (select listing_id from vectors)")
+def h3_unknown(t):
+    return search.unknown_listings(t.vectors, t.listings)
+
+
 @query(
     "h4_fuse",
     f"""with {CORPUS}, cells as (select listing_id, model, generate_subscripts(e, 1) as pos, unnest(e) as x from corpus), m as (select listing_id, model, pos, avg(x) as x from cells group by 1, 2, 3)
@@ -173,15 +189,15 @@ def h6(t):
     return search.locate(searched(t, 5), index, primary).drop("score")
 
 
-ENRICHED = f"""with {CORPUS}, {QUERIES}, {RANKED}, {CONSENSUS}, latest as (select listing_id, views, row_number() over (partition by listing_id order by snapshot_timestamp desc, id desc) as k from listing_snapshots)
-    select query_id, p.listing_id, appearances, place, l.title, l.price, l.shop_id, v.views, s.name from placed p left join listings l on l.listing_id = p.listing_id
+ENRICHED = f"""with {CORPUS}, {QUERIES}, {RANKED}, {CONSENSUS}, latest as (select listing_id, state, views, row_number() over (partition by listing_id order by snapshot_timestamp desc, id desc) as k from listing_snapshots)
+    select query_id, p.listing_id, appearances, place, l.title, l.price, l.tags, l.materials, l.shop_id, v.state, v.views, s.name from placed p left join listings l on l.listing_id = p.listing_id
     left join latest v on v.listing_id = p.listing_id and v.k = 1 left join shops s on s.shop_id = l.shop_id"""
 
 
 @query("h7_search", ENRICHED)
 def h7(t):
     agreed = search.consensus(searched(t, 40), 2, 20).drop("mean_score")
-    latest = merge.latest_snapshot(t.listing_snapshots, "listing_id").select("listing_id", "views")
+    latest = merge.latest_snapshot(t.listing_snapshots, "listing_id").select("listing_id", "state", "views")
     return search.enrich(agreed, t.listings, latest, t.shops.select("shop_id", "name"))
 
 

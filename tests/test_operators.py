@@ -1,7 +1,9 @@
 """Catalogue operators on the boundary rows that decide their results."""
 
+import hashlib
 import json
 import os
+import struct
 import tarfile
 from types import SimpleNamespace
 
@@ -46,7 +48,10 @@ def test_reviews_stop_at_the_first_old_one(spark):
     marks = frame(spark, [(1, 100)], "shop_id bigint, last_ts bigint")
     assert rows(merge.reviews_after_watermark(new, marks), "shop_id", "ord") == [(1, 0), (4, 0)]
     many = spark.range(10_050).select(F.lit(1).alias("shop_id"), F.col("id").alias("ord"), F.lit(2_000_000_000).alias("create_timestamp"))
-    assert merge.reviews_after_watermark(many, marks).count() == 10_000
+    kept = merge.reviews_after_watermark(many, marks)
+    assert kept.count() == 10_000 and kept.agg(F.max("ord")).first()[0] == 9_999
+    unknown = frame(spark, [(None, 0, 10**9), (None, 1, 5), (None, 2, 10**9)], "shop_id bigint, ord int, create_timestamp bigint")
+    assert rows(merge.reviews_after_watermark(unknown, marks), "ord") == [(0,)]
 
 
 def test_upsert_of_images(spark):
@@ -153,6 +158,59 @@ def test_break_search(spark):
     assert pricing.halved_breaks(np.array([250]), np.array([10**6]), 8000)[-1] == 1e6
 
 
+def counting(prices):
+    """Listings between two prices in cents, both included, by looking at each."""
+    return lambda low, high: sum(low <= p <= high for p in prices)
+
+
+def grown_by_hand(prices, target):
+    inside, top = counting(prices), max(prices)
+    if len(prices) <= target:
+        return [0.0, 1e6]
+    cents, nearest = lambda x: int(x * 100 + 1e-6), lambda x: round(x * 100)
+    breaks, low, high = [0.0], 0.0, 5.0
+    while True:
+        while inside(nearest(low), cents(high)) < target and high < top / 100:
+            high *= 1.10
+        if high >= top / 100:
+            return [*breaks, 1e6]
+        while inside(nearest(low), cents(high)) >= target:
+            high *= 0.99
+        assert high >= low, "the data give every interval some room"
+        breaks.append(max(round(high, 2), round(low, 2)))
+        low = round(breaks[-1] + 0.01, 2)
+        high = low * 1.10
+
+
+def halved_by_hand(prices, target):
+    def cut(low, high):
+        inside = counting([p for p in prices if low * 100 < p <= high * 100])
+        count = inside(0, 10**9)
+        if count <= target:
+            return []
+        a, b = max(low, 0.0), high
+        for _ in range(15):
+            middle = (a + b) / 2
+            gap = inside(0, round(middle * 100)) - count // 2
+            if abs(gap) < 200:
+                break
+            a, b = (middle, b) if gap < 0 else (a, middle)
+        half = float(round(middle))
+        return [*cut(low, half), half, *cut(half, high)] if max(low, 0.0) < half < high else []
+
+    return [0.0, *cut(-0.01, 1e6), 1e6]
+
+
+def test_break_searches_equal_brute_force(spark):
+    rng = np.random.default_rng(3)
+    prices = np.round(rng.lognormal(4, 0.8, 4_000) * 100).astype(int).tolist()
+    listings = frame(spark, [(1, p / 100) for p in prices] + [(1, None), (None, 5.0), (2, 7.5)], "taxonomy_id bigint, price double")
+    grown = dict(map(tuple, pricing.price_breaks_grow(listings, 300).collect()))
+    assert grown == {1: grown_by_hand(prices, 300), 2: [0.0, 1e6]} and len(grown[1]) > 8
+    halved = dict(map(tuple, pricing.price_breaks_halve(listings, 500).collect()))
+    assert halved == {1: halved_by_hand(prices, 500), 2: [0.0, 1e6]} and len(halved[1]) > 6
+
+
 def test_taxonomy_tree(spark):
     nodes = frame(spark, [(1, None, "r", 0), (2, 1, "a", 1), (3, 1, "b", 0), (4, 2, "c", 0), (9, None, "x", 0)], "id bigint, parent_id bigint, name string, ord int")
     assert [(r["id"], r["depth"]) for r in pricing.descendants(nodes, 1).orderBy("path").collect()] == [(1, 0), (3, 1), (2, 1), (4, 2)]
@@ -192,6 +250,32 @@ def test_encoders_keep_undecodable_inputs(spark):
     assert found == [(1, 0.6, True), (2, 1.0, False)]
 
 
+def test_text_embeddings_and_hashes_equal_brute_force(spark):
+    def load():
+        return lambda inputs: [np.array([len(x) + 1.0, x.count("a"), 2.0]) for x in inputs]
+
+    index = frame(spark, [(1, 1), (1, 2), (2, 1), (3, 1)], "listing_id bigint, image_id bigint")
+    texts = frame(spark, [(1, "banana"), (2, None)], "listing_id bigint, text string")
+    found = vectors.embed_text(index, texts, load, "m", 3, batch=2)
+    want = {}
+    for listing, text in ((1, "banana"), (2, ""), (3, "")):
+        v = np.array([len(text) + 1.0, text.count("a"), 2.0])
+        want[listing] = (v / np.sqrt((v * v).sum())).astype("<f4")
+    got = found.collect()
+    assert len(got) == 4 and all(np.array_equal(np.array(r["embedding"], dtype="<f4"), want[r["listing_id"]]) and r["decoded"] for r in got)
+    digest = lambda v: hashlib.md5(struct.pack(f"<{len(v)}f", *v)).hexdigest()[:12]
+    hashed = found.withColumn("hash", vectors.vector_hash("embedding"))
+    assert all(r["hash"] == digest(r["embedding"]) for r in hashed.collect())
+    assert rows(frame(spark, [(None,), ([],)], "v array<float>").select(vectors.vector_hash("v"))) == sorted([(None,), (digest([]),)], key=repr)
+    stored = hashed.withColumn("hash", F.when(F.col("listing_id") == 2, "0" * 12).otherwise(F.col("hash"))).filter("listing_id < 3")
+    assert rows(vectors.verify_hashes(stored, found), "listing_id", "image_id", "model", "stored", "found") == [(2, 1, "m", "0" * 12, digest(want[2]))]
+
+
+def test_unknown_listings_and_details(spark):
+    corpus = frame(spark, [(1, "m"), (1, "n"), (2, "m")], "listing_id bigint, model string")
+    assert rows(search.unknown_listings(corpus, frame(spark, [(1,), (5,), (5,), (None,)], "listing_id bigint"))) == sorted([(5,), (None,)], key=repr)
+
+
 def test_top_k_equals_brute_force(spark):
     rng = np.random.default_rng(0)
     data = [("a", i // 2, i, i % 3, rng.integers(-2, 3, size=4).astype(float).tolist()) for i in range(60)]
@@ -231,6 +315,26 @@ def test_offsets_equal_those_of_tar_files(spark, tmp_path):
     assert rows(archive.check_tars(scanned, members.withColumn("content", F.lit(b"?")), folder, 5), "outcome") == [("corrupt",)]
 
 
+def test_tars_are_streamed_in_small_batches(spark, tmp_path):
+    body = F.expr("cast(rpad('', int(1000 + id % 7), cast(id as string)) as binary)")
+    members = spark.range(900).select(F.format_string("t%d.tar", F.col("id") % 3).alias("tar_name"), (900 - F.col("id")).alias("pos"), F.format_string("%d.jpg", "id").alias("member"), body.alias("content"))
+    folder = str(tmp_path / "tars")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        assert rows(archive.pack_tars(members.repartition(5), folder), "tar_name", "members") == [(f"t{k}.tar", 300) for k in range(3)]
+        with tarfile.open(f"{folder}/t1.tar") as tar:
+            assert tar.getnames() == [f"{i}.jpg" for i in range(898, 0, -3)]
+        read = archive.read_members(archive.scan_tars(members, folder), folder)
+        assert rows(read) == rows(members, "tar_name", "member", "content")
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    wrong = frame(spark, [("t1.tar", "other", 0)], "tar_name string, member string, offset bigint")
+    assert rows(archive.read_members(wrong, folder)) == [("t1.tar", "other", None)]
+    empty = frame(spark, [("n.tar", 0, "a", None)], "tar_name string, pos int, member string, content binary")
+    assert rows(archive.pack_tars(empty, folder), "members") == [(1,)] and rows(archive.scan_tars(empty, folder), "size") == [(0,)]
+    assert archive.pack_tars(empty.limit(0), folder).count() == 0
+
+
 def test_ready_batches_stop_at_the_first_gap(spark):
     batches = frame(spark, [(0, b, f"t{b}", b, 1) for b in range(5)], "shard int, batch int, tar_name string, listing_id bigint, image_id bigint")
     files = frame(spark, [(i, 1) for i in (1, 2, 4)], "listing_id bigint, image_id bigint")
@@ -274,7 +378,11 @@ def test_readers(spark, tmp_path):
     assert rows(readers.read_taxonomy_config(spark, put("tax.json", {"taxonomies": [{"id": 1, "name": "n", "price_breaks": [0, 2.5]}]}))) == [(1, "n", [0.0, 2.5])]
     put("files/1_2.jpg", "abc")
     put("files/other.txt", "")
-    assert rows(readers.read_file_inventory(spark, str(tmp_path / "files")), "name", "listing_id", "size") == sorted([("1_2.jpg", 1, 3), ("other.txt", None, 0)], key=repr)
+    put("files/7/3_4.dl", "")
+    put("files/7/deep/5_6.jpg", "xy")
+    inventory = readers.read_file_inventory(spark, str(tmp_path / "files"))
+    assert rows(inventory, "name", "listing_id", "size") == sorted([("1_2.jpg", 1, 3), ("other.txt", None, 0), ("3_4.dl", 3, 0), ("5_6.jpg", 5, 2)], key=repr)
+    assert rows(readers.read_file_inventory(spark, f"file://{tmp_path}/files/7", str(tmp_path / "files/7/deep")), "name") == [("3_4.dl",), ("5_6.jpg",), ("5_6.jpg",)]
     put("batches/b1/manifest.json", [[1, 10], [2, 20]])
     put("batches/b1/listings.json", {"1": "text"})
     np.save(tmp_path / "batches/b1/clip.npy", np.eye(2, dtype=np.float32))
