@@ -2,17 +2,24 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+import io
+import json
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Window as W, functions as F
 
 from catalog_lake.functions.columns import FAILED_IMAGE
 from catalog_lake.numbering import number_rows
 from catalog_lake.operators import archive, ingest
+from catalog_lake.operators.merge import insert_or_ignore
 from catalog_lake.plans.fixtures import NOW
 from catalog_lake.plans.image_queries import MEMBERS, OFFSETS, config, members, packable
 from catalog_lake.plans.merge_queries import payloads
 from catalog_lake.plans.registry import ORACLES, query
 from catalog_lake.session import new_path
 from catalog_lake.sources import readers
+from catalog_lake.sources.versions import VersionedTable
 
 #: Most entries of one file of legacy metadata.
 LEGACY_ENTRIES = 10_000
@@ -35,6 +42,50 @@ def s2(t):
     return readers.read_table(t._spark, path).withColumn("taxonomy_id", F.col("taxonomy_id").cast("bigint"))
 
 
+@query("s2_versioned_merge", "select listing_id, title, case when listing_id % 3 > 0 then price else price + 1 end as price from listings")
+def s2_merge(t):
+    """Two thirds of the listings are stored; all come again at another price, of which the new ones are taken."""
+    rows = t.listings.select("listing_id", "title", "price")
+    table = VersionedTable(t._spark, new_path(t._spark, "versions"), "listing_id bigint, title string, price double", ("listing_id",), 8)
+    table.write(rows.filter("listing_id % 3 > 0"), 0)
+    again = rows.withColumns({"price": F.col("price") + 1, "ord": F.col("listing_id")})
+    table.merge(again, lambda stored, new: insert_or_ignore(stored, new, ("listing_id",)))
+    return table.read()
+
+
+#: Vectors of one batch of results.
+BATCH = 1_000
+
+
+def write_batches(vectors, folder: str):
+    """Finished batches of (batch, listing_id, image_id, embedding, text): a folder each, with manifest, texts and one matrix."""
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("image_id")
+        fs, base = archive.open_store(folder)
+        name = f"{base}/batch_{frame['batch'].iloc[0]}"
+        fs.create_dir(name, recursive=True)
+        matrix = io.BytesIO()
+        np.save(matrix, np.stack(frame["embedding"].to_numpy()).astype(np.float32))
+        texts = {str(k): v for k, v in frame[["listing_id", "text"]].itertuples(index=False)}
+        files = {"manifest.json": json.dumps(frame[["listing_id", "image_id"]].to_numpy().tolist()).encode(), "listings.json": json.dumps(texts).encode(), "given.npy": matrix.getvalue()}
+        for file, content in files.items():
+            with fs.open_output_stream(f"{name}/{file}") as sink:
+                sink.write(content)
+        return pd.DataFrame({"rows": [len(frame)]})
+
+    return vectors.groupBy("batch").applyInPandas(run, "rows bigint")
+
+
+@query("s6_read_batch_results", "select concat('batch_', cast(image_id DIV 1000 as string)) as batch, row_number() over (partition by image_id DIV 1000 order by image_id) - 1 as pos, listing_id, image_id, 'given' as model, round(cast(embedding[1] as double), 4) as first, cast(len(embedding) as bigint) as dim, first_value(cast(label as string)) over (partition by image_id DIV 1000, listing_id order by image_id) as text from vectors")
+def s6(t):
+    folder = new_path(t._spark, "batches")
+    given = t.vectors.select(F.expr(f"image_id div {BATCH}").alias("batch"), "listing_id", "image_id", "embedding", F.first(F.col("label").cast("string")).over(W.partitionBy(F.expr(f"image_id div {BATCH}"), "listing_id").orderBy("image_id")).alias("text"))
+    write_batches(given, folder).write.format("noop").mode("overwrite").save()
+    found = readers.read_batch_results(t._spark, folder)
+    return found.select("batch", F.col("pos").cast("bigint").alias("pos"), "listing_id", "image_id", "model", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"), F.size("embedding").cast("bigint").alias("dim"), "text")
+
+
 @query("s3_s9_image_index", "select cast(shard as int) as shard, shard_row, global_row, listing_id, image_id, concat('h', cast(listing_id as string), ',', 'k') as hashes from shard_index")
 def s3(t):
     path = new_path(t._spark, "index")

@@ -6,8 +6,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from catalog_lake.plans.registry import query
 from catalog_lake.session import new_path
+from catalog_lake.sources.versions import VersionedTable
 from catalog_lake.streaming import jobs
 
+#: Parts of a stored table.
+PARTS = 8
+IMAGE_KEYS, REVIEW_KEYS = ("listing_id", "image_id"), ("shop_id", "listing_id", "create_timestamp")
 STATUS = "listing_id bigint, image_id bigint, is_primary int, url string, download_done int"
 
 
@@ -46,7 +50,7 @@ def k2(t):
         F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("bigint").alias("image_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"),
         (F.col("l_suppkey") % 2).cast("int").alias("is_primary"), F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("u"), F.col("l_suppkey").cast("string"))).alias("url"),
     )
-    table = jobs.VersionedTable(t._spark, new_path(t._spark, "status"), STATUS)
+    table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS)
     jobs.stream_upsert_images(rows, table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()
 
@@ -54,7 +58,7 @@ def k2(t):
 @query("k3_stream_append_reviews", "select distinct shop_id, listing_id, create_timestamp from reviews")
 def k3(t):
     rows = stream(t, "orders").select((F.col("o_custkey") % 97).alias("shop_id"), F.col("o_custkey").alias("listing_id"), F.unix_timestamp(F.col("o_orderdate").cast("timestamp")).alias("create_timestamp"), F.col("o_orderkey").alias("ord"))
-    table = jobs.VersionedTable(t._spark, new_path(t._spark, "reviews"), "shop_id bigint, listing_id bigint, create_timestamp bigint")
+    table = VersionedTable(t._spark, new_path(t._spark, "reviews"), "shop_id bigint, listing_id bigint, create_timestamp bigint", REVIEW_KEYS, PARTS)
     jobs.stream_append_reviews(rows, table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()
 
@@ -66,6 +70,18 @@ def k3_recent(t):
     return drained(kept.writeStream, t._spark, kept.schema)
 
 
+@query(
+    "k3_stream_after_watermark",
+    """with r as (select o_custkey as shop_id, o_orderkey as ord, TS(o_orderdate) as create_timestamp from orders),
+    x as (select *, max(case when create_timestamp <= 946684800 then 1 else 0 end) over (partition by shop_id order by ord rows unbounded preceding) as stop from r) select shop_id, ord, create_timestamp from x where stop = 0""",
+)
+def k3_newer(t):
+    created = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    rows = stream(t, "orders").select(F.col("o_custkey").alias("shop_id"), F.col("o_custkey").alias("listing_id"), created.alias("create_timestamp"), F.col("o_orderkey").alias("ord"))
+    kept = jobs.stream_after_watermark(rows).select("shop_id", "ord", "create_timestamp")
+    return drained(kept.writeStream, t._spark, kept.schema)
+
+
 @query(
     "k4_stream_reconcile",
     """with f as (select l_orderkey as listing_id, cast(l_linenumber as bigint) as image_id, max(case when l_suppkey % 3 > 0 then cast(floor(l_extendedprice) as bigint) % 3000 end) as jpg, bool_or(l_suppkey % 3 = 0) as dl from lineitem group by 1, 2)
@@ -75,7 +91,7 @@ def k3_recent(t):
 def k4(t):
     jpg = F.col("l_suppkey") % 3 > 0
     files = stream(t, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("bigint").alias("image_id"), F.when(jpg, "jpg").otherwise("dl").alias("ext"), F.when(jpg, F.floor("l_extendedprice").cast("bigint") % 3000).otherwise(0).alias("size"))
-    table = jobs.VersionedTable(t._spark, new_path(t._spark, "status"), STATUS)
+    table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS)
     table.write(t.image_status, -1)
     jobs.stream_reconcile(files, table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()

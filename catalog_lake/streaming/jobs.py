@@ -6,11 +6,12 @@ import json
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from catalog_lake.operators.images import reconcile_downloads
 from catalog_lake.operators.merge import STALE_SECONDS, append_reviews, upsert_images
+from catalog_lake.sources.versions import VersionedTable
 
 
 def stream_staleness(incoming: DataFrame, max_age: int = STALE_SECONDS) -> DataFrame:
@@ -35,38 +36,15 @@ def stream_staleness(incoming: DataFrame, max_age: int = STALE_SECONDS) -> DataF
     return incoming.select("listing_id", "ord", "snapshot_ts").groupBy("listing_id").applyInPandasWithState(gate, "listing_id bigint, ord bigint, snapshot_ts bigint, class string", "last bigint", "append", GroupStateTimeout.NoTimeout)
 
 
-class VersionedTable:
-    """A Parquet table in numbered versions: readers use the newest complete one, writers add the next.
-
-    A version is complete when its folder has Spark's success mark. ``epoch`` makes a repeated micro-batch
-    write the version that it wrote before.
-    """
-
-    def __init__(self, spark: SparkSession, path: str, schema: str) -> None:
-        self.spark, self.path, self.schema = spark, path.rstrip("/"), schema
-
-    def _versions(self) -> list[int]:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
-        root = jvm.org.apache.hadoop.fs.Path(self.path)
-        fs = root.getFileSystem(conf)
-        if not fs.exists(root):
-            return []
-        names = [s.getPath().getName() for s in fs.listStatus(root)]
-        return sorted(int(n[2:]) for n in names if n.startswith("v=") and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{n}/_SUCCESS")))
-
-    def read(self, before: int | None = None) -> DataFrame:
-        found = [v for v in self._versions() if before is None or v < before]
-        return self.spark.read.schema(self.schema).parquet(f"{self.path}/v={found[-1]}") if found else self.spark.createDataFrame([], self.schema)
-
-    def write(self, df: DataFrame, version: int) -> None:
-        df.write.mode("overwrite").parquet(f"{self.path}/v={version}")
-
-
 def merge_batches(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, once: bool = True, every: str = "120 seconds"):
-    """Start a query that merges each micro-batch into the table's next version."""
+    """Start a query that merges each micro-batch into the parts of the table that it touches; the epoch is the version."""
 
     def apply(batch: DataFrame, epoch: int) -> None:
-        table.write(merge(table.read(before=epoch), batch), epoch)
+        batch.persist()
+        try:
+            table.merge(batch, merge, epoch)
+        finally:
+            batch.unpersist()
 
     writer = stream.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if once else writer.trigger(processingTime=every)).start()

@@ -4,6 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalog_lake.operators import merge
+from catalog_lake.sources.versions import VersionedTable
 from catalog_lake.streaming import jobs
 from tests.conftest import rows
 
@@ -40,18 +41,18 @@ def test_staleness(spark, tmp_path, files):
 def test_upsert_and_review_dedup(spark, tmp_path, files):
     images = spark.createDataFrame([(i % 7, 1, i % 2, None if i % 3 else f"u{i}", i) for i in range(30)], "listing_id bigint, image_id bigint, is_primary int, url string, ord bigint")
     schema = "listing_id bigint, image_id bigint, is_primary int, url string, download_done int"
-    table = jobs.VersionedTable(spark, str(tmp_path / "status"), schema)
+    table = VersionedTable(spark, str(tmp_path / "status"), schema)
     jobs.stream_upsert_images(landed(spark, images, str(tmp_path / "in"), files), table, str(tmp_path / "c1")).awaitTermination(120)
     assert rows(table.read()) == rows(merge.upsert_images(spark.createDataFrame([], schema), images))
     reviews = spark.createDataFrame([(1, i % 5, 100 + i % 10, i) for i in range(40)], "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint")
-    kept = jobs.VersionedTable(spark, str(tmp_path / "reviews"), "shop_id bigint, listing_id bigint, create_timestamp bigint")
+    kept = VersionedTable(spark, str(tmp_path / "reviews"), "shop_id bigint, listing_id bigint, create_timestamp bigint")
     jobs.stream_append_reviews(landed(spark, reviews, str(tmp_path / "in2"), files), kept, str(tmp_path / "c2")).awaitTermination(120)
     assert rows(kept.read()) == rows(reviews.select("shop_id", "listing_id", "create_timestamp").distinct())
 
 
 def test_reconcile_and_watermarks(spark, tmp_path):
     schema = "listing_id bigint, image_id bigint, is_primary int, url string, download_done int"
-    table = jobs.VersionedTable(spark, str(tmp_path / "status"), schema)
+    table = VersionedTable(spark, str(tmp_path / "status"), schema)
     table.write(spark.createDataFrame([(1, 1, 1, "u", 1), (2, 1, 1, "u", 0)], schema), -1)
     files = spark.createDataFrame([(1, 1, "jpg", 5000, 0)], "listing_id bigint, image_id bigint, ext string, size bigint, ord bigint")
     jobs.stream_reconcile(landed(spark, files, str(tmp_path / "in"), 1), table, str(tmp_path / "c")).awaitTermination(120)
@@ -65,3 +66,23 @@ def test_reconcile_and_watermarks(spark, tmp_path):
     q = newer.writeStream.format("memory").queryName("newer").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(120)
     assert spark.table("newer").filter(F.col("create_timestamp") >= 10**9).count() == 3 and jobs.progress(q)["batches"] >= 1
+
+
+def test_merges_rewrite_the_parts_that_they_touch(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", ("k",), 8)
+    assert table.read().count() == 0 and table.merge(spark.createDataFrame([], "k bigint, v bigint"), lambda old, new: new) == []
+    replace = lambda old, new: new.unionByName(old.join(new.select("k"), "k", "left_anti"))
+    assert table.merge(spark.range(100).selectExpr("id as k", "0L as v"), replace) == list(range(8))
+    one = spark.createDataFrame([(5, 1)], "k bigint, v bigint")
+    parts = table.merge(one, replace)
+    assert len(parts) == 1 and table.versions()[1] == parts and len(table.versions()[0]) == 8
+    assert rows(table.read()) == sorted([(k, int(k == 5)) for k in range(100)], key=repr)
+    assert rows(table.read(before=1)) == sorted([(k, 0) for k in range(100)], key=repr)
+    table.merge(one.withColumn("v", one.v + 8), replace, version=1)  # a repeated batch writes its version again
+    assert rows(table.read().filter("k = 5")) == [(5, 9)]
+    for v in (2, 3):
+        table.merge(one.withColumn("v", one.v * 0 + v), replace)
+    assert set(table.versions()) == {0, 2, 3} and len(table.versions()[0]) == 7
+    assert table.read().count() == 100 and rows(table.read().filter("k = 5")) == [(5, 3)]
+    with pytest.raises(ValueError, match="keys"):
+        VersionedTable(spark, str(tmp_path / "u"), "k bigint", parts=2)
