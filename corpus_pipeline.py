@@ -51,7 +51,7 @@ STAGES = [
     ("byte_bpe", token_stage),
 ]
 
-#: No SQL: signatures, trained models, permutations and merges. Operators are tested against brute force; the stages by the ids that they keep.
+#: No SQL: signatures, trained models, permutations and merges. tests/llm/test_pipeline.py holds run() against a brute-force version.
 ORACLE_SQL = None
 
 
