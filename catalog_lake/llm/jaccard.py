@@ -359,8 +359,8 @@ def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: fl
     return found
 
 
-def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """doc_id, class_id (least doc_id of its class) and n_links (other documents of at least the threshold) for every row."""
+def forest_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """(signatures of every row; one row per node: words_key, node, doc and text_key of its least row, copies, links, root, class)."""
     sigs = materialise(signatures(docs), "signatures")
     known = sigs.filter("doc_id is not null and words_key is not null")
     nodes = known.groupBy("words_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
@@ -368,16 +368,31 @@ def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     nodes = materialise(nodes, "nodes")
     found = forest_links(docs, nodes, threshold)
     classes = components(found.select(F.struct("doc", "node").alias("a"), F.struct(F.col("root_doc").alias("doc"), F.col("root").alias("node")).alias("b")))
-    classes = classes.select(F.col("node.node").alias("node"), F.col("component.doc").alias("class"))
+    classes = classes.select(F.col("node.node").alias("node"), F.col("component.node").alias("root"), F.col("component.doc").alias("class"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
-    facts = nodes.select("words_key", "node", "doc", "copies").join(counts, "node", "left").join(classes, "node", "left")
-    facts = facts.select("words_key", F.coalesce("class", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    return sigs, nodes.drop("signature").join(counts, "node", "left").join(classes, "node", "left")
+
+
+def jaccard_classes(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """doc_id, class_id (least doc_id of its class) and n_links (other documents of at least the threshold) for every row."""
+    sigs, nodes = forest_classes(docs, threshold)
+    facts = nodes.select("words_key", F.coalesce("class", "doc").alias("class_id"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     joined = sigs.select("doc_id", "words_key").join(facts.hint("merge"), "words_key", "left")
     there = F.col("doc_id").isNotNull()
     return joined.select("doc_id", F.when(there, F.coalesce("class_id", "doc_id")).alias("class_id"), F.when(there, F.coalesce("n_links", F.lit(0))).otherwise(F.lit(0)).cast("bigint").alias("n_links"))
 
 
 def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """The documents whose doc_id is the least of its class, and those without one; of rows with the same doc_id all stay."""
-    kept = jaccard_classes(docs, threshold).filter("doc_id = class_id").select("doc_id").distinct()
-    return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+    """One row of each class: that of the least doc_id, and of the least text hash among texts of that id.
+
+    Rows that repeat a doc_id and its text are one document, of which any one row stays: they meet within
+    their tasks first, so that a row that repeats very often isn't shuffled whole. Texts without words are
+    each their own class. Rows without a doc_id all stay.
+    """
+    sigs, nodes = forest_classes(docs, threshold)
+    first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc", "text_key")).alias("least")).select("least.*")
+    blank = sigs.filter("doc_id is not null and words_key is null").select(F.col("doc_id").alias("doc"), "text_key").distinct()
+    kept = first.unionByName(blank).select(F.col("doc").alias("__doc"), F.coalesce("text_key", F.lit(b"")).alias("__key"))
+    rows = docs.filter("doc_id is not null").select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("__row"), F.col("doc_id").cast("bigint").alias("__doc"), F.coalesce(text_key(), F.lit(b"")).alias("__key"))
+    unique = rows.dropDuplicates(["__doc", "__key"]).join(kept.hint("merge"), ["__doc", "__key"], "left_semi")
+    return unique.select("__row.*").unionByName(docs.filter("doc_id is null"))

@@ -213,6 +213,15 @@ def test_near_duplicates_keep_the_least_id_and_all_columns(spark):
     assert rows(kept, "doc_id") == [(1,), (2,)] and kept.columns == ["doc_id", "text", "lang", "source", "n_chars"]
 
 
+def test_one_row_of_each_class_stays_when_ids_repeat(spark):
+    words = [f"w{i}" for i in range(60)]
+    a, near, b = " ".join(words), " ".join([*words[:59], "z"]), " ".join(f"v{i}" for i in range(60))
+    listed = [(0, b), (1, a), (1, a), (1, b + "  "), (1, near), (2, a), (2, "own"), (None, a), (None, a), (3, ""), (3, ""), (3, None), (4, None)]
+    kept = jaccard.drop_near_duplicates(spark.createDataFrame([(*r, "x") for r in listed], "doc_id bigint, text string, __key string"))
+    least = min((a, near), key=lambda t: hashlib.md5(t.encode()).digest())
+    assert rows(kept) == sorted([(d, t, "x") for d, t in [(0, b), (1, least), (2, "own"), (None, a), (None, a), (3, ""), (3, None), (4, None)]], key=repr)
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(50, 51), (51, 52), (52, 50), (60, 60)]
     found = dict(rows(graph.components(spark.createDataFrame(links, "a bigint, b bigint"))))
