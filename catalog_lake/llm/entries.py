@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, suffix_dedup, warc
+from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, suffix_dedup, url_filters, warc
 from catalog_lake.llm.common import table
 
 
@@ -53,9 +53,13 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"))
 
 
+def op11_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filters.judge_urls(table(spark, sf_dir, "pages"), url_filters.RuleList(url_filters.rule_frame(spark)))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding, op11_url_filters)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_url_filters": url_filters.ORACLE}
