@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalog_lake.llm import bpe, chat, fingerprints, jaccard, mixing, quality, secrets, sharding, spelling, suffix_dedup, url_filters, warc
+from catalog_lake.llm import bpe, chat, fingerprints, hard_negatives, jaccard, mixing, quality, secrets, sharding, spelling, suffix_dedup, url_filters, warc
 from catalog_lake.llm.common import table
 
 
@@ -61,9 +61,13 @@ def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spelling.spelling_report(table(spark, sf_dir, "documents"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.mining_report(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding, op11_url_filters, op12_spelling_variants)}
+    return {f.__name__: f for f in (op1_fingerprints, op2_suffix_dedup, op3_secret_scans, op4_quality_rules, op5_chat_formatting, op6_byte_bpe, op7_warc, op8_mixing, op9_jaccard_join, op10_sharding, op11_url_filters, op12_spelling_variants, op13_hard_negatives)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_url_filters": url_filters.ORACLE, "op12_spelling_variants": spelling.ORACLE}
+    return {"op5_chat_formatting": chat.ORACLE, "op7_warc": warc.ORACLE, "op4_quality_rules": quality.ORACLE, "op11_url_filters": url_filters.ORACLE, "op12_spelling_variants": spelling.ORACLE, "op13_hard_negatives": hard_negatives.ORACLE}
