@@ -98,7 +98,7 @@ def _confirmed(urls: DataFrame, stored: DataFrame, host: Column, path: Column) -
     """Rows of ``urls`` whose expression is stored, with its value: joined by the short prefix, confirmed by the digest."""
     keyed = urls.withColumn("key", short(expression(host, path)))
     same = F.filter("entries", lambda e: e["digest"] == expression(host, path))
-    return keyed.join(stored, "key").withColumn("entry", same).filter(F.size("entry") > 0).withColumn("value", F.col("entry")[0]["value"]).drop("key", "entries", "entry")
+    return keyed.join(stored, "key").withColumn("entry", same).filter(F.size("entry") > 0).withColumn("value", F.get("entry", F.lit(0))["value"]).drop("key", "entries", "entry")
 
 
 def fitting_rules(urls: DataFrame, listed: RuleList) -> DataFrame:
