@@ -53,6 +53,15 @@ def s2_merge(t):
     return table.read()
 
 
+@query("s2_versioned_deletion", "select * from image_status where download_done <> -1 and listing_id % 4 > 0")
+def s2_deletion(t):
+    """Dead images and all of every fourth listing are deleted from a stored status whose finished rows lie apart."""
+    table = VersionedTable(t._spark, new_path(t._spark, "versions"), "listing_id bigint, image_id bigint, is_primary int, url string, download_done int", ("listing_id", "image_id"), 8, cold="download_done >= 3")
+    table.write(t.image_status, 0)
+    table.delete(t.image_status.filter("download_done = -1 or listing_id % 4 = 0"))
+    return table.read()
+
+
 #: Vectors of one batch of results.
 BATCH = 1_000
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from catalog_lake.plans.fixtures import EVENTS_NOW
 from catalog_lake.plans.registry import query
 from catalog_lake.session import new_path
 from catalog_lake.sources.versions import VersionedTable
@@ -12,6 +13,8 @@ from catalog_lake.streaming import jobs
 #: Parts of a stored table.
 PARTS = 8
 IMAGE_KEYS, REVIEW_KEYS = ("listing_id", "image_id"), ("shop_id", "listing_id", "create_timestamp")
+#: Images in tars: no job but an upsert or a repair changes them.
+COLD = "download_done >= 3"
 STATUS = "listing_id bigint, image_id bigint, is_primary int, url string, download_done int"
 
 
@@ -41,17 +44,56 @@ def k1(t):
     return drained(classified.writeStream, t._spark, classified.schema)
 
 
+#: Snapshots up to this time are in the store, for two listings of three; later ones are streamed.
+SPLIT = EVENTS_NOW - 10 * 86400
+
+
+@query(
+    "k1_stream_staleness_stored",
+    f"""with recursive s as (select user_id as listing_id, event_id as ord, TS(ts) as snapshot_ts, TS(ts) * 100000000 + event_id as k from events),
+    e as (select * from s where snapshot_ts > {SPLIT}), stored as (select listing_id, max(snapshot_ts) as last from s where snapshot_ts <= {SPLIT} and listing_id % 3 > 0 group by 1),
+    taken as (select e.listing_id, min(k) as k, case when last is null then 'new' else 'update' end as class from e left join stored on stored.listing_id = e.listing_id where last is null or snapshot_ts - last > 432000 group by e.listing_id, last
+      union all select t.listing_id, min(e.k), 'update' from taken t join e on e.listing_id = t.listing_id and e.snapshot_ts - t.k DIV 100000000 > 432000 group by t.listing_id)
+    select e.listing_id, ord, snapshot_ts, coalesce(class, 'skip') as class from e left join taken on taken.listing_id = e.listing_id and taken.k = e.k""",
+)
+def k1_stored(t):
+    """The store has the newest earlier snapshot of its listings; the rest of the events arrives as a stream."""
+    columns = lambda df: df.select(F.col("user_id").alias("listing_id"), F.col("event_id").alias("ord"), F.unix_timestamp(F.col("ts").cast("timestamp")).alias("snapshot_ts"))
+    stored = columns(t.events).filter((F.col("snapshot_ts") <= SPLIT) & (F.col("listing_id") % 3 > 0)).groupBy("listing_id").agg(F.max("snapshot_ts").alias("last_dynamic_ts"))
+    classified = jobs.stream_staleness(columns(stream(t, "events")).filter(F.col("snapshot_ts") > SPLIT), listings_static=stored)
+    return drained(classified.writeStream, t._spark, classified.schema)
+
+
 INCOMING = "select l_orderkey as listing_id, cast(l_linenumber as bigint) as image_id, l_partkey * 100000 + l_suppkey as ord, cast(l_suppkey % 2 as int) as is_primary, case when l_suppkey % 3 > 0 then concat('u', cast(l_suppkey as string)) end as url from lineitem"
 
 
-@query("k2_stream_upsert_images", f"with i as ({INCOMING}) select listing_id, image_id, arg_max(is_primary, ord) as is_primary, coalesce(arg_min(url, ord) filter (where url is not null), '') as url, cast(0 as int) as download_done from i group by 1, 2")
-def k2(t):
-    rows = stream(t, "lineitem").select(
+def streamed_images(t):
+    return stream(t, "lineitem").select(
         F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("bigint").alias("image_id"), (F.col("l_partkey") * 100_000 + F.col("l_suppkey")).alias("ord"),
         (F.col("l_suppkey") % 2).cast("int").alias("is_primary"), F.when(F.col("l_suppkey") % 3 > 0, F.concat(F.lit("u"), F.col("l_suppkey").cast("string"))).alias("url"),
     )
+
+
+@query("k2_stream_upsert_images", f"with i as ({INCOMING}) select listing_id, image_id, arg_max(is_primary, ord) as is_primary, coalesce(arg_min(url, ord) filter (where url is not null), '') as url, cast(0 as int) as download_done from i group by 1, 2")
+def k2(t):
     table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS)
-    jobs.stream_upsert_images(rows, table, new_path(t._spark, "progress")).awaitTermination()
+    jobs.stream_upsert_images(streamed_images(t), table, new_path(t._spark, "progress")).awaitTermination()
+    return table.read()
+
+
+@query(
+    "k2_stream_upsert_stored",
+    f"""with i as (select listing_id, image_id, arg_max(is_primary, ord) as p, arg_min(url, ord) filter (where url is not null) as u from ({INCOMING}) x where image_id <> 2 or listing_id % 3 > 0 group by 1, 2),
+    s as (select * from image_status where image_id < 6)
+    select coalesce(s.listing_id, i.listing_id) as listing_id, coalesce(s.image_id, i.image_id) as image_id, case when i.listing_id is not null then i.p else s.is_primary end as is_primary,
+    case when s.url <> '' then s.url else coalesce(i.u, s.url, case when s.listing_id is null then '' end) end as url, coalesce(s.download_done, 0) as download_done
+    from s full join i on i.listing_id = s.listing_id and i.image_id = s.image_id""",
+)
+def k2_stored(t):
+    """The store lacks the sixth and seventh images, the stream the second one of every third listing; finished images of the store lie apart."""
+    table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS, cold=COLD)
+    table.write(t.image_status.filter("image_id < 6"), -1)
+    jobs.stream_upsert_images(streamed_images(t).filter("image_id <> 2 or listing_id % 3 > 0"), table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()
 
 
@@ -82,6 +124,20 @@ def k3_newer(t):
     return drained(kept.writeStream, t._spark, kept.schema)
 
 
+@query(
+    "k3_stream_after_stored_watermark",
+    """with r as (select o_custkey as shop_id, o_orderkey as ord, TS(o_orderdate) as create_timestamp from orders),
+    x as (select *, max(case when create_timestamp <= case when shop_id % 4 > 0 then 757382400 + shop_id % 97 * 864000 else 946684800 end then 1 else 0 end) over (partition by shop_id order by ord rows unbounded preceding) as stop from r) select shop_id, ord, create_timestamp from x where stop = 0""",
+)
+def k3_stored(t):
+    """Three shops of four have a stored watermark between 1994 and 1996."""
+    created = F.unix_timestamp(F.col("o_orderdate").cast("timestamp"))
+    marks = t.orders.select(F.col("o_custkey").alias("shop_id")).distinct().filter("shop_id % 4 > 0").withColumn("last_ts", F.expr("757382400 + shop_id % 97 * 864000"))
+    rows = stream(t, "orders").select(F.col("o_custkey").alias("shop_id"), F.col("o_custkey").alias("listing_id"), created.alias("create_timestamp"), F.col("o_orderkey").alias("ord"))
+    kept = jobs.stream_after_watermark(rows, marks).select("shop_id", "ord", "create_timestamp")
+    return drained(kept.writeStream, t._spark, kept.schema)
+
+
 @query(
     "k4_stream_reconcile",
     """with f as (select l_orderkey as listing_id, cast(l_linenumber as bigint) as image_id, max(case when l_suppkey % 3 > 0 then cast(floor(l_extendedprice) as bigint) % 3000 end) as jpg, bool_or(l_suppkey % 3 = 0) as dl from lineitem group by 1, 2)
@@ -91,7 +147,7 @@ def k3_newer(t):
 def k4(t):
     jpg = F.col("l_suppkey") % 3 > 0
     files = stream(t, "lineitem").select(F.col("l_orderkey").alias("listing_id"), F.col("l_linenumber").cast("bigint").alias("image_id"), F.when(jpg, "jpg").otherwise("dl").alias("ext"), F.when(jpg, F.floor("l_extendedprice").cast("bigint") % 3000).otherwise(0).alias("size"))
-    table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS)
+    table = VersionedTable(t._spark, new_path(t._spark, "status"), STATUS, IMAGE_KEYS, PARTS, cold=COLD)
     table.write(t.image_status, -1)
     jobs.stream_reconcile(files, table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()

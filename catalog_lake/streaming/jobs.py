@@ -3,37 +3,78 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from catalog_lake.operators.images import reconcile_downloads
-from catalog_lake.operators.merge import STALE_SECONDS, append_reviews, upsert_images
+from catalog_lake.operators.merge import DEFAULT_WATERMARK, STALE_SECONDS, append_reviews, upsert_images
 from catalog_lake.sources.versions import VersionedTable
 
 
-def stream_staleness(incoming: DataFrame, max_age: int = STALE_SECONDS) -> DataFrame:
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
+def keep_state_in_rocksdb(spark: SparkSession) -> None:
+    """State with an initial table needs Spark's RocksDB store; it holds state on the executors' disks, not in their heaps."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKSDB)
+
+
+class LastSeen(StatefulProcessor):
+    """One number per key, seeded from a stored table: a batch's rows of a key are passed to ``step`` in order with the last number.
+
+    ``step`` gives the rows to emit and the new number. NULL seeds are ``unset``.
+    """
+
+    def __init__(self, column: str, order: Sequence[str], step: Callable[[pd.DataFrame, int | None], tuple[pd.DataFrame, int | None]], unset: int) -> None:
+        self.column, self.order, self.step, self.unset = column, list(order), step, unset
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.last = handle.getValueState("last", "last bigint")
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        stored = initialState[self.column].iloc[0]
+        self.last.update((self.unset if pd.isna(stored) else int(stored),))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        last = self.last.get()[0] if self.last.exists() else None
+        out, now = self.step(pd.concat(list(rows)).sort_values(self.order), last)
+        if now is not None and now != last:
+            self.last.update((now,))
+        yield out
+
+    def close(self) -> None:
+        pass
+
+
+def seeded(stream: DataFrame, key: str, schema: str, processor: LastSeen, stored: DataFrame | None) -> DataFrame:
+    """``processor`` over the stream by key; stored has the key and the processor's column, a row for each key at most. Rows without a key have no state and are left out."""
+    keep_state_in_rocksdb(stream.sparkSession)
+    seeds = None if stored is None else stored.filter(F.col(key).isNotNull()).groupBy(key)
+    return stream.filter(F.col(key).isNotNull()).groupBy(key).transformWithStateInPandas(processor, schema, "append", "none", seeds)
+
+
+def stream_staleness(incoming: DataFrame, max_age: int = STALE_SECONDS, listings_static: DataFrame | None = None) -> DataFrame:
     """(listing_id, ord, snapshot_ts, class) with the last taken snapshot of each listing as state.
 
-    incoming has listing_id, ord, snapshot_ts. One number per listing is kept and never expires, since a
-    listing may come back at any time. A listing's rows within a micro-batch are taken in order of ord.
+    incoming has listing_id, ord, snapshot_ts; listings_static, the store that the stream goes on from, listing_id and
+    last_dynamic_ts (NULL: 0), so that a stored listing is update or skip from its first row on. The store is read
+    once, when the stream first starts; after that the state is its own. One number per listing is kept and never expires, since a
+    listing may come back at any time. A listing's rows within a micro-batch are taken in order of time, then ord.
     """
 
-    def gate(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else None
-        rows = pd.concat(list(frames)).sort_values(["snapshot_ts", "ord"])
+    def gate(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
         classes = []
         for now in rows["snapshot_ts"].tolist():
             kind = "new" if last is None else "update" if now - last > max_age else "skip"
-            if kind != "skip":
-                last = now
+            last = last if kind == "skip" else now
             classes.append(kind)
-        state.update((last,))
-        yield pd.DataFrame({"listing_id": key[0], "ord": rows["ord"].to_numpy(), "snapshot_ts": rows["snapshot_ts"].to_numpy(), "class": classes})
+        return rows[["listing_id", "ord", "snapshot_ts"]].assign(**{"class": classes}), last
 
-    return incoming.select("listing_id", "ord", "snapshot_ts").groupBy("listing_id").applyInPandasWithState(gate, "listing_id bigint, ord bigint, snapshot_ts bigint, class string", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    stored = None if listings_static is None else listings_static.select("listing_id", "last_dynamic_ts")
+    return seeded(incoming.select("listing_id", "ord", "snapshot_ts"), "listing_id", "listing_id bigint, ord bigint, snapshot_ts bigint, class string", LastSeen("last_dynamic_ts", ("snapshot_ts", "ord"), gate, 0), stored)
 
 
 def merge_batches(stream: DataFrame, table: VersionedTable, merge: Callable[[DataFrame, DataFrame], DataFrame], checkpoint: str, once: bool = True, every: str = "120 seconds"):
@@ -65,18 +106,21 @@ def stream_recent_reviews(stream: DataFrame, late: str = "30 days") -> DataFrame
     return timed.dropna(subset=["shop_id", "listing_id", "create_timestamp"]).dropDuplicatesWithinWatermark(["shop_id", "listing_id", "create_timestamp"])
 
 
-def stream_after_watermark(stream: DataFrame) -> DataFrame:
-    """Reviews newer than all of their shop's earlier micro-batches, with the shop's newest time as state."""
+def stream_after_watermark(stream: DataFrame, watermarks: DataFrame | None = None, default: int = DEFAULT_WATERMARK) -> DataFrame:
+    """Reviews newer than all of their shop's earlier micro-batches, with the shop's newest time as state.
+
+    watermarks, what was fetched before the stream began, has shop_id and last_ts; other shops begin with ``default``.
+    """
 
-    def newer(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        last = state.get[0] if state.exists else 946_684_800
-        rows = pd.concat(list(frames)).sort_values("ord")
+    def newer(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
+        last = default if last is None else last
         kept = rows[(rows["create_timestamp"].fillna(0) > last).cumprod().astype(bool)]
-        if len(kept):
-            state.update((max(last, int(kept["create_timestamp"].max())),))
-        yield kept[["shop_id", "listing_id", "create_timestamp", "ord"]]
+        now = max(last, int(kept["create_timestamp"].max())) if len(kept) else None
+        return kept[["shop_id", "listing_id", "create_timestamp", "ord"]], now
 
-    return stream.select("shop_id", "listing_id", "create_timestamp", "ord").groupBy("shop_id").applyInPandasWithState(newer, "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint", "last bigint", "append", GroupStateTimeout.NoTimeout)
+    rows = stream.select("shop_id", "listing_id", "create_timestamp", "ord")
+    stored = None if watermarks is None else watermarks.select("shop_id", "last_ts")
+    return seeded(rows, "shop_id", "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint", LastSeen("last_ts", ("ord",), newer, default), stored)
 
 
 def stream_reconcile(files: DataFrame, table: VersionedTable, checkpoint: str, **trigger):

@@ -86,3 +86,92 @@ def test_merges_rewrite_the_parts_that_they_touch(spark, tmp_path):
     assert table.read().count() == 100 and rows(table.read().filter("k = 5")) == [(5, 3)]
     with pytest.raises(ValueError, match="keys"):
         VersionedTable(spark, str(tmp_path / "u"), "k bigint", parts=2)
+
+
+def test_deletions_hold(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), "k bigint, v bigint", ("k",), 2)
+    data = spark.range(8).selectExpr("id as k", "id * 2 as v")
+    table.write(data, 0)
+    assert table.delete(data.filter("k < 7")) == [0, 1] and rows(table.read()) == [(7, 14)]
+    table.delete(data)
+    assert table.read().count() == 0 and set(table.versions()) == {1, 2}
+    table.merge(data.filter("k = 3"), lambda old, new: old.unionByName(new))
+    assert rows(table.read()) == [(3, 6)]
+    one = VersionedTable(spark, str(tmp_path / "one"), "k bigint, v bigint")
+    one.write(data, 0)
+    one.merge(data, lambda old, new: old.filter("k < 0"))
+    assert one.read().count() == 0
+
+
+COLD = "listing_id bigint, image_id bigint, is_primary int, url string, download_done int"
+
+
+def files_of(path, first):
+    """Data files of parts from ``first`` on."""
+    return sorted(p.relative_to(path).as_posix() for p in path.rglob("*.parquet") if int(p.parent.name.split("=")[1]) >= first)
+
+
+def test_cold_rows_keep_their_files(spark, tmp_path):
+    table = VersionedTable(spark, str(tmp_path / "t"), COLD, ("listing_id", "image_id"), 4, cold="download_done >= 3")
+    stored = [(i, 1, 1, None if i % 5 == 0 else f"u{i}", i % 6 - 1) for i in range(120)]
+    table.write(spark.createDataFrame(stored, COLD), 0)
+    want, before = {r[:2]: r for r in stored}, files_of(tmp_path / "t", 4)
+    assert len(before) == 4
+    # hot rows only: reconcile, in every part
+    files = spark.createDataFrame([(i, 1, "jpg", 5000) for i in range(120)], "listing_id bigint, image_id bigint, ext string, size bigint")
+    table.merge(files, lambda status, batch: jobs.reconcile_downloads(status, batch).drop("action"))
+    want |= {k: (*r[:4], 2) for k, r in want.items() if r[4] == 1 or r[4] == 0 and r[3]}
+    assert files_of(tmp_path / "t", 4) == before and rows(table.read()) == sorted(want.values(), key=repr)
+    # rows that become cold are appended
+    tarred = spark.createDataFrame([k for k, r in want.items() if r[4] == 2][:10], "listing_id bigint, image_id bigint")
+    table.merge(tarred, lambda status, keys: merge.set_status(status, keys, 3, only_from=2))
+    want |= {(r.listing_id, r.image_id): (*want[r.listing_id, r.image_id][:4], 3) for r in tarred.collect()}
+    after = files_of(tmp_path / "t", 4)
+    assert set(before) < set(after) and rows(table.read()) == sorted(want.values(), key=repr)
+    # an upsert that changes one cold row rewrites its part, one that changes none rewrites nothing
+    cold = next(k for k, r in want.items() if r[4] == 4 and r[3])
+    same = spark.createDataFrame([(*cold, 1, "x", 0)], "listing_id bigint, image_id bigint, is_primary int, url string, ord bigint")
+    table.merge(same, merge.upsert_images)
+    assert files_of(tmp_path / "t", 4) == after and rows(table.read()) == sorted(want.values(), key=repr)
+    table.merge(same.withColumn("is_primary", F.lit(0)), merge.upsert_images)
+    want[cold] = (*cold, 0, *want[cold][3:])
+    assert rows(table.read()) == sorted(want.values(), key=repr)
+    assert len({p.split("=")[2].split("/")[0] for p in set(files_of(tmp_path / "t", 4)) - set(after)}) == 1
+    # a cold row that goes, and one that becomes hot again
+    table.delete(spark.createDataFrame([cold], "listing_id bigint, image_id bigint"))
+    del want[cold]
+    back = next(k for k, r in want.items() if r[4] == 4)
+    table.merge(spark.createDataFrame([back], "listing_id bigint, image_id bigint"), lambda status, keys: merge.set_status(status, keys, 0))
+    want[back] = (*want[back][:4], 0)
+    assert rows(table.read()) == sorted(want.values(), key=repr)
+    table.compact()
+    table.compact()
+    assert rows(table.read()) == sorted(want.values(), key=repr) and len(files_of(tmp_path / "t", 4)) == 8
+
+
+def test_streams_go_on_from_stored_state(spark, tmp_path):
+    day = 86_400
+    stored = spark.createDataFrame([(1, 10 * day), (2, 19 * day), (3, None), (None, 5)], "listing_id bigint, last_dynamic_ts bigint")
+    data = [(o, lid, 20 * day + o) for o, lid in enumerate((1, 2, 3, 4, 1, None))] + [(9, 2, 25 * day), (10, 4, 30 * day)]
+    frame = spark.createDataFrame(data, "ord bigint, listing_id bigint, snapshot_ts bigint")
+    out, progress = str(tmp_path / "out"), str(tmp_path / "c")
+
+    def run(stream, seeds):
+        writer = jobs.stream_staleness(stream, listings_static=seeds).writeStream.format("parquet").option("path", out).option("checkpointLocation", progress)
+        writer.outputMode("append").trigger(availableNow=True).start().awaitTermination(180)
+
+    run(landed(spark, frame, str(tmp_path / "in"), 4), stored)
+    want = [(0, 1, "update"), (1, 2, "skip"), (2, 3, "update"), (3, 4, "new"), (4, 1, "skip"), (9, 2, "update"), (10, 4, "update")]
+    assert rows(spark.read.parquet(out), "ord", "listing_id", "class") == sorted(want, key=repr)
+    # begun again it goes on from its own state, not from the store
+    late = spark.createDataFrame([(20, 1, 22 * day), (21, 5, 22 * day)], frame.schema)
+    run(landed(spark, late, str(tmp_path / "in"), 1), stored)
+    assert rows(spark.read.parquet(out).filter("ord >= 20"), "ord", "listing_id", "class") == [(20, 1, "skip"), (21, 5, "new")]
+
+
+def test_reviews_after_stored_watermarks(spark, tmp_path):
+    reviews = spark.createDataFrame([(1, 5, 10**9, 0), (2, 5, 10**9, 1), (3, 5, 10**9, 2), (1, 6, 10**9 + 5, 3), (2, 6, 10**9 + 9, 4)], "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint")
+    marks = spark.createDataFrame([(1, 10**9), (2, 10**9 - 1), (3, None)], "shop_id bigint, last_ts bigint")
+    q = jobs.stream_after_watermark(landed(spark, reviews, str(tmp_path / "in"), 1), marks).writeStream.format("memory").queryName("after_stored").outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    assert rows(spark.table("after_stored"), "shop_id", "ord") == [(2, 1), (2, 4), (3, 2)]
