@@ -8,7 +8,7 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow.fs as pafs
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from catalog_lake.functions.columns import parse_image_name
 from catalog_lake.session import materialise
@@ -52,24 +52,72 @@ def write_table(df: DataFrame, path: str, partition_by: tuple[str, ...] = ()) ->
     (writer.partitionBy(*partition_by) if partition_by else writer).parquet(path)
 
 
+# ---- large JSON files, read in splits
+
+
+def cut_text(spark: SparkSession, path: str, separator: str, recursive: bool = False) -> DataFrame:
+    """(file, block, at, piece): files cut at each separator, stored. Pieces are in order by block, where a split begins, and at.
+
+    Spark's text reader splits a file anywhere and gives each piece to the split that it begins in, so that one large
+    file is read by many tasks and no row holds more than a piece.
+    """
+    text = spark.read.option("lineSep", separator).option("recursiveFileLookup", recursive).text(path)
+    place = [F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at")]
+    return materialise(text.select(*place, F.col("value").alias("piece")), "pieces")
+
+
+def _before(blocks: DataFrame, value: str, fold: Callable) -> DataFrame:
+    """``blocks``, a row for each split, plus __before: ``fold`` of the values of the file's earlier splits."""
+    earlier = W.partitionBy("file").orderBy("block").rowsBetween(W.unboundedPreceding, -1)
+    return blocks.withColumn("__before", fold(value).over(earlier))
+
+
+def _whole_quotes(piece: Column, what: str) -> Column:
+    """The piece, or an error where a separator lay within a string: then it has a string's begin or end only."""
+    quotes = F.regexp_count(F.regexp_replace(piece, r"\\.", F.lit("")), F.lit('"'))
+    return F.when(quotes % 2 == 0, piece).otherwise(F.raise_error(F.concat(F.lit(f"a string of the {what} has a separator: "), F.left(piece, F.lit(80)))))
+
+
 def read_image_index(spark: SparkSession, path: str, shard_rows: int = 500_000) -> DataFrame:
     """(shard, shard_row, global_row, listing_id, image_id, hashes) of index files: one array of entries, or an entry a line.
 
-    The shard is the number in the file's name or its partition folder's, 0 if there is none.
+    The shard is the number in the file's name or its partition folder's, 0 if there is none. Files are read in
+    splits, cut at closing brackets; entries have numbers and hexadecimal strings, no brackets. An entry's row is
+    counted: those of the splits before its own, and those before it there.
     """
-    shard = F.coalesce(*(F.regexp_extract(F.input_file_name(), form, 1).try_cast("int") for form in (r"(\d+)\.json$", r"/shard=(\d+)/")), F.lit(0))
-    whole = F.when(F.col("value").rlike(r"^\s*\[\s*(\[|\])"), F.col("value")).otherwise(F.concat(F.lit("["), F.regexp_replace(F.rtrim(F.regexp_replace("value", r"\s+$", "")), "\n", ","), F.lit("]")))
-    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True).select(shard.alias("shard"), whole.alias("value"))
-    rows = files.select("shard", F.posexplode(F.from_json("value", "array<array<string>>")).alias("shard_row", "e"))
+    pieces = cut_text(spark, path, "]", recursive=True)
+    piece = F.col("piece")
+    # an opening bracket and nothing else is the begin of an empty file's array
+    found = pieces.filter(F.contains(piece, F.lit("[")) & ~piece.rlike(r"^[^\n,\[]*\[\s*$")).withColumn("piece", _whole_quotes(piece, "index"))
+    counts = _before(found.groupBy("file", "block").agg(F.min("at").alias("__first"), F.count(F.lit(1)).alias("__rows")), "__rows", F.sum)
+    shard = F.coalesce(*(F.regexp_extract("file", form, 1).try_cast("int") for form in (r"(\d+)\.json$", r"/shard=(\d+)/")), F.lit(0))
+    entry = F.from_json(F.concat(F.lit("["), F.substring_index("piece", "[", -1), F.lit("]")), "array<string>")
+    row = (F.coalesce("__before", F.lit(0)) + F.col("at") - F.col("__first")).cast("bigint")
+    rows = found.join(counts, ["file", "block"]).select(shard.alias("shard"), row.alias("shard_row"), entry.alias("e"))
     field = lambda k: F.get("e", F.lit(k)).try_cast("bigint")
-    row = F.col("shard_row").cast("bigint")
-    return rows.select("shard", row.alias("shard_row"), (F.col("shard") * shard_rows + row).alias("global_row"), field(0).alias("listing_id"), field(1).alias("image_id"), F.expr("slice(e, 4, greatest(size(e) - 3, 0))").alias("hashes"))
+    return rows.select("shard", "shard_row", (F.col("shard") * shard_rows + F.col("shard_row")).alias("global_row"), field(0).alias("listing_id"), field(1).alias("image_id"), F.expr("slice(e, 4, greatest(size(e) - 3, 0))").alias("hashes"))
 
 
 def read_offset_index(spark: SparkSession, path: str) -> DataFrame:
-    """(tar_name, member, offset) of tar indexes."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "tars map<string, map<string, bigint>>").alias("v"))
-    return whole.select(F.explode("v.tars").alias("tar_name", "m")).select("tar_name", F.explode("m").alias("member", "offset"))
+    """(tar_name, member, offset) of tar indexes.
+
+    Files are read in splits, cut at commas; names have none. A member belongs to the object that was opened last: in
+    its split, or else in the splits before. The map from members to tars says the same once more and is passed over.
+    """
+    string = r'"(?:[^"\\]|\\.)*"'
+    name = r'"((?:[^"\\]|\\.)*)"\s*:\s*'
+    # an object's begin, at most with its first member, in either map
+    opens = name + rf"\{{\s*(?:{string}\s*:\s*(?:\d+|\[\s*{string}))?[\s}}]*$"
+    text = lambda column: F.get_json_object(F.concat(F.lit('{"k":"'), column, F.lit('"}')), "$.k")
+    piece = F.col("piece")
+    number = name + r"(\d+)[\s}]*$"
+    pieces = cut_text(spark, path, ",").withColumn("piece", _whole_quotes(piece, "offset index"))
+    marked = pieces.select("file", "block", "at", F.nullif(F.regexp_extract("piece", opens, 1), F.lit("")).alias("opened"), F.when(piece.rlike(number), F.regexp_extract("piece", number, 1)).alias("member"), F.regexp_extract("piece", number, 2).try_cast("bigint").alias("offset"))
+    last = lambda column: F.last(column, ignorenulls=True)
+    blocks = _before(marked.groupBy("file", "block").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("at"))).alias("__last")), "__last", last).drop("__last")
+    here = last("opened").over(W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    rows = marked.withColumn("__here", here).filter("member is not null").join(blocks, ["file", "block"])
+    return rows.select(text(F.coalesce("__here", "__before")).alias("tar_name"), text(F.col("member")).alias("member"), "offset").filter("tar_name <> 'reverse'")
 
 
 def read_file_inventory(spark: SparkSession, *folders: str) -> DataFrame:
@@ -121,12 +169,26 @@ def read_batch_results(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def read_legacy_metadata(spark: SparkSession, path: str) -> DataFrame:
-    """One row per listing: the fields of an object entry, an error string, or a bare image id (shop NULL)."""
-    entries = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string, string>")).alias("k", "v"))
+    """One row per listing: the fields of an object entry, an error string, or a bare image id (shop NULL).
+
+    Files are read in splits, cut at commas; a piece that begins with a number in quotes and a colon begins an entry, as
+    no inner object has such keys and quotes within strings are escaped. Pieces of an entry meet by its number: entries that
+    began in the splits before, and up to the piece in its own.
+    """
+    begins = r'^\s*\{?\s*"(\d+)"\s*:\s*'
+    pieces = cut_text(spark, path, ",").withColumn("__begins", F.col("piece").rlike(begins).cast("bigint"))
+    blocks = _before(pieces.groupBy("file", "block").agg(F.sum("__begins").alias("__n")), "__n", F.sum)
+    blocks = blocks.withColumn("__entries", F.sum("__n").over(W.partitionBy("file"))).drop("__n")
+    here = F.sum("__begins").over(W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
+    numbered = pieces.withColumn("__here", here).join(blocks, ["file", "block"]).withColumn("entry", F.col("__here") + F.coalesce("__before", F.lit(0))).filter("entry > 0")
+    joined = numbered.groupBy("file", "entry").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("block", "at", "piece"))), lambda p: p["piece"]), ",").alias("text"), (F.first("__entries") == F.col("entry")).alias("last"))
+    value = F.regexp_replace("text", begins, "")
+    entries = joined.select(F.regexp_extract("text", begins, 1).alias("k"), F.when(F.col("last"), F.regexp_replace(value, r"\}\s*$", "")).otherwise(value).alias("v"))
     kind = F.when(F.col("v").rlike(r"^\s*\{"), "object").when(F.col("v").rlike(r"^\s*\d+\s*$"), "number").otherwise("error")
     parsed = entries.select(F.col("k").try_cast("bigint").alias("listing_id"), "v", kind.alias("kind"), F.from_json("v", LEGACY_ENTRY).alias("s"))
     image = F.when(F.col("kind") == "number", F.trim("v").try_cast("bigint")).otherwise(F.col("s.image_id"))
-    return parsed.select("listing_id", F.when(F.col("kind") == "error", F.col("v")).alias("error"), "s.shop_id", "s.when_made", "s.price", "s.background_removed", image.alias("image_id"), "s.hex", "s.suffix", "s.images")
+    error = F.get_json_object(F.concat(F.lit('{"k":'), "v", F.lit("}")), "$.k")
+    return parsed.select("listing_id", F.when(F.col("kind") == "error", error).alias("error"), "s.shop_id", "s.when_made", "s.price", "s.background_removed", image.alias("image_id"), "s.hex", "s.suffix", "s.images")
 
 
 def read_taxonomy_config(spark: SparkSession, path: str) -> DataFrame:
