@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from catalog_lake.functions import columns as C
-from catalog_lake.operators import archive, images, migrate, pricing, quality
+from catalog_lake.operators import archive, images, migrate, pricing, quality, reports
+from catalog_lake.plans.merge_queries import counted
 from catalog_lake.plans.registry import query
 
 RECONCILED = """f as (select listing_id, image_id, max(case when ext = 'jpg' then size end) as jpg, bool_or(ext = 'dl') as dl from files group by 1, 2),
@@ -24,14 +25,25 @@ def d1_counts(t):
     return images.action_counts(images.reconcile_downloads(t.image_status, t.files))
 
 
-@query(
-    "d2_rebuild_status",
-    """with disk as (select listing_id, image_id from files where ext = 'jpg'), e as (select listing_id, image_id from image_status union select * from disk)
-    select e.*, cast(case when d.listing_id is not null then 1 else 0 end as int) as downloaded, cast(case when i.listing_id is not null then 1 else 0 end as int) as background_removed,
-    cast(case when i.listing_id is not null then 1 else 0 end as int) as embed_clip from e left join disk d on d.listing_id = e.listing_id and d.image_id = e.image_id left join image_index i on i.listing_id = e.listing_id and i.image_id = e.image_id""",
-)
+REBUILT = """disk as (select listing_id, image_id from files where ext = 'jpg'), e as (select listing_id, image_id from image_status where listing_id % 6 > 0 union select * from disk),
+    rebuilt as (select e.*, cast(case when d.listing_id is not null then 1 else 0 end as int) as downloaded, cast(case when i.listing_id is not null then 1 else 0 end as int) as background_removed,
+    cast(case when i.listing_id is not null then 1 else 0 end as int) as embed_clip from e left join disk d on d.listing_id = e.listing_id and d.image_id = e.image_id
+    left join image_index i on i.listing_id = e.listing_id and i.image_id = e.image_id and i.listing_id % 5 > 0)"""
+
+
+def rebuilding(t):
+    """The status lacks every sixth listing, the index every fifth."""
+    return t.image_status.filter("listing_id % 6 > 0"), t.files, t.image_index.filter("listing_id % 5 > 0"), ["clip"]
+
+
+@query("d2_rebuild_status", f"with {REBUILT} select * from rebuilt")
 def d2(t):
-    return images.rebuild_status(t.image_status, t.files, t.image_index, ["clip"])
+    return images.rebuild_status(*rebuilding(t))
+
+
+@query("d2_rebuild_report", f"with {REBUILT} select count(*) as pairs, cast(sum(downloaded) as bigint) as downloaded, cast(sum(background_removed) as bigint) as background_removed, cast(sum(embed_clip) as bigint) as embed_clip from rebuilt")
+def d2_report(t):
+    return counted(t, reports.rebuild_status(*rebuilding(t))[1])
 
 
 @query("d3_orphan_files", "select distinct listing_id, image_id from files where listing_id not in (select listing_id from legacy_meta)")
@@ -57,23 +69,32 @@ def d5(t):
     return t.files.select("name", C.file_partition(F.col("name")).alias("part"))
 
 
-def nested(t):
-    """Legacy entries with an array of images: none, one or two."""
-    image = lambda k: F.struct((F.col("listing_id") * 10 + k).alias("image_id"), F.concat(F.lit("ab"), F.col("listing_id").cast("string")).alias("hex"), F.when(F.col("listing_id") % 13 > k, F.col("suffix")).alias("suffix"), F.when(F.col("listing_id") % 6 == 0, F.lit(k == 1)).alias("is_primary"), F.when(F.col("listing_id") % 4 == 0, F.lit(True)).alias("bg_removed"))
+def nested(t, flagged: int = 6):
+    """Legacy entries with an array of images: none, one or two; flagged where ``flagged`` divides the id."""
+    image = lambda k: F.struct((F.col("listing_id") * 10 + k).alias("image_id"), F.concat(F.lit("ab"), F.col("listing_id").cast("string")).alias("hex"), F.when(F.col("listing_id") % 13 > k, F.col("suffix")).alias("suffix"), F.when(F.col("listing_id") % flagged == 0, F.lit(k == 1)).alias("is_primary"), F.when(F.col("listing_id") % 4 == 0, F.lit(True)).alias("bg_removed"))
     size = F.col("listing_id") % 3
     none = F.array().cast(f"array<{migrate.IMAGE}>")
     return t.legacy_meta.withColumn("images", F.when(size == 0, none).when(size == 1, F.array(image(0))).otherwise(F.array(image(0), image(1))))
 
 
-@query(
-    "d6_rename_plan",
-    """with m as (select listing_id, concat(cast(listing_id as string), '.jpg') as old_name, case when listing_id % 3 > 0 then concat(cast(listing_id as string), '_', cast(listing_id * 10 as string), '.jpg') end as new_name from legacy_meta),
-    have as (select case when listing_id % 2 = 0 then concat(cast(listing_id as string), '.jpg') else concat(cast(listing_id as string), '_', cast(listing_id * 10 as string), '.jpg') end as name from legacy_meta where listing_id % 5 > 0)
-    select m.*, case when new_name is null then 'no_images' when new_name in (select name from have) then 'already_new' when old_name in (select name from have) then 'renamed' else 'missing' end as class from m""",
-)
-def d6(t):
+PLAN = """m as (select listing_id, concat(cast(listing_id as string), '.jpg') as old_name, case when listing_id % 3 > 0 then concat(cast(listing_id as string), '_', cast(listing_id * 10 as string), '.jpg') end as new_name from legacy_meta),
+    have as (select case when listing_id % 2 = 0 then concat(cast(listing_id as string), '.jpg') else concat(cast(listing_id as string), '_', cast(listing_id * 10 as string), '.jpg') end as name from legacy_meta where listing_id % 5 > 0),
+    planned as (select m.*, case when new_name is null then 'no_images' when new_name in (select name from have) then 'already_new' when old_name in (select name from have) then 'renamed' else 'missing' end as class from m)"""
+
+
+def planning(t):
     have = t.legacy_meta.filter("listing_id % 5 > 0").select(F.expr("if(listing_id % 2 = 0, concat(listing_id, '.jpg'), concat(listing_id, '_', listing_id * 10, '.jpg'))").alias("name"))
-    return images.rename_plan(nested(t), have)
+    return nested(t), have
+
+
+@query("d6_rename_plan", f"with {PLAN} select * from planned")
+def d6(t):
+    return images.rename_plan(*planning(t))
+
+
+@query("d6_rename_report", f"with {PLAN} select " + ", ".join(f"count(*) filter (where class = '{c}') as {c}" for c in ("renamed", "already_new", "missing", "no_images")) + " from planned")
+def d6_report(t):
+    return counted(t, reports.rename_plan(*planning(t))[1])
 
 
 URL = "concat('https://x/r/il/', case when c_custkey % 3 > 0 then 'ab12' else 'zz' end, '/', cast(c_custkey as string), '/il_570xN.', cast(c_custkey as string), '_', case when c_custkey % 5 > 0 then 'k9f' else 'K' end, '.jpg')"
@@ -100,9 +121,14 @@ def e1(t):
     return rows.select("listing_id", "outcome", F.coalesce(F.size("images"), F.lit(-1)).cast("bigint").alias("n"), F.try_element_at("images", F.lit(1))["image_id"].alias("image_id"))
 
 
-@query("e2_flag_first_image", "select listing_id, case when listing_id % 3 = 0 then 'no_images' when listing_id % 6 = 0 then 'already' else 'updated' end as outcome, case when listing_id % 3 > 0 then case when listing_id % 6 = 0 then false else true end end as first from legacy_meta")
+@query("e2_flag_first_image", "select listing_id, case when listing_id % 3 = 0 then 'no_images' when listing_id % 4 = 0 then 'already' else 'updated' end as outcome, case when listing_id % 3 > 0 then case when listing_id % 4 = 0 then false else true end end as first from legacy_meta")
 def e2(t):
-    return migrate.flag_first_image(nested(t)).select("listing_id", "outcome", F.try_element_at("images", F.lit(1))["is_primary"].alias("first"))
+    return migrate.flag_first_image(nested(t, 4)).select("listing_id", "outcome", F.try_element_at("images", F.lit(1))["is_primary"].alias("first"))
+
+
+@query("e2_flag_report", "select count(*) filter (where listing_id % 3 > 0 and listing_id % 4 > 0) as updated, count(*) filter (where listing_id % 3 > 0 and listing_id % 4 = 0) as already, count(*) filter (where listing_id % 3 = 0) as no_images from legacy_meta")
+def e2_report(t):
+    return counted(t, reports.flag_first_image(nested(t, 4))[1])
 
 
 @query(
@@ -216,15 +242,14 @@ def i1(t):
 
 @query(
     "i2_ready_batches",
-    f"""with {BATCHES}, done as (select distinct tar_name from named where batch % 10 < 2), c as (select shard, batch, tar_name, bool_and(exists (select 1 from image_status s where s.listing_id = n.listing_id and s.image_id = n.image_id) or listing_id % 90 > 0 or listing_id % 11 > 0) as full_ from named n group by 1, 2, 3),
+    f"""with {BATCHES}, done as (select distinct tar_name from named where batch % 10 < 2), c as (select shard, batch, tar_name, bool_and(listing_id % 97 <> 5) as full_ from named n group by 1, 2, 3),
     x as (select *, max(case when tar_name not in (select tar_name from done) then 1 else 0 end) over (partition by shard order by batch rows unbounded preceding) as begun from c),
     y as (select *, max(case when begun = 1 and not full_ then 1 else 0 end) over (partition by shard order by batch rows unbounded preceding) as stopped from x) select shard, batch, tar_name from y where begun = 1 and stopped = 0""",
 )
 def i2(t):
     b = batches(t)
     done = b.filter("batch % 10 < 2").select("tar_name").distinct()
-    files = t.image_status.select("listing_id", "image_id").unionByName(t.shard_index.filter("listing_id % 90 > 0 or listing_id % 11 > 0").select("listing_id", "image_id"))
-    return archive.ready_batches(b, done, files)
+    return archive.ready_batches(b, done, t.shard_index.filter("listing_id % 97 <> 5"))
 
 
 MEMBERS = f"{BATCHES}, members as (select tar_name, shard_row % 100 as pos, listing_id, image_id, (listing_id * 37 + image_id * 511) % 3000 as size from named)"
@@ -258,13 +283,20 @@ def new_folder(t):
     return new_path(t._spark, "tars")
 
 
-@query("i6_check_tars", f"with {MEMBERS} select tar_name, count(*) as members, cast(0 as bigint) as corrupt, 'valid' as outcome from members group by tar_name")
+@query(
+    "i6_check_tars",
+    f"""with {MEMBERS}, m as (select *, cast(substr(tar_name, 10, 5) as int) % 10 as kind from members where pos < 99 or cast(substr(tar_name, 10, 5) as int) % 10 <> 4)
+    select tar_name, count(*) as members, cast(case when kind = 3 then 10 else 0 end as bigint) as corrupt, case kind when 3 then 'corrupt' when 4 then 'wrong_count' else 'valid' end as outcome from m group by tar_name, kind""",
+)
 def i6(t):
+    """Of ten tars one lacks its last member, and one has other contents than its sources."""
     from catalog_lake.session import materialise
 
+    kind = F.substring("tar_name", 10, 5).cast("int") % 10
     m, folder = materialise(packable(t), "members"), new_folder(t)
-    scanned = materialise(archive.scan_tars(archive.pack_tars(m, folder), folder), "scan")
-    return archive.check_tars(scanned, m, folder, expected=100, sample=10)
+    scanned = materialise(archive.scan_tars(archive.pack_tars(m.filter((F.col("pos") < 99) | (kind != 4)), folder), folder), "scan")
+    sources = m.withColumn("content", F.when(kind == 3, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
+    return archive.check_tars(scanned, sources, folder, expected=100, sample=10)
 
 
 @query("i7_mark_tarred", f"with {BATCHES} select s.listing_id, s.image_id, is_primary, url, case when download_done = 2 and n.listing_id is not null then 3 else download_done end as download_done from image_status s left join named n on n.listing_id = s.listing_id and n.image_id = s.image_id and n.batch % 10 < 5")

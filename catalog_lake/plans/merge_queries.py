@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from catalog_lake.operators import ingest, merge, worklists
+from catalog_lake.operators import ingest, merge, reports, worklists
 from catalog_lake.plans.fixtures import EVENTS_NOW, NOW
 from catalog_lake.plans.registry import query
 
@@ -83,11 +83,13 @@ def a6(t):
 
 @query(
     "a7_drop_imageless_pages",
-    """with has as (select distinct listing_id from line_order), pages_ok as (select distinct l.listing_id DIV 100 as page from listings l join has on has.listing_id = l.listing_id)
+    """with has as (select distinct listing_id from line_order), pages_ok as (select distinct l.listing_id DIV 100 as page from listings l join has on has.listing_id = l.listing_id where l.listing_id DIV 100 % 5 <> 3 and l.listing_id % 2 = 0)
     select listing_id, cast(listing_id DIV 100 as int) as page from listings where listing_id DIV 100 in (select page from pages_ok)""",
 )
 def a7(t):
-    return ingest.drop_imageless_pages(payloads(t)).select("listing_id", "page")
+    """Listings of odd ids, and all of each fifth page, come without images."""
+    with_images = (F.col("page") % 5 != 3) & (F.col("listing_id") % 2 == 0)
+    return ingest.drop_imageless_pages(payloads(t).withColumn("images", F.when(with_images, F.col("images")))).select("listing_id", "page")
 
 
 @query(
@@ -99,17 +101,32 @@ def a8(t):
     return ingest.first_image(payloads(t)).drop("url")
 
 
+GATE_NOW = EVENTS_NOW - 9 * 86400
+#: Stored stamps of known listings: exactly at the limit, a second over it, fresh, or the newest before the run.
 GATE = f"""gate_in as (select id as ord, listing_id, snapshot_timestamp from listing_snapshots where snapshot_timestamp > {EVENTS_NOW - 10 * 86400}),
-    gate_known as (select listing_id, max(snapshot_timestamp) as last_dynamic_ts from listing_snapshots where snapshot_timestamp <= {EVENTS_NOW - 10 * 86400} and listing_id % 3 > 0 group by listing_id)"""
-GATED = f"""select i.*, case when row_number() over (partition by i.listing_id order by ord) > 1 then 'skip' when k.listing_id is null then 'new' when {EVENTS_NOW - 9 * 86400} - k.last_dynamic_ts > 432000 then 'update' else 'skip' end as class
+    gate_known as (select listing_id, cast(case listing_id % 6 when 1 then {GATE_NOW - 432_000} when 4 then {GATE_NOW - 432_001} when 5 then max(snapshot_timestamp) - 432000 else max(snapshot_timestamp) end as bigint) as last_dynamic_ts
+    from listing_snapshots where snapshot_timestamp <= {EVENTS_NOW - 10 * 86400} and listing_id % 3 > 0 group by listing_id)"""
+GATED = f"""select i.*, case when row_number() over (partition by i.listing_id order by ord) > 1 then 'skip' when k.listing_id is null then 'new' when {GATE_NOW} - k.last_dynamic_ts > 432000 then 'update' else 'skip' end as class
     from gate_in i left join gate_known k on k.listing_id = i.listing_id"""
 
 
 def gated(t):
     s = t.listing_snapshots
     incoming = s.filter(F.col("snapshot_timestamp") > EVENTS_NOW - 10 * 86400).select(F.col("id").alias("ord"), "listing_id", "snapshot_timestamp")
-    known = s.filter((F.col("snapshot_timestamp") <= EVENTS_NOW - 10 * 86400) & (F.col("listing_id") % 3 > 0)).groupBy("listing_id").agg(F.max("snapshot_timestamp").alias("last_dynamic_ts"))
-    return merge.staleness_gate(known, incoming, EVENTS_NOW - 9 * 86400)
+    newest, kind = F.max("snapshot_timestamp"), F.col("listing_id") % 6
+    last = F.when(kind == 1, GATE_NOW - merge.STALE_SECONDS).when(kind == 4, GATE_NOW - merge.STALE_SECONDS - 1).when(kind == 5, newest - merge.STALE_SECONDS).otherwise(newest)
+    known = s.filter((F.col("snapshot_timestamp") <= EVENTS_NOW - 10 * 86400) & (F.col("listing_id") % 3 > 0)).groupBy("listing_id").agg(last.cast("bigint").alias("last_dynamic_ts"))
+    return merge.staleness_gate(known, incoming, GATE_NOW)
+
+
+def counted(t, counts):
+    """A report's counts as one row."""
+    return t._spark.createDataFrame([tuple(counts.values())], ", ".join(f"`{k}` bigint" for k in counts))
+
+
+@query("a9_ingest_report", f"with {GATE}, gated as ({GATED}) select " + ", ".join(f"count(*) filter (where class = '{c}') as \"{c}\"" for c in ("new", "update", "skip")) + " from gated")
+def a9_report(t):
+    return counted(t, reports.staleness(gated(t))[1])
 
 
 @query("a9_ingest_stats", f"with {GATE}, gated as ({GATED}) select class, count(*) as n from gated group by class")
@@ -179,6 +196,11 @@ def b6(t):
     return merge.fill_missing_urls(t.image_status, t.incoming_images)
 
 
+@query("b6_repaired_report", "with i as (select distinct listing_id, image_id from incoming_images where url <> '') select count(*) filter (where coalesce(s.url, '') = '' and i.listing_id is not null) as repaired, count(*) as \"rows\" from image_status s left join i on i.listing_id = s.listing_id and i.image_id = s.image_id")
+def b6_report(t):
+    return counted(t, reports.fill_missing_urls(t.image_status, t.incoming_images)[1])
+
+
 @query("b7_backfill_last_ts", "select l.listing_id, title, cast(coalesce(max(snapshot_timestamp), 0) as bigint) as last_dynamic_ts from listings l left join line_snapshots s on s.listing_id = l.listing_id group by l.listing_id, title")
 def b7(t):
     return merge.backfill_last_ts(t.listings.select("listing_id", "title"), t.line_snapshots, "listing_id")
@@ -229,6 +251,11 @@ def b13(t):
     return merge.set_status(t.image_status, t.image_index.filter("listing_id % 5 = 0"), 3, only_from=2)
 
 
+@query("b14_deleted_report", "select count(*) filter (where download_done = -1) as deleted, count(*) filter (where download_done <> -1) as kept from image_status")
+def b14_report(t):
+    return counted(t, reports.drop_dead(t.image_status)[1])
+
+
 @query("b14_drop_dead", "select * from image_status where download_done <> -1")
 def b14(t):
     return merge.drop_dead(t.image_status)
@@ -262,12 +289,13 @@ def c4(t):
     return worklists.listings_missing_urls(t.image_status)
 
 
-READY = """ready as (select s.listing_id, s.image_id from image_status s where download_done = 2 and not exists (select 1 from image_index i where i.listing_id = s.listing_id and i.image_id = s.image_id)
+READY = """ready as (select s.listing_id, s.image_id from image_status s where download_done = 2 and not exists (select 1 from image_index i where i.listing_id = s.listing_id and i.image_id = s.image_id and i.listing_id % 5 > 0)
     and s.listing_id % 7 > 0 and exists (select 1 from files f where f.listing_id = s.listing_id and f.image_id = s.image_id and size > 1024))"""
 
 
 def ready(t):
-    return t.image_status, t.image_index, t.files, t.image_status.filter("listing_id % 7 = 0")
+    """Four fifths of the listings are embedded."""
+    return t.image_status, t.image_index.filter("listing_id % 5 > 0"), t.files, t.image_status.filter("listing_id % 7 = 0")
 
 
 @query("c5_embed_ready", f"with {READY} select * from ready order by listing_id, image_id limit 500")
@@ -276,6 +304,15 @@ def c5(t):
     return worklists.embed_ready(status, index, files, 500, claimed)
 
 
+@query(
+    "c5_embed_report",
+    """with w as (select s.*, exists (select 1 from files f where f.listing_id = s.listing_id and f.image_id = s.image_id and size > 1024) as there from image_status s where download_done = 2 and s.listing_id % 7 > 0 and s.listing_id % 5 = 0)
+    select count(*) filter (where there) as ready, count(*) filter (where not there) as missing from w""",
+)
+def c5_report(t):
+    return counted(t, reports.embed_candidates(*ready(t))[1])
+
+
 @query("c6_full_batches", f"with {READY}, n as (select *, row_number() over (order by listing_id, image_id) - 1 as n, count(*) over () as total from ready) select listing_id, image_id, n DIV 64 as batch, n % 64 as pos from n where n < total DIV 64 * 64")
 def c6(t):
     status, index, files, claimed = ready(t)

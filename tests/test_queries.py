@@ -14,14 +14,12 @@ from catalog_lake.plans.fixtures import BASE
 
 SMALL = "/root/testdata/sf0.001"
 #: One or two of each family; the whole set runs in the driver's comparison.
-CHOSEN = ("a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
+CHOSEN = ("a7_drop_imageless_pages", "a9_ingest_report", "c5_embed_report", "d2_rebuild_report", "k2_stream_upsert_stored", "s2_versioned_deletion", "a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
 
 
 @pytest.mark.parametrize("name", CHOSEN)
 def test_query_equals_sql(spark, name):
-    con = duckdb.connect()
-    for t in BASE:
-        con.execute(f"create view {t} as select * from '{SMALL}/{t}.parquet'")
+    con = tables(SMALL)
     got = QUERIES[name](spark, SMALL).toPandas()
     want = con.sql(ORACLES[name]).df()
     columns = sorted(want.columns)
@@ -31,6 +29,36 @@ def test_query_equals_sql(spark, name):
     assert norm(plain(got)) == norm(plain(want))
 
 
+TABLES = "/root/testdata/sf0.01"
+#: Classes that a query's rule tells apart; each must occur in the given tables.
+CLASSES = {
+    "b2_staleness_gate": ("class", {"new", "update", "skip"}), "a9_ingest_stats": ("class", {"new", "update", "skip"}), "k1_stream_staleness": ("class", {"new", "update", "skip"}), "k1_stream_staleness_stored": ("class", {"new", "update", "skip"}),
+    "b6_fill_missing_urls": ("repaired", {True, False}), "d1_reconcile_downloads": ("action", {"downloaded", "dead", "reconciled", "marker_created", None}), "d2_rebuild_status": ("embed_clip", {0, 1}), "d6_rename_plan": ("class", {"renamed", "already_new", "missing", "no_images"}),
+    "e1_nest_images": ("outcome", {"skipped", "converted"}), "e2_flag_first_image": ("outcome", {"no_images", "already", "updated"}), "e3_to_image_status": ("to_download", {0, 1}), "f5_bucket_counts": ("at_cap", {True, False}), "i6_check_tars": ("outcome", {"valid", "wrong_count", "corrupt"}), "i10_locate_in_tars": ("found", {True, False}),
+}
+
+
+def tables(folder):
+    con = duckdb.connect()
+    for t in BASE:
+        con.execute(f"create view {t} as select * from '{folder}/{t}.parquet'")
+    return con
+
+
+def test_every_query_has_rows_and_every_class_occurs():
+    con = tables(TABLES)
+    empty = [name for name, sql in ORACLES.items() if not con.sql(f"select count(*) from ({sql})").fetchall()[0][0]]
+    assert empty == []
+    for name, (column, classes) in CLASSES.items():
+        assert {r[0] for r in con.sql(f'select distinct "{column}" from ({ORACLES[name]})').fetchall()} == classes, name
+    count = lambda sql: con.sql(f"select count(*) from ({sql})").fetchall()[0][0]
+    assert 0 < count(ORACLES["a7_drop_imageless_pages"]) < count("from part")
+    assert 0 < count(ORACLES["i2_ready_batches"]) < count(f"select * from ({ORACLES['i1_tar_batches']}) where batch % 10 >= 2") / 100
+    ready, missing = con.sql(ORACLES["c5_embed_report"]).fetchall()[0]
+    assert ready and missing
+    assert count(f"select * from ({ORACLES['d2_rebuild_status']}) where downloaded = 1 and listing_id % 6 = 0")  # on disk only
+
+
 def test_text_embeddings_are_of_every_image(spark):
     pairs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     assert QUERIES["g4_embed_text"](spark, SMALL).count() == pairs
