@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from catalog_lake.plans.fixtures import EVENTS_NOW
+from catalog_lake.functions.columns import file_partition
+from catalog_lake.operators import archive
+from catalog_lake.plans.fixtures import EVENTS_NOW, dialect
 from catalog_lake.plans.registry import query
 from catalog_lake.session import new_path
+from catalog_lake.sources import readers
 from catalog_lake.sources.versions import VersionedTable
 from catalog_lake.streaming import jobs
 
@@ -151,3 +155,45 @@ def k4(t):
     table.write(t.image_status, -1)
     jobs.stream_reconcile(files, table, new_path(t._spark, "progress")).awaitTermination()
     return table.read()
+
+
+RECONCILE = "case when download_done = 1 and {0} > 1000 then 2 when download_done = 1 and {0} is not null then -1 when download_done = 0 and url <> '' and {0} > 1000 then 2 when download_done = 0 and url <> '' then 1 else download_done end"
+FOLDER_STATUS = "select p_partkey as listing_id, cast(1 as bigint) as image_id, cast(1 as int) as is_primary, case when p_partkey % 11 > 0 then concat('u', cast(p_partkey as string)) else '' end as url, cast(p_size as int) % 5 - 1 as download_done from part"
+
+
+def write_files(files, folder: str) -> None:
+    """Files (name, size) of zeros in a folder for each of eight parts of their names."""
+
+    def run(frames):
+        fs, base = archive.open_store(folder)
+        for frame in frames:
+            for name, size, part in frame[["name", "size", "part"]].itertuples(index=False):
+                fs.create_dir(f"{base}/{part}", recursive=True)
+                with fs.open_output_stream(f"{base}/{part}/{name}") as sink:
+                    sink.write(bytes(size))
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    files.withColumn("part", file_partition(F.col("name"))).mapInPandas(run, "n bigint").write.format("noop").mode("overwrite").save()
+
+
+@query(
+    "k4_stream_folders",
+    f"""with s as ({FOLDER_STATUS}), f as (select p_partkey, case when p_partkey % 3 > 0 then cast(floor(p_retailprice) as bigint) % 3000 end as jpg, p_partkey % 2 as wave from part),
+    x as (select s.listing_id, image_id, is_primary, url, jpg, wave, {RECONCILE.format("case when wave = 0 then jpg end")} as download_done from s join f on f.p_partkey = s.listing_id),
+    y as (select x.*, case when listing_id % 9 = 1 and jpg is not null then 2000 when wave = 1 then jpg when listing_id % 8 = 0 and jpg is not null then 2000 end as jpg2 from x)
+    select listing_id, image_id, is_primary, url, {RECONCILE.format("jpg2")} as download_done from y""",
+)
+def k4_folders(t):
+    """Files arrive in two waves, those of even listings first; in the second some of these are written again at another size. Each wave is a listing of the folders, and the second finds what differs."""
+    spark, folder, snapshots, progress = t._spark, new_path(t._spark, "images"), new_path(t._spark, "listings"), new_path(t._spark, "progress")
+    p = F.col("p_partkey")
+    jpg = t.part.filter(p % 3 > 0).select(p, F.format_string("%d_1.jpg", p).alias("name"), (F.floor("p_retailprice") % 3000).cast("int").alias("size"))
+    markers = t.part.filter(p % 5 == 0).select(p, F.format_string("%d_1.dl", p).alias("name"), F.lit(0).alias("size"))
+    table = VersionedTable(spark, new_path(spark, "status"), STATUS, IMAGE_KEYS, PARTS, cold=COLD)
+    table.write(spark.sql(dialect(FOLDER_STATUS, spark=True).replace("from part", "from {part}"), part=t.part), -1)
+    again = jpg.withColumn("size", F.when((p % 9 == 1) | ((p % 2 == 0) & (p % 8 == 0)), 2000).otherwise(F.col("size")))
+    for wave in (jpg.filter(p % 2 == 0).unionByName(markers), again.filter((p % 2 == 1) | (p % 9 == 1) | (p % 8 == 0))):
+        write_files(wave, folder)
+        found = readers.stream_file_inventory(spark, snapshots, folder).filter("change <> 'gone'")
+        jobs.stream_reconcile(found, table, progress).awaitTermination()
+    return table.read()

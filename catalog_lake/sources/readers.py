@@ -7,14 +7,11 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-import pyarrow.fs as pafs
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from catalog_lake.functions.columns import parse_image_name
 from catalog_lake.session import materialise
-
-#: Entries of a folder that are given on at a time.
-PAGE_ROWS = 100_000
+from catalog_lake.sources.inventory import inventory
 
 LISTING = (
     "page INT, ord INT, listing_id BIGINT, shop_id BIGINT, title STRING, description STRING, creation_timestamp BIGINT, is_customizable BOOLEAN, "
@@ -120,33 +117,26 @@ def read_offset_index(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(text(F.coalesce("__here", "__before")).alias("tar_name"), text(F.col("member")).alias("member"), "offset").filter("tar_name <> 'reverse'")
 
 
-def read_file_inventory(spark: SparkSession, *folders: str) -> DataFrame:
+def _named(listed: DataFrame, *more: str) -> DataFrame:
+    parsed = listed.withColumn("p", parse_image_name(F.col("name")))
+    return parsed.select(*more, "name", "p.listing_id", "p.image_id", "p.ext", "size", "mtime")
+
+
+def read_file_inventory(spark: SparkSession, *folders: str, slices: int = 1) -> DataFrame:
     """(name, listing_id, image_id, ext, size, mtime) of all files below the folders, empty ones too; ids are NULL for other names.
 
-    A task lists the direct entries of a folder and gives them on in pages; the subfolders that it finds are
-    dealt to tasks, which list them whole. So images belong into subfolders (``file_partition``), and a flat folder
-    is one task. Contents aren't read. Spark's binary file source leaves out empty files, and download markers are empty.
+    Each direct subfolder is a task, or ``slices`` tasks that share its names out; images belong into subfolders
+    (``file_partition``). Contents aren't read. Spark's binary file source leaves out empty files, and download markers are empty.
     """
+    return _named(inventory(spark, list(folders), slices))
 
-    def walk(recursive: bool) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
-        def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for frame in frames:
-                for folder in frame["path"]:
-                    fs, base = pafs.FileSystem.from_uri(folder if ":" in folder.split("/")[0] else f"file://{folder}")
-                    scheme = folder[: len(folder) - len(base)] if folder.endswith(base) else ""
-                    found = fs.get_file_info(pafs.FileSelector(base, recursive=recursive))
-                    for at in range(0, len(found), PAGE_ROWS):
-                        page = found[at : at + PAGE_ROWS]
-                        times = pd.to_datetime([(f.mtime_ns or 0) // 1000 for f in page], unit="us", utc=True)
-                        yield pd.DataFrame({"path": [scheme + f.path for f in page], "is_file": [f.type == pafs.FileType.File for f in page], "name": [f.base_name for f in page], "size": np.array([f.size or 0 for f in page], dtype=np.int64), "mtime": times})
-
-        return run
-
-    schema = "path string, is_file boolean, name string, size bigint, mtime timestamp"
-    top = materialise(spark.createDataFrame([(f,) for f in folders], "path string").repartition(len(folders)).mapInPandas(walk(False), schema), "listing")
-    below = top.filter("not is_file").select("path").repartition(4 * spark.sparkContext.defaultParallelism, "path").mapInPandas(walk(True), schema)
-    parsed = top.unionByName(below).filter("is_file").withColumn("p", parse_image_name(F.col("name")))
-    return parsed.select("name", "p.listing_id", "p.image_id", "p.ext", "size", "mtime")
+
+def stream_file_inventory(spark: SparkSession, snapshots: str, *folders: str, slices: int = 1) -> DataFrame:
+    """(change, name, listing_id, image_id, ext, size, mtime) as a stream: what differs between listings of the folders; change is added, changed or gone.
+
+    Listings are kept below ``snapshots``, a folder of this stream alone that all tasks share. A trigger is a listing.
+    """
+    return _named(inventory(spark, list(folders), slices, snapshots), "change")
 
 
 def read_batch_results(spark: SparkSession, folder: str) -> DataFrame:

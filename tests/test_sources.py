@@ -80,3 +80,63 @@ def test_one_metadata_file_in_several_tasks(spark, tmp_path, small_splits, inden
             assert [i.image_id for i in r.images or []] == [i["image_id"] for i in v.get("images", [])] and all(i.suffix == "}" for i in r.images or [])
         else:
             assert (r.error, r.image_id, r.shop_id) == ((v, None, None) if isinstance(v, str) else (None, v, None))
+
+
+def write(folder, name, size):
+    folder.mkdir(parents=True, exist_ok=True)
+    (folder / name).write_bytes(bytes(size))
+
+
+@pytest.mark.parametrize("slices", [1, 3])
+def test_listings_of_folders(spark, tmp_path, slices, monkeypatch):
+    root = tmp_path / "images"
+    want = [("top_1.txt", None, 7), ("0_0.dl", 0, 0)]
+    write(root, "top_1.txt", 7)
+    write(root, "0_0.dl", 0)
+    for i in range(40):
+        write(root / str(i % 4) / ("deep" if i % 3 else ""), f"{i}_{i + 1}.jpg", i)
+        want.append((f"{i}_{i + 1}.jpg", i, i))
+    listed = readers.read_file_inventory(spark, str(root), slices=slices)
+    assert listed.rdd.getNumPartitions() == 5 * slices and rows(listed, "name", "listing_id", "size") == sorted(want, key=repr)
+    assert readers.read_file_inventory(spark, f"file://{root}/2", slices=slices).count() == 10
+    assert readers.read_file_inventory(spark, str(root / "none")).count() == 0
+
+
+def test_differences_of_listings(spark, tmp_path):
+    root = tmp_path / "images"
+
+    def difference():
+        found = []
+        stream = readers.stream_file_inventory(spark, str(tmp_path / "listings"), str(root), slices=2)
+        writer = stream.writeStream.foreachBatch(lambda batch, epoch: found.extend(rows(batch, "change", "name", "listing_id", "size"))).option("checkpointLocation", str(tmp_path / "progress"))
+        writer.trigger(availableNow=True).start().awaitTermination(120)
+        return sorted(found, key=repr)
+
+    write(root / "a", "1_1.jpg", 10)
+    write(root / "a", "2_1.dl", 0)
+    write(root, "3_1.jpg", 5)
+    assert difference() == sorted([("added", "1_1.jpg", 1, 10), ("added", "2_1.dl", 2, 0), ("added", "3_1.jpg", 3, 5)], key=repr)
+    assert difference() == []
+    write(root / "a", "1_1.jpg", 20)
+    (root / "a" / "2_1.dl").unlink()
+    write(root / "b", "4_1.jpg", 1)
+    assert difference() == sorted([("changed", "1_1.jpg", 1, 20), ("gone", "2_1.dl", 2, 0), ("added", "4_1.jpg", 4, 1)], key=repr)
+    (root / "b" / "4_1.jpg").unlink()
+    (root / "b").rmdir()
+    assert difference() == [("gone", "4_1.jpg", 4, 1)] and difference() == []
+    kept = [p for p in (tmp_path / "listings").rglob("*.parquet")]
+    assert kept and len({p.name for p in kept}) <= 2
+
+
+def test_a_repeated_batch_gives_the_rows_of_its_listing(tmp_path):
+    from catalog_lake.sources.inventory import InventoryStreamReader
+
+    write(tmp_path / "images", "1_1.jpg", 1)
+    reader = InventoryStreamReader([str(tmp_path / "images")], 1, str(tmp_path / "listings"))
+
+    def found(start, end):
+        return sorted(r for p in reader.partitions({"at": start}, {"at": end}) for b in reader.read(p) for r in zip(*(c.to_pylist() for c in b.columns[:3]), strict=True))
+
+    first = found(0, 1)
+    write(tmp_path / "images", "2_1.jpg", 1)
+    assert found(0, 1) == first == [("added", "1_1.jpg", 1)] and found(1, 2) == [("added", "2_1.jpg", 1)]
