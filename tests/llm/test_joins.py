@@ -405,3 +405,29 @@ def test_every_dimension_prunes_shards(spark):
             touched[key].add(r["shard"])
     mean = lambda kind: np.mean([len(s) for (k, _), s in touched.items() if k == kind])
     assert mean("lang") <= 12 and mean("source") <= 12 and mean("size") <= 14, (mean("lang"), mean("source"), mean("size"))
+
+
+def test_addresses_prune_as_short_names_do(spark):
+    rng = random.Random(8)
+    listed = [(i, "x" * rng.randint(0, 400), rng.choice(("de", "en", "es", "fr")), rng.randrange(20), 1) for i in range(4000)]
+    touched = {}
+    for stem in ("s", "https://site.example.org/feed/"):
+        docs = spark.createDataFrame([(*r[:3], f"{stem}{r[3]:02}", r[4]) for r in listed], SCHEMA)
+        found = collections.defaultdict(set)
+        for r in sharding.shard_documents(docs).collect():
+            found[listed[r["doc_id"]][3]].add(r["shard"])
+        touched[stem] = found
+    short, long = touched.values()
+    assert long == short and np.mean([len(s) for s in long.values()]) <= 10 and max(map(len, long.values())) <= 12
+
+
+def test_levels_are_exact_shares(spark):
+    rng = random.Random(9)
+    values = {"s": [None, "", "a", "https://a", "https://b", "é", "z"], "d": [None, -1.5, 0.25, 0.5, 2.0], "n": [None, *range(300)]}
+    data = [(rng.choice(values["s"]), rng.choice(values["d"]), rng.choice(values["n"])) for _ in range(1200)]
+    df = spark.createDataFrame(data, "s string, d double, n bigint")
+    for i, c in enumerate("sdn"):
+        key = lambda v: (v is not None, v.encode() if isinstance(v, str) else v or 0)
+        column = sorted((r[i] for r in data), key=key)
+        want = {v: min((2 * column.index(v) + column.count(v)) * 64 // 2400, 63) for v in set(column)}
+        assert dict(map(tuple, sharding.value_levels(df, c, 1200, 6).collect())) == want
