@@ -4,7 +4,9 @@ import json
 
 import pytest
 
+from catalog_lake.operators import images, merge, vectors, worklists
 from catalog_lake.sources import readers
+from catalog_lake.sources.buckets import joined_by_bucket, write_bucketed
 from tests.conftest import rows
 
 
@@ -140,3 +142,24 @@ def test_a_repeated_batch_gives_the_rows_of_its_listing(tmp_path):
     first = found(0, 1)
     write(tmp_path / "images", "2_1.jpg", 1)
     assert found(0, 1) == first == [("added", "1_1.jpg", 1)] and found(1, 2) == [("added", "2_1.jpg", 1)]
+
+
+def test_bucketed_tables_are_not_shuffled(spark, tmp_path):
+    status = spark.createDataFrame([(i // 3, i % 3, 1, f"u{i}" if i % 4 else None, i % 6 - 1) for i in range(300)], "listing_id bigint, image_id bigint, is_primary int, url string, download_done int")
+    files = spark.createDataFrame([(i // 3, i % 3, "jpg", i * 20) for i in range(0, 300, 2)], "listing_id bigint, image_id bigint, ext string, size bigint")
+    incoming = spark.createDataFrame([(i // 3, i % 3, i % 2, f"n{i}", i) for i in range(150, 400)], "listing_id bigint, image_id bigint, is_primary int, url string, ord bigint")
+    index = status.filter("image_id = 0").select("listing_id", "image_id")
+    s, f, x = (write_bucketed(df, f"bucketed_{name}", 6, path=str(tmp_path / name)) for df, name in ((status, "status"), (files, "files"), (index, "index")))
+    exchanges = lambda df: [line for line in df._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange " in line]
+    claimed = lambda df: df.filter("listing_id % 7 = 0")
+    with joined_by_bucket(spark):
+        for got, want in (
+            (images.reconcile_downloads(s, f), images.reconcile_downloads(status, files)),
+            (worklists.embed_candidates(s, x, f, claimed(s)), worklists.embed_candidates(status, index, files, claimed(status))),
+            (vectors.dedup_new(s, x), vectors.dedup_new(status, index)),
+        ):
+            assert exchanges(got) == [] and rows(got) == rows(want)
+        merged = merge.upsert_images(s, incoming)
+        assert all("listing_id" in e and "SelectedBucketsCount" not in e for e in exchanges(merged)) and len(exchanges(merged)) <= 2
+        assert rows(merged) == rows(merge.upsert_images(status, incoming))
+    assert spark.conf.get("spark.sql.requireAllClusterKeysForCoPartition") == "true"
