@@ -200,16 +200,57 @@ def priced_lines(t):
     return t.lineitem.select((F.col("l_linenumber") % 3).cast("bigint").alias("taxonomy_id"), (F.col("l_extendedprice") / 50).alias("price"))
 
 
-@query("f7_price_breaks_grow")
+GROWN, HALVED, NEAR, HALVINGS = 500, 1500, 200, 15
+#: Each taxonomy's prices in cents with the listings up to each, as two lists; a search looks counts up there.
+PRICES = """priced as (select cast(l_linenumber % 3 as bigint) as taxonomy_id, l_extendedprice / 50 as price from lineitem), h as (select taxonomy_id, cast(round(price * 100) as bigint) as cents, count(*) as n from priced group by 1, 2),
+    c as (select taxonomy_id, list(cents order by cents) as cents, [0] || list(upto order by cents) as upto from (select taxonomy_id, cents, cast(sum(n) over (partition by taxonomy_id order by cents) as bigint) as upto from h) x group by 1)"""
+#: Listings of the intervals between found breaks (taxonomy_id, br).
+LOADS = f"""units as (select taxonomy_id, u, case when u = 1 then br[u] else round(br[u] + 0.01, 2) end as low, br[u + 1] as high from (select taxonomy_id, br, unnest(range(1, len(br))) as u from breaks) x)
+    select u.taxonomy_id, cast(u - 1 as int) as unit, count(p.price) as n, count(p.price) >= {pricing.PAGING_CAP} as at_cap from units u left join priced p on p.taxonomy_id = u.taxonomy_id and round(p.price, 2) >= low and (round(p.price, 2) <= high or high >= {pricing.UNBOUNDED}) group by 1, 2"""
+
+
+def upto(cents: str) -> str:
+    """SQL: listings at or under a number of cents."""
+    return f"upto[len(list_filter(cents, lambda y: y <= {cents})) + 1]"
+
+
+@query(
+    "f7_price_breaks_grow",
+    f"""with recursive {PRICES},
+    s as (select taxonomy_id, 0.0::double as low, 5.0::double as high, case when upto[-1] <= {GROWN} then 'done' else 'grow' end as phase, case when upto[-1] <= {GROWN} then [0.0::double, {pricing.UNBOUNDED}] else [0.0::double] end as br from c
+      union all select taxonomy_id,
+        case when phase = 'shrink' and n < {GROWN} then round(split + 0.01, 2) else low end,
+        case when phase = 'grow' and n < {GROWN} and high < highest then high * 1.10 when phase = 'grow' then high when n >= {GROWN} then high * 0.99 else round(split + 0.01, 2) * 1.10 end,
+        case when phase = 'grow' and n < {GROWN} and high < highest then 'grow' when phase = 'grow' and high >= highest then 'done' when phase = 'grow' or n >= {GROWN} then 'shrink' else 'grow' end,
+        case when phase = 'grow' and high >= highest then br || [{pricing.UNBOUNDED}] when phase = 'shrink' and n < {GROWN} then br || [split] else br end
+      from (select *, greatest(round(case when high < low then coalesce(cents[len(list_filter(upto, lambda y: y < under + {GROWN})) - 1] / 100, low) else high end, 2), round(low, 2)) as split
+        from (select s.*, c.cents, c.upto, c.cents[-1] / 100 as highest, {upto("cast(round(low * 100) as bigint) - 1")} as under, {upto("cast(floor(high * 100 + 1e-6) as bigint)")} - {upto("cast(round(low * 100) as bigint) - 1")} as n
+          from s join c on c.taxonomy_id = s.taxonomy_id where phase <> 'done') x) y),
+    breaks as (select taxonomy_id, br from s where phase = 'done'), {LOADS}""",
+)
 def f7(t):
     lines = priced_lines(t)
-    return pricing.interval_loads(lines, pricing.price_breaks_grow(lines, 500))
+    return pricing.interval_loads(lines, pricing.price_breaks_grow(lines, GROWN))
 
 
-@query("f8_price_breaks_halve")
+@query(
+    "f8_price_breaks_halve",
+    f"""with recursive {PRICES},
+    s as (select taxonomy_id, -0.01::double as low, {pricing.UNBOUNDED}::double as high, upto[-1] as n, 0.0::double as a, {pricing.UNBOUNDED}::double as b, 0 as step, null::double as half from c where upto[-1] > {HALVED}
+      union all select * from (select taxonomy_id,
+        case when k = 2 then middle else low end as low, case when k = 1 then middle else high end as high, case k when 1 then upto_middle - upto_low when 2 then upto_high - upto_middle else n end as n,
+        case when k = 2 then middle when k = 1 then greatest(low, 0) when gap < 0 then (a + b) / 2 else a end as a, case when k = 1 then middle when k = 2 then high when gap < 0 then b else (a + b) / 2 end as b,
+        case when k = 0 then step + 1 else 0 end as step, case when k = 3 then middle end as half
+      from (select *, {upto("cast(round_even(middle * 100, 0) as bigint)")} as upto_middle, {upto("cast(round_even(high * 100, 0) as bigint)")} as upto_high
+        from (select *, case when found then round_even((a + b) / 2, 0) end as middle from (select *, abs(gap) < {NEAR} or step = {HALVINGS - 1} as found
+          from (select *, {upto("cast(round_even((a + b) / 2 * 100, 0) as bigint)")} - upto_low - n // 2 as gap
+            from (select s.*, c.cents, c.upto, {upto("cast(round_even(low * 100, 0) as bigint)")} as upto_low from s join c on c.taxonomy_id = s.taxonomy_id where half is null) x1) x2) x3) x4) x5, (values (0), (1), (2), (3)) v(k)
+      where case when k = 0 then not found else found and greatest(low, 0) < middle and middle < high end) z where half is not null or n > {HALVED}),
+    breaks as (select c.taxonomy_id, [0.0::double] || coalesce(list(distinct half order by half) filter (where half is not null), []) || [{pricing.UNBOUNDED}] as br from c left join s on s.taxonomy_id = c.taxonomy_id group by 1), {LOADS}""",
+)
 def f8(t):
     lines = priced_lines(t)
-    return pricing.interval_loads(lines, pricing.price_breaks_halve(lines, 1500))
+    return pricing.interval_loads(lines, pricing.price_breaks_halve(lines, HALVED))
 
 
 @query("f9_listing_price", "select l_orderkey, l_linenumber, l_quantity, coalesce(case when l_tax > 0.01 then l_quantity end, 0) / coalesce(nullif(case when l_discount > 0.01 then l_linenumber - 1 end, 0), 100) as price from lineitem")

@@ -80,7 +80,15 @@ def g4(t):
     return vectors.embed_text(index, texts, letters, "letters", 16).select("listing_id", "image_id", F.size("embedding").alias("dim"), *parts_of(F.col("embedding")), "decoded")
 
 
-@query("g5_vector_hash")
+def hashed(vectors: str, keys: str) -> str:
+    """SQL for hashes of a table's vectors e: the bits of each 32-bit float by arithmetic (sign, exponent, fraction), their bytes from the last, MD5."""
+    return f"""x as (select {keys}, unnest(e) as v, unnest(range(1, len(e) + 1)) as i from {vectors}), magnitude as (select *, abs(cast(v as double)) as d from x), rough as (select *, case when d > 0 then floor(log2(d)) end as e0 from magnitude),
+    exponent as (select *, e0 + case when d >= pow(2, e0 + 1) then 1 when d < pow(2, e0) then -1 else 0 end as e1 from rough),
+    bits as (select *, case when v < 0 then 2147483648 else 0 end + case when d = 0 then 0 when e1 < -126 then cast(d * pow(2, 149) as bigint) else cast(e1 + 127 as bigint) * 8388608 + cast((d / pow(2, e1) - 1) * 8388608 as bigint) end as b from exponent),
+    digits as (select *, printf('%08x', b) as h from bits), hashes as (select {keys}, substr(md5(unhex(string_agg(substr(h, 7, 2) || substr(h, 5, 2) || substr(h, 3, 2) || substr(h, 1, 2), '' order by i))), 1, 12) as hash from digits group by {keys})"""
+
+
+@query("g5_vector_hash", f"with given as (select image_id, embedding as e from vectors), {hashed('given', 'image_id')} select image_id, hash from hashes")
 def g5(t):
     return t.vectors.select("image_id", vectors.vector_hash("embedding").alias("hash"))
 
@@ -133,7 +141,7 @@ def g12(t):
     return vectors.embedded_pairs(t.shard_index)
 
 
-@query("g13_verify_hashes")
+@query("g13_verify_hashes", f"""with {CORPUS}, given as (select model, listing_id, image_id, cast(e as float[]) as e from corpus where image_id % 10 = 0), {hashed('given', 'model, listing_id, image_id')} select listing_id, image_id, model, hash as found, '000000000000' as stored from hashes where hash <> '000000000000'""")
 def g13(t):
     c = corpus(t).select("model", "listing_id", "image_id", F.col("embedding").cast("array<float>").alias("embedding"))
     stored = c.select("model", "listing_id", "image_id", F.when(F.col("image_id") % 10 == 0, "000000000000").otherwise(vectors.vector_hash("embedding")).alias("hash"))
