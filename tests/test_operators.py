@@ -290,6 +290,21 @@ def test_top_k_equals_brute_force(spark):
     assert search.top_k(queries, corpus, 1000).count() == 5 * 60
 
 
+def test_pruned_search_is_exact_and_passes_shards_over(spark):
+    rng = np.random.default_rng(1)
+    centres = rng.normal(size=(12, 8)) * 4
+    data = [("m", i, i * 2, i % 12, np.round(10 * centres[i % 12] + rng.normal(size=8)).tolist()) for i in range(600)]
+    data += [("n", i, i, 20 + i % 2, rng.integers(-9, 9, size=8).astype(float).tolist()) for i in range(7)] + [data[5]] * 3
+    corpus = frame(spark, data, "model string, listing_id bigint, image_id bigint, shard bigint, embedding array<double>")
+    queries = corpus.filter("listing_id < 12").dropDuplicates(["model", "listing_id"]).select(F.col("listing_id").alias("query_id"), "model", "embedding")
+    bounds = search.shard_bounds(corpus)
+    for k in (1, 9, 70, 2000):
+        found, visits = search.top_k_pruned(queries, corpus, bounds, k)
+        assert rows(found.drop("score")) == rows(search.top_k(queries, corpus, k).drop("score"))
+        seen = visits.filter("model = 'm'").agg(F.sum("visited"), F.sum("shards")).first()
+        assert seen[1] == 12 * 12 and (seen[0] == seen[1] if k == 2000 else seen[0] < seen[1] / 2)
+
+
 def test_consensus_counts_appearances(spark):
     results = frame(spark, [(1, "a", 1, 7, 1, 0.9), (1, "a", 2, 7, 2, 0.7), (1, "a", 3, 8, 1, 0.6), (1, "b", 1, 8, 1, 0.2)], "query_id bigint, model string, rank bigint, listing_id bigint, image_id bigint, score double")
     assert rows(search.consensus(results).withColumn("mean_score", F.round("mean_score", 3))) == [(1, 7, 2, 0.8, 1), (1, 8, 2, 0.4, 2)]
