@@ -21,6 +21,8 @@ from catalog_lake.session import new_path
 from catalog_lake.sources import readers
 from catalog_lake.sources.versions import VersionedTable
 
+#: Tars of one offset index.
+INDEXED_TARS = 100
 #: Most entries of one file of legacy metadata.
 LEGACY_ENTRIES = 10_000
 
@@ -106,8 +108,9 @@ def s3(t):
 def s4(t):
     path = new_path(t._spark, "offsets")
     rows = archive.member_offsets(members(t)).groupBy("tar_name").agg(F.map_from_entries(F.collect_list(F.struct(F.format_string("%d_%d.jpg", "listing_id", "image_id"), "offset"))).alias("m"))
-    text = rows.select(F.to_json(F.struct(F.create_map("tar_name", "m").alias("tars"))).alias("value"), F.col("tar_name").alias("part"))
-    text.write.partitionBy("part").text(path)
+    number = F.expr(f"cast(substr(tar_name, 10, 5) as int) div {INDEXED_TARS}")  # a file for so many tars
+    files = rows.groupBy(number.alias("part")).agg(F.map_from_entries(F.collect_list(F.struct("tar_name", "m"))).alias("tars"))
+    files.select(F.to_json(F.struct("tars")).alias("value"), "part").write.partitionBy("part").text(path)
     return readers.read_offset_index(t._spark, f"{path}/*")
 
 

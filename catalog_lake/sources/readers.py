@@ -71,7 +71,8 @@ def _before(blocks: DataFrame, value: str, fold: Callable) -> DataFrame:
 
 def _whole_quotes(piece: Column, what: str) -> Column:
     """The piece, or an error where a separator lay within a string: then it has a string's begin or end only."""
-    quotes = F.regexp_count(F.regexp_replace(piece, r"\\.", F.lit("")), F.lit('"'))
+    plain = F.when(F.contains(piece, F.lit("\\")), F.regexp_replace(piece, r"\\.", "")).otherwise(piece)
+    quotes = F.char_length(plain) - F.char_length(F.replace(plain, F.lit('"'), F.lit("")))
     return F.when(quotes % 2 == 0, piece).otherwise(F.raise_error(F.concat(F.lit(f"a string of the {what} has a separator: "), F.left(piece, F.lit(80)))))
 
 
@@ -105,16 +106,18 @@ def read_offset_index(spark: SparkSession, path: str) -> DataFrame:
     name = r'"((?:[^"\\]|\\.)*)"\s*:\s*'
     # an object's begin, at most with its first member, in either map
     opens = name + rf"\{{\s*(?:{string}\s*:\s*(?:\d+|\[\s*{string}))?[\s}}]*$"
-    text = lambda column: F.get_json_object(F.concat(F.lit('{"k":"'), column, F.lit('"}')), "$.k")
+    text = lambda column: F.when(~F.contains(column, F.lit("\\")), column).otherwise(F.get_json_object(F.concat(F.lit('{"k":"'), column, F.lit('"}')), "$.k"))
     piece = F.col("piece")
     number = name + r"(\d+)[\s}]*$"
     pieces = cut_text(spark, path, ",").withColumn("piece", _whole_quotes(piece, "offset index"))
-    marked = pieces.select("file", "block", "at", F.nullif(F.regexp_extract("piece", opens, 1), F.lit("")).alias("opened"), F.when(piece.rlike(number), F.regexp_extract("piece", number, 1)).alias("member"), F.regexp_extract("piece", number, 2).try_cast("bigint").alias("offset"))
+    opened = F.when(F.contains(piece, F.lit("{")), F.nullif(F.regexp_extract(piece, opens, 1), F.lit("")))
+    offset = F.nullif(F.regexp_extract(piece, number, 2), F.lit("")).cast("bigint")
+    marked = pieces.select("file", "block", "at", "piece", opened.alias("opened"), offset.alias("offset"))
     last = lambda column: F.last(column, ignorenulls=True)
     blocks = _before(marked.groupBy("file", "block").agg(F.max_by("opened", F.when(F.col("opened").isNotNull(), F.col("at"))).alias("__last")), "__last", last).drop("__last")
     here = last("opened").over(W.partitionBy("file", "block").orderBy("at").rowsBetween(W.unboundedPreceding, 0))
-    rows = marked.withColumn("__here", here).filter("member is not null").join(blocks, ["file", "block"])
-    return rows.select(text(F.coalesce("__here", "__before")).alias("tar_name"), text(F.col("member")).alias("member"), "offset").filter("tar_name <> 'reverse'")
+    rows = marked.withColumn("__here", here).filter("offset is not null").join(blocks, ["file", "block"])
+    return rows.select(text(F.coalesce("__here", "__before")).alias("tar_name"), text(F.regexp_extract(piece, number, 1)).alias("member"), "offset").filter("tar_name <> 'reverse'")
 
 
 def _named(listed: DataFrame, *more: str) -> DataFrame:
