@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from catalog_lake.functions import columns as C
 from catalog_lake.numbering import number_rows
-from catalog_lake.operators import archive, images, merge, migrate, pricing, quality, search, vectors, worklists
+from catalog_lake.operators import archive, bitmaps, images, merge, migrate, pricing, quality, search, vectors, worklists
 from catalog_lake.plans import source_queries
 from catalog_lake.sources import readers
 from tests.conftest import rows
@@ -409,3 +409,41 @@ def test_readers(spark, tmp_path):
     assert [json.loads(r["value"]) for r in spark.read.text(str(tmp_path / "written")).collect()] == [["1", "2", "0", "a"], ["3", "4", "1", "b"]]
     readers.write_table(shards, str(tmp_path / "t"), ("shard",))
     assert readers.read_table(spark, str(tmp_path / "t")).count() == 2
+
+
+# ---- bitmaps
+
+
+def test_bitmaps_find_rows_across_blocks(spark):
+    """Rows at the edges of blocks, chunks and bytes; repeated rows; a row without a number; a model without rows; a row beyond the index."""
+    places = [0, 1, 7, 8, 511, 512, 32_767, 32_768, 100_000]
+    index = frame(spark, [(p, p + 1, p, p // 50_000) for p in [*places, 7]] + [(5, 5, None, 0)], "listing_id bigint, image_id bigint, global_row bigint, shard bigint")
+    have = {"a": places, "b": [0, 8, 511, 32_768, 99_999]}
+    vectors_of = frame(spark, [(m, p, p // 50_000) for m, ps in have.items() for p in [*ps, ps[0]]], "model string, global_row bigint, shard bigint")
+    want = [(p, [m for m in ("a", "b", "c") if p not in have.get(m, [])]) for p in places]
+    assert rows(bitmaps.missing_rows(index, vectors_of, ["c", "a", "b"])) == sorted(((p, m) for p, m in want if m), key=repr)
+    found = rows(bitmaps.incomplete_rows(index, vectors_of, ["a", "b"]))
+    assert found == sorted([(p, p + 1, ["b"]) for p in [*places, 7] if p not in have["b"]] + [(5, 5, ["a", "b"])], key=repr)
+    assert rows(bitmaps.embedded_rows(index, vectors_of, ["a", "b"], active_only=False)) == sorted([(p, p + 1) for p in places if p in have["b"]], key=repr)
+    assert rows(bitmaps.embedded_rows(index, vectors_of, ["a"])) == [(100_000, 100_001)]
+    # 9 rows of the index; images a and b differ in 5 of the index's rows and in 99,999
+    assert rows(bitmaps.row_consistency(index, vectors_of, ["a", "b"], ["a"])) == [(9, 6, 0, 6, False)]
+    assert rows(bitmaps.row_consistency(index, vectors_of, ["a"], ["a"])) == [(9, 0, 0, 0, True)]
+    empty = index.limit(0)
+    assert rows(bitmaps.missing_rows(empty, vectors_of, ["a"])) == [] and rows(bitmaps.row_consistency(empty, vectors_of.limit(0), ["a"], ["b"])) == [(0, 0, 0, 0, True)]
+
+
+def test_bitmaps_tell_shards_with_other_rows(spark):
+    index = frame(spark, [(s * 10 + i, s) for s in range(5) for i in range(3)], "global_row bigint, shard bigint")
+    kept = {0: ([0, 1, 2], [0, 1, 2]), 1: ([0, 1], [0, 1, 2]), 2: ([0, 1], [0, 1]), 3: ([0, 1, 5], [0, 1, 2]), 5: ([0], [0])}
+    found = frame(spark, [(m, s * 10 + i, s) for s, sides in kept.items() for m, side in zip("ab", sides, strict=True) for i in side], "model string, global_row bigint, shard bigint")
+    want = [(0, 3, 3, 3, "consistent"), (1, 3, 2, 3, "different counts"), (2, 3, 2, 2, "count mismatch"), (3, 3, 3, 3, "different rows"), (4, 3, None, None, "no vectors"), (5, 0, 1, 1, "count mismatch")]
+    assert rows(bitmaps.check_shard_rows(index, found, ["a", "b"])) == sorted(want, key=repr)
+
+
+def test_bitmaps_shuffle_no_keys(spark):
+    """Before the exchange tasks have made bitmaps: what is aggregated after it is a bitmap for each model and block."""
+    vectors_of = spark.range(100_000).selectExpr("id as global_row", "if(id % 2 = 0, 'a', 'b') as model")
+    index = spark.range(100_000).selectExpr("id as global_row")
+    plan = bitmaps.bits_by_model(index, vectors_of, ["a", "b"])._jdf.queryExecution().executedPlan().toString()
+    assert "partial_bitmap_construct_agg" in plan and "Join" not in plan

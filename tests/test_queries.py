@@ -7,6 +7,7 @@ import sys
 from pathlib import Path
 
 import duckdb
+import pandas as pd
 import pytest
 
 from catalog_lake.plans import ORACLES, QUERIES
@@ -14,7 +15,7 @@ from catalog_lake.plans.fixtures import BASE
 
 SMALL = "/root/testdata/sf0.001"
 #: One or two of each family; the whole set runs in the driver's comparison.
-CHOSEN = ("a7_drop_imageless_pages", "a9_ingest_report", "c5_embed_report", "d2_rebuild_report", "k2_stream_upsert_stored", "s2_versioned_deletion", "a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
+CHOSEN = ("g7_incomplete_rows", "g11_check_shard_rows", "g12_embedded_rows", "j7_row_consistency", "a7_drop_imageless_pages", "a9_ingest_report", "c5_embed_report", "d2_rebuild_report", "k2_stream_upsert_stored", "s2_versioned_deletion", "a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
 
 
 @pytest.mark.parametrize("name", CHOSEN)
@@ -24,7 +25,7 @@ def test_query_equals_sql(spark, name):
     want = con.sql(ORACLES[name]).df()
     columns = sorted(want.columns)
     assert sorted(got.columns) == columns
-    plain = lambda df: sorted((tuple("" if x is None or x != x else str(x) for x in r) for r in df[columns].astype(object).itertuples(index=False)))
+    plain = lambda df: sorted((tuple("" if x is None or x is pd.NA or x != x else str(x) for x in r) for r in df[columns].astype(object).itertuples(index=False)))
     norm = lambda rs: [tuple(x[:-2] if x.endswith(".0") else x for x in r) for r in rs]
     assert norm(plain(got)) == norm(plain(want))
 
@@ -34,7 +35,7 @@ TABLES = "/root/testdata/sf0.01"
 CLASSES = {
     "b2_staleness_gate": ("class", {"new", "update", "skip"}), "a9_ingest_stats": ("class", {"new", "update", "skip"}), "k1_stream_staleness": ("class", {"new", "update", "skip"}), "k1_stream_staleness_stored": ("class", {"new", "update", "skip"}),
     "b6_fill_missing_urls": ("repaired", {True, False}), "d1_reconcile_downloads": ("action", {"downloaded", "dead", "reconciled", "marker_created", None}), "d2_rebuild_status": ("embed_clip", {0, 1}), "d6_rename_plan": ("class", {"renamed", "already_new", "missing", "no_images"}),
-    "e1_nest_images": ("outcome", {"skipped", "converted"}), "e2_flag_first_image": ("outcome", {"no_images", "already", "updated"}), "e3_to_image_status": ("to_download", {0, 1}), "f5_bucket_counts": ("at_cap", {True, False}), "i6_check_tars": ("outcome", {"valid", "wrong_count", "corrupt"}), "i10_locate_in_tars": ("found", {True, False}),
+    "e1_nest_images": ("outcome", {"skipped", "converted"}), "e2_flag_first_image": ("outcome", {"no_images", "already", "updated"}), "e3_to_image_status": ("to_download", {0, 1}), "f5_bucket_counts": ("at_cap", {True, False}), "g11_check_shard_rows": ("outcome", {"consistent", "count mismatch", "different counts", "different rows", "no vectors"}), "i6_check_tars": ("outcome", {"valid", "wrong_count", "corrupt"}), "i10_locate_in_tars": ("found", {True, False}),
 }
 
 
