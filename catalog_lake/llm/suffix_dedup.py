@@ -326,11 +326,16 @@ def remove_covered(buckets: int, keep_text: bool = False):
     return run
 
 
+def deal_rows(docs: DataFrame, groups: int) -> DataFrame:
+    """doc_id, text and grp, by id and text: rows of one id needn't meet, so an id of very many texts is spread."""
+    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    return rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).cast("int"))
+
+
 def dedup_documents(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 (and the remaining bytes, which may begin or end within a character)."""
     groups = groups_for(docs, "text", GROUP_BYTES)
-    rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    rows = rows.withColumn("grp", F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), F.col("text"))), F.lit(groups)).cast("int")).groupBy("grp")
+    rows = deal_rows(docs, groups).groupBy("grp")
     answer = "bucket int, grp int, anchors binary"
     shared = rows.applyInArrow(send_anchors(groups), answer).groupBy("bucket").applyInArrow(answer_anchors, answer)
     segments = rows.cogroup(shared.groupBy("grp")).applyInArrow(send_segments(groups), "bucket int, grp int, segments binary, least binary")

@@ -77,6 +77,19 @@ def test_suffix_dedup_of_runs_and_overlaps(spark):
     assert found == brute_removed(texts)
 
 
+def test_suffix_dedup_deals_texts_of_one_id(spark, monkeypatch):
+    """Different texts of one id (or of none) lie in many groups; only those of smaller ids remove bytes."""
+    monkeypatch.setattr(suffix_dedup, "GROUP_BYTES", 500)
+    passage = "a passage of more than fifty bytes which every one of them holds. "
+    rows_ = [(i, f"{n} {passage}{n}") for i in (7, None) for n in range(100)] + [(3, passage)]
+    df = spark.createDataFrame(rows_, "doc_id bigint, text string")
+    found = rows(suffix_dedup.dedup_documents(df), "doc_id", "n_removed")
+    length = len(passage)
+    assert found.count((3, 0)) == 1 and found.count((7, length)) == 100 and sum(d is None and n >= length for d, n in found) == 100
+    groups = suffix_dedup.deal_rows(df, 50).groupBy("grp").count()
+    assert groups.count() > 30 and groups.agg({"count": "max"}).first()[0] < 20
+
+
 def test_suffix_dedup_edge_cases(spark):
     assert suffix_dedup.dedup_documents(spark.createDataFrame([], "doc_id bigint, text string")).count() == 0
     long = "".join(random.Random(1).choices("abcdefghij ", k=200_000))
