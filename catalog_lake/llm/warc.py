@@ -8,7 +8,8 @@ byte range; nothing is extracted.
 
 Payloads of at least ``REVISIT_BYTES`` that repeat are written once, in full, for the largest page_id;
 the others are revisit records that name it. Packages are written by tasks straight into the shared
-folder, under a temporary name that is then moved, so that a repeated task replaces its own package.
+folder. A package's name has its attempt's own part, and only packages that the manifest names are read:
+an attempt that failed or was overtaken leaves files that nothing reads, even if it cut packages elsewhere.
 
 Defined cases: a NULL html is an empty payload; a NULL url writes no target; a row with a NULL page_id is
 written and read back as NULL and is never referred to; repeated rows (same page_id and payload) are all
@@ -200,25 +201,23 @@ def write_packages(classified: DataFrame, folder: str, package_bytes: int = PACK
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part = TaskContext.get().partitionId()
+        part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         fs, base = open_store(folder)
         done, open_now = [], None
 
         def finish() -> None:
-            writer, sink, temporary, final = open_now
+            writer, sink, name = open_now
             writer.close()
             sink.close()
-            fs.move(temporary, final)
-            done.append((final.rsplit("/", 1)[1], len(writer.index), writer.at))
+            done.append((name, len(writer.index), writer.at))
 
         for batch in batches:
             for row in batch.to_pylist():
                 if open_now is None:
-                    final = f"{base}/packages/part-{part:06d}-{len(done):05d}.wacz"
-                    temporary = f"{final}.{uuid.uuid4().hex}.tmp"
+                    name = f"part-{part:06d}-{len(done):05d}-{attempt}.wacz"
                     fs.create_dir(f"{base}/packages", recursive=True)
-                    sink = fs.open_output_stream(temporary)
-                    open_now = PackageWriter(sink), sink, temporary, final
+                    sink = fs.open_output_stream(f"{base}/packages/{name}")
+                    open_now = PackageWriter(sink), sink, name
                 revisit = row["refers_to"] is not None
                 open_now[0].add(str(row["page_id"]), warc_record(row["page_id"], row["url"], row["payload"], row["payload_digest"], row["refers_to"], revisit))
                 if open_now[0].at >= package_bytes:
