@@ -6,7 +6,8 @@ the spans of the completion that carry loss, which are the bodies of assistant t
 
 One aggregation by pair brings a pair's turns together; a pair is as large as its two conversations,
 whatever other pairs there are, so a turn that very many conversations share is no hot key. Column
-expressions only. Defined cases: NULL roles and texts are empty; NULL conv_ids make one conversation; turns
+expressions only. Defined cases: NULL roles and texts are empty; a row with a NULL conv_id is a conversation of
+its own, so that rows without ids are never gathered; turns
 are ordered by turn (NULL first), then role and text; turns that repeat one number, and repeated rows, are
 all kept; identical conversations have empty completions and empty masks; a conversation without turns has
 an empty prompt and completion; texts of any length are rendered whole; an empty table gives an empty
@@ -21,9 +22,20 @@ from pyspark.sql import Column, DataFrame, functions as F
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>\n"
 
 
+def one_turn(role: Column, text: Column) -> Column:
+    return F.struct(F.col("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))
+
+
 def turns(role: Column, text: Column) -> Column:
     """An aggregate: the turns of a group as an ordered array of (turn, role, text)."""
-    return F.sort_array(F.collect_list(F.struct(F.col("turn"), F.coalesce(role, F.lit("")).alias("role"), F.coalesce(text, F.lit("")).alias("text"))))
+    return F.sort_array(F.collect_list(one_turn(role, text)))
+
+
+def list_turns(conversations: DataFrame, column: str) -> DataFrame:
+    """conv_id and its turns; rows without an id stay where they are, each by itself."""
+    said = F.col("role"), F.col("text")
+    known = conversations.filter("conv_id is not null").groupBy("conv_id").agg(turns(*said).alias(column))
+    return known.unionByName(conversations.filter("conv_id is null").select("conv_id", F.array(one_turn(*said)).alias(column)))
 
 
 def common_turns(a: str, b: str) -> Column:
@@ -74,7 +86,7 @@ def pair_with_repeats(conversations: DataFrame) -> DataFrame:
     the assistant turn before instead, or nothing at the first; the later turns follow on both sides.
     Conversations without an assistant turn are paired with themselves: all prompt, empty completions.
     """
-    listed = conversations.groupBy("conv_id").agg(turns(F.col("role"), F.col("text")).alias("chosen_turns"))
+    listed = list_turns(conversations, "chosen_turns")
     places = "filter(transform(chosen_turns, (t, i) -> if(t.role = 'assistant', i, null)), i -> i is not null)"
     listed = listed.withColumn("__places", F.expr(places))
     listed = listed.withColumn("__k", F.expr(f"pmod(pmod(coalesce(conv_id, 0L), {REDUCE}L) * {SPREAD}L, nullif(size(__places), 0))").cast("int"))
@@ -92,10 +104,10 @@ def _oracle_side(name: str, column: str) -> str:
     from (select *, '{OPEN}' || role || chr(10) || {column} || '<|im_end|>' || chr(10) as piece from cut where pos >= first_difference)) group by conv_id)"""
 
 
-#: DuckDB SQL for the query over conversations: turns are compared by position.
+#: DuckDB SQL for the query over conversations: turns are compared by position; rows without an id, below, are one turn each.
 ORACLE = f"""
 with t as (select conv_id, coalesce(role, '') as role, coalesce(text, '') as text,
-  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations),
+  row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) as pos from conversations where conv_id is not null),
 a as (select *, sum((role = 'assistant')::int) over (partition by conv_id order by pos) as k, sum((role = 'assistant')::int) over (partition by conv_id) as n,
   last_value(case when role = 'assistant' then text end ignore nulls) over (partition by conv_id order by pos rows between unbounded preceding and 1 preceding) as before from t),
 r as (select conv_id, pos, role, text, case when role = 'assistant' and k - 1 = ((coalesce(conv_id, 0) % {REDUCE} + {REDUCE}) % {REDUCE} * {SPREAD}) % n then coalesce(before, '') else text end as other from a),
@@ -105,4 +117,9 @@ cut as (select *, coalesce(min(case when text <> other then pos end) over (parti
 prompts as (select conv_id, count(*) filter (where pos < first_difference) as n,
   coalesce(string_agg('{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10), '' order by pos) filter (where pos < first_difference), '') as prompt from cut group by conv_id)
 select p.conv_id, cast(p.n as bigint) as n_prompt_turns, p.prompt, coalesce(c.body, '') as chosen, coalesce(c.mask, '') as chosen_mask, coalesce(r.body, '') as rejected, coalesce(r.mask, '') as rejected_mask
-from prompts as p left join chosen as c on c.conv_id is not distinct from p.conv_id left join rejected as r on r.conv_id is not distinct from p.conv_id"""
+from prompts as p left join chosen as c on c.conv_id = p.conv_id left join rejected as r on r.conv_id = p.conv_id
+union all
+select null, case when differs then 0 else 1 end, case when differs then '' else piece end, case when differs then piece else '' end, case when differs then begins || '-' || (begins + length(text) + {len(CLOSE) - 1}) else '' end,
+  case when differs then '{OPEN}' || role || chr(10) || '<|im_end|>' || chr(10) else '' end, case when differs then begins || '-' || (begins + {len(CLOSE) - 1}) else '' end
+from (select role, text, role = 'assistant' and text <> '' as differs, '{OPEN}' || role || chr(10) || text || '<|im_end|>' || chr(10) as piece, {len(OPEN) + 1} + length(role) as begins
+  from (select coalesce(role, '') as role, coalesce(text, '') as text from conversations where conv_id is null))"""

@@ -5,7 +5,10 @@ import io
 import random
 import zipfile
 
+import duckdb
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__
 import corpus_pipeline
@@ -61,14 +64,25 @@ def test_packages_are_closed_by_size(spark, tmp_path):
     assert warc.read_packages(manifest, f"file://{tmp_path}/w", payload=True).filter("length(payload) = payload_bytes").count() == 60
 
 
+def test_packages_of_lost_attempts_are_not_read(spark, tmp_path):
+    """An attempt that cut other packages and then got lost leaves its files; the manifest names those of the attempt that counts."""
+    pages = spark.createDataFrame([(i, "u", hashlib.sha256(str(i).encode()).hexdigest() * 40) for i in range(60)], PAGES)
+    folder = f"file://{tmp_path}/w"
+    warc.write_packages(warc.classify_payloads(pages.orderBy(F.desc("page_id")).coalesce(1)), folder, package_bytes=3000)
+    (tmp_path / "w" / "manifest").rename(tmp_path / "lost")
+    manifest = warc.write_packages(warc.classify_payloads(pages.coalesce(1)), folder, package_bytes=8000)
+    assert len(list((tmp_path / "w" / "packages").glob("*.wacz"))) > manifest.count()
+    assert rows(warc.read_packages(manifest, folder), "page_id") == sorted([(i,) for i in range(60)], key=repr)
+
+
 TURNS = "conv_id bigint, turn int, role string, text string, prompt string, __k int"
 
 
 def brute_pairs(listed):
-    """conv_id and the rendered pair, by the definition."""
-    out = {}
-    for conv in {r[0] for r in listed}:
-        chosen = [(role or "", text or "") for _, role, text in sorted(((t is not None, t or 0), r or "", x or "") for c, t, r, x, *_ in listed if c == conv)]
+    """conv_id and the rendered pair, by the definition; each row without an id is a conversation of its own."""
+    out = []
+    for conv, said in [(conv, [r for r in listed if r[0] == conv]) for conv in {r[0] for r in listed} - {None}] + [(None, [r]) for r in listed if r[0] is None]:
+        chosen = [(role or "", text or "") for _, role, text in sorted(((t is not None, t or 0), r or "", x or "") for _, t, r, x, *_ in said)]
         replies = [i for i, t in enumerate(chosen) if t[0] == "assistant"]
         rejected = list(chosen)
         if replies:
@@ -79,8 +93,8 @@ def brute_pairs(listed):
             n += 1
         render = lambda ts: "".join(f"<|im_start|>{r}\n{x}<|im_end|>\n" for r, x in ts)
         bodies = lambda ts: [x + "<|im_end|>" for r, x in ts if r == "assistant"]
-        out[conv] = n, render(chosen[:n]), render(chosen[n:]), bodies(chosen[n:]), render(rejected[n:]), bodies(rejected[n:])
-    return out
+        out.append((conv, n, render(chosen[:n]), render(chosen[n:]), bodies(chosen[n:]), render(rejected[n:]), bodies(rejected[n:])))
+    return sorted(out, key=repr)
 
 
 def test_preference_pairs_equal_brute_force(spark):
@@ -88,9 +102,13 @@ def test_preference_pairs_equal_brute_force(spark):
     listed = [(c, t, rng.choice(("user", "assistant", "assistant", None, "system")), rng.choice(("hi", "é", None, "", f"reply {t}", "x" * 50_000)), "extra", 5) for c in [*range(40), None, -7, 2**63 - 1] for t in range(rng.randint(1, 7))]
     listed += [(3, None, "user", "null turn", None, None), (3, 0, "assistant", "tie", None, None), (3, 0, "assistant", "tie", None, None)]
     cut = lambda text, mask: [text[a:b] for a, b in (map(int, m.split("-")) for m in mask.split(",") if m)]
-    pairs = chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame(listed, TURNS)), "conv_id").collect()
-    found = {r["conv_id"]: (r["n_prompt_turns"], r["prompt"], r["chosen"], cut(r["chosen"], r["chosen_mask"]), r["rejected"], cut(r["rejected"], r["rejected_mask"])) for r in pairs}
-    assert found == brute_pairs(listed) and len({n for n, *_ in found.values()}) > 3 and max(len(f[3]) for f in found.values()) > 2
+    listed += [(None, t, role, text, None, None) for t in range(3) for role, text in (("assistant", "no id"), ("assistant", ""), ("user", "no id"), (None, None))] + [(None, 0, "assistant", "no id", None, None)]
+    pairs = chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame(listed, TURNS)), "conv_id")
+    found = sorted(((r["conv_id"], r["n_prompt_turns"], r["prompt"], r["chosen"], cut(r["chosen"], r["chosen_mask"]), r["rejected"], cut(r["rejected"], r["rejected_mask"])) for r in pairs.collect()), key=repr)
+    assert found == brute_pairs(listed) and len({n for _, n, *_ in found}) > 3 and max(len(f[4]) for f in found) > 2
+    con = duckdb.connect()
+    con.register("conversations", pa.Table.from_pylist([{"conv_id": c, "turn": t, "role": r, "text": x} for c, t, r, x, *_ in listed], pa.schema([("conv_id", pa.int64()), ("turn", pa.int32()), ("role", pa.string()), ("text", pa.string())])))
+    assert sorted(con.sql(f"select {', '.join(pairs.columns)} from ({chat.ORACLE})").fetchall(), key=repr) == rows(pairs)
     assert chat.format_pairs(chat.pair_with_repeats(spark.createDataFrame([], TURNS)), "conv_id").count() == 0
 
 
