@@ -9,7 +9,7 @@ The method adds ``markov`` spans: tokens of 16 or more key characters, outside b
 first-order model of random strings explains better than a model of ordinary identifiers, by
 ``THRESHOLD`` nats a character or more. Both models are trained from labelled samples: random strings
 are the values of base matches in a bounded sample of documents plus seeded random strings over common
-alphabets; ordinary identifiers are the words of the sampled documents, also joined by case and
+alphabets; ordinary identifiers are the words of the sampled documents outside candidate tokens, also joined by case and
 underscores. The sample is the SAMPLE_DOCS documents with the least hash, whatever the table's size; rows
 that repeat count once.
 
@@ -84,13 +84,22 @@ def random_strings(n: int = SAMPLE_RANDOM, seed: int = SEED) -> list[str]:
     return ["".join(rng.choices(rng.choice(alphabets), k=rng.randint(16, 48))) for _ in range(n)]
 
 
+def candidate(token: str) -> bool:
+    """A digit with a letter, or both cases: other tokens are passed over."""
+    return any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token) >= 2
+
+
 def ordinary_identifiers(text: str, spans: list[tuple[int, int, str]]) -> Iterator[str]:
-    """Words outside the spans, and the names that joining them makes."""
+    """Words outside the spans, and the names that joining them makes.
+
+    Candidates have no label: a key that no base pattern matches must not count as ordinary, so they are left out.
+    """
     at, rest = 0, []
     for start, end, _ in spans:
         rest.append(text[at:start])
         at = max(at, end)
-    found = re.findall(r"[A-Za-z]+(?:[_/-][A-Za-z0-9]+)*", " ".join([*rest, text[at:]]))
+    plain = TOKEN.sub(lambda m: " " if candidate(m.group()) else m.group(), " ".join([*rest, text[at:]]))
+    found = re.findall(r"[A-Za-z]+(?:[_/-][A-Za-z0-9]+)*", plain)
     yield from found
     for a, b, c in zip(found[::9], found[1::9], found[2::9]):
         yield f"{a}_{b}_{c}"
@@ -137,8 +146,7 @@ def model_spans(text: str, spans: list[tuple[int, int, str]], ratios: np.ndarray
             at += 1
         if reach > m.start():
             continue
-        mixed = any(c.isdigit() for c in token) + any(c.islower() for c in token) + any(c.isupper() for c in token)
-        if mixed >= 2 and score(token, ratios) >= threshold:
+        if candidate(token) and score(token, ratios) >= threshold:
             found.append((m.start(), m.end(), "markov"))
     return found
 

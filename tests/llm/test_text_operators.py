@@ -1,10 +1,13 @@
 """Fingerprints, secrets, quality rules, BPE: hand-written rows, edge cases and brute force."""
 
+import base64
 import hashlib
+import importlib
 import random
 import re
 import string
 import time
+import uuid
 
 import numpy as np
 import public_tokenizers
@@ -155,6 +158,41 @@ def test_model_separates_random_strings_from_identifiers_held_out(spark):
     assert caught > 0.9 and false < 0.02
 
 
+NAMED = "argparse asyncio calendar collections configparser csv ctypes datetime decimal email.message http.client http.server imaplib inspect json locale logging.handlers mailbox multiprocessing os pathlib pickle platform selectors shutil socket socketserver sqlite3 ssl string subprocess tarfile tempfile threading tokenize traceback types typing unittest.mock urllib.parse urllib.request weakref zipfile".split()
+KEYS = {
+    "base64": lambda d: base64.b64encode(d).decode(), "urlsafe": lambda d: base64.urlsafe_b64encode(d).decode(), "base32": lambda d: base64.b32encode(d).decode(),
+    "hex": lambda d: d.hex().upper(), "base36": lambda d: np.base_repr(int.from_bytes(d, "big"), 36).lower(), "uuid": lambda d: str(uuid.UUID(bytes=d[:16], version=4)),
+}
+
+
+@pytest.mark.parametrize("length", [16, 24, 40])
+def test_model_on_names_of_another_vocabulary_and_keys_of_other_generators(spark, length):
+    """Trained on the documents as in production; names of the standard library that share no word with them, keys made from digests."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    table = secrets.train(docs)
+    known = {w.lower() for r in docs.select("text").collect() for w in re.findall("[A-Za-z]+", r["text"] or "")}
+    modules = [importlib.import_module(m) for m in NAMED]
+    names = {n for m in modules for o in (m, *(v for v in vars(m).values() if isinstance(v, type))) for n in dir(o)}
+    names = sorted(n for n in names if re.fullmatch(r"\w{16,}", n, re.ASCII) and not {w.lower() for w in re.findall("[A-Z]?[a-z]+|[A-Z]+", n)} & known)
+    flagged = [n for n in names if secrets.model_spans(n, [], table)]
+    assert len(names) > 500 and len(flagged) < 0.1 * len(names), (len(flagged), len(names))
+    for kind, form in KEYS.items():
+        keys = [form(hashlib.sha512(f"{kind}{i}".encode()).digest())[:length] for i in range(300)]
+        assert np.mean([bool(secrets.model_spans(k, [], table)) for k in keys]) >= 0.95, kind
+
+
+def test_keys_outside_the_base_patterns_get_spans_in_a_table(spark):
+    """Keys that no base pattern matches, planted in every second document and thus in the sample, come out as markov spans; other rows stay clean."""
+    texts = [(r["doc_id"], r["text"] or "") for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text").collect()]
+    keys = {d: base64.b64encode(hashlib.sha512(f"planted{d}".encode()).digest()).decode()[:32].replace("/", "x") for d, _ in texts if d % 2}
+    rows = [(d, f"{t} {keys[d]}" if d in keys else t) for d, t in texts]
+    found = {r["doc_id"]: r for r in secrets.scan_secrets(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    length = {d: len(t) for d, t in rows}
+    caught = [f"markov:{length[d] - 32}:{length[d]}" in found[d]["spans"].split(",") for d in keys]
+    assert np.mean(caught) >= 0.98, (sum(caught), len(caught))
+    assert all(found[d]["n_markov"] == 0 for d, _ in rows if d not in keys)
+
+
 def test_secret_edge_cases(spark, docs):
     assert secrets.scan_secrets(empty(spark)).count() == 0
     found = secrets.scan_secrets(docs).collect()
