@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from catalog_lake.functions import columns as C
 from catalog_lake.operators import archive, images, migrate, pricing, quality, reports
@@ -281,16 +283,27 @@ def i1(t):
     return batches(t)
 
 
+THERE = """there as (select listing_id, image_id from files union select listing_id, image_id from image_status where download_done >= 0 or url is not null
+    union select listing_id, image_id from incoming_images where url is not null)"""
+
+
+def there(t):
+    """Images with a file on disk, and those that were fetched or have an address to fetch from, of the whole tables."""
+    status = t.image_status.filter("download_done >= 0 or url is not null")
+    parts = [t.files, status, t.incoming_images.filter("url is not null")]
+    return reduce(DataFrame.unionByName, (p.select("listing_id", "image_id") for p in parts))
+
+
 @query(
     "i2_ready_batches",
-    f"""with {BATCHES}, done as (select distinct tar_name from named where batch % 10 < 2), c as (select shard, batch, tar_name, bool_and(listing_id % 97 <> 5) as full_ from named n group by 1, 2, 3),
+    f"""with {BATCHES}, done as (select distinct tar_name from named where batch % 10 < 2), {THERE}, c as (select shard, batch, tar_name, bool_and(s.listing_id is not null) as full_ from named n left join there s on s.listing_id = n.listing_id and s.image_id = n.image_id group by 1, 2, 3),
     x as (select *, max(case when tar_name not in (select tar_name from done) then 1 else 0 end) over (partition by shard order by batch rows unbounded preceding) as begun from c),
     y as (select *, max(case when begun = 1 and not full_ then 1 else 0 end) over (partition by shard order by batch rows unbounded preceding) as stopped from x) select shard, batch, tar_name from y where begun = 1 and stopped = 0""",
 )
 def i2(t):
     b = batches(t)
     done = b.filter("batch % 10 < 2").select("tar_name").distinct()
-    return archive.ready_batches(b, done, t.shard_index.filter("listing_id % 97 <> 5"))
+    return archive.ready_batches(b, done, there(t))
 
 
 MEMBERS = f"{BATCHES}, members as (select tar_name, shard_row % 100 as pos, listing_id, image_id, (listing_id * 37 + image_id * 511) % 3000 as size from named)"

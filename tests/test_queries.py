@@ -60,6 +60,17 @@ def test_every_query_has_rows_and_every_class_occurs():
     assert count(f"select * from ({ORACLES['d2_rebuild_status']}) where downloaded = 1 and listing_id % 6 = 0")  # on disk only
 
 
+def test_ready_batches_follow_the_whole_inventories(spark, tmp_path):
+    con = tables(SMALL)
+    batches = con.sql(f"select count(*) // 100 from ({ORACLES['i1_tar_batches']}) where batch % 10 >= 2").fetchall()[0][0]
+    want = con.sql(f"select shard, batch, tar_name from ({ORACLES['i2_ready_batches']})").fetchall()
+    got = QUERIES["i2_ready_batches"](spark, SMALL).select("shard", "batch", "tar_name").collect()
+    assert sorted(map(tuple, got)) == sorted(want) and 0 < len(want) < batches
+    # with a file on disk for every image all batches are ready
+    con.execute(f"copy (select * replace (l_suppkey - l_suppkey % 3 + 1 as l_suppkey) from lineitem) to '{tmp_path}/lineitem.parquet'")
+    assert QUERIES["i2_ready_batches"](spark, str(tmp_path)).count() == batches
+
+
 def test_text_embeddings_are_of_every_image(spark):
     pairs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     assert QUERIES["g4_embed_text"](spark, SMALL).count() == pairs
