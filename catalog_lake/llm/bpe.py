@@ -1,13 +1,15 @@
 """Byte-level BPE encoding and decoding by DuckDB recursive queries inside Spark partitions.
 
-Encoding: every match of the split pattern is a word. A window's words that the worker hasn't met become
-token-position rows, one per byte, each with the rank of its pair with the next row in the merge table. A
-recursive query contracts each word's leftmost pair of least rank until no word has a pair left; only the
-contracted row and the one before it join the merge table again. Where the least pair occurs again in a
-word, the step contracts the further occurrences, too, left to right, as long as contracting one by one
-would choose them next: up to the first whose product makes a pair of lower rank with a neighbour. That
-is one rule for words of any length. Words that are tokens themselves need no merges. Encoded words are
-kept in a cache of bounded size, and a document's ids are its words' ids in order.
+Encoding: every match of the split pattern is a word. A recursive query contracts the leftmost pair of
+least rank of each word that the worker hasn't met, until no word has a pair left. A word of up to
+LIST_BYTES is one row, with the list of its tokens and that of the ranks of their pairs; a step replaces
+two tokens by one and looks up its pairs with its two neighbours. A longer word is token-position rows, one
+per byte, each with the rank of its pair with the next row; only the contracted row and the one before it
+join the merge table again, and where the least pair occurs again in a word, the step contracts the further
+occurrences, too, left to right, as long as contracting one by one would choose them next: up to the first
+whose product makes a pair of lower rank with a neighbour. Both give the same ids: lists cost less for
+ordinary words, rows for long ones that repeat. Words that are tokens themselves need no merges. Encoded
+words are kept in a cache of bounded size, and a document's ids are its words' ids in order.
 
 Decoding: token-position rows of the documents of a window join the vocabulary; an aggregation in order
 of position puts each document's pieces together.
@@ -37,11 +39,27 @@ from pyspark.sql import DataFrame, functions as F
 WINDOW_CHARS = 2_000_000
 #: Bytes of unseen words in one recursive query, and tokens in one decoding query; one word or text at least.
 QUERY_BYTES = 500_000
+#: Longest word that is a row with lists, and bytes of longer words in one query of rows; one word at least.
+LIST_BYTES, ROW_BYTES = 512, 100_000
 #: Words in each of the cache's two generations.
 CACHE_WORDS = 150_000
 #: DuckDB's memory in MB; a longer word or text than QUERY_BYTES raises it in proportion.
 MEMORY = 96
 
+#: The rank of a pair that isn't in the merge table.
+NO_PAIR = 2147483647
+#: Rows of t: word, its tokens, the rank of each one's pair with the next (NO_PAIR for the last), the least rank.
+ENCODE_LISTS = f"""
+with recursive t(w, ids, ranks, least) as (
+  select w, ids, ranks, list_min(ranks) from start_words
+  union all (
+  select w, ids, ranks, list_min(ranks) from (
+    select w, ids[1:p - 1] || [least] || ids[p + 2:] as ids,
+      case when p > 1 then ranks[1:p - 2] || [coalesce(a.m, {NO_PAIR})] else ranks[1:0] end || [coalesce(b.m, {NO_PAIR})] || ranks[p + 2:] as ranks
+    from (select *, list_position(ranks, least) as p from t where least < {NO_PAIR}) as x
+    left join merges as a on a.pair = (ids[p - 1]::bigint << 32) | least left join merges as b on b.pair = (least::bigint << 32) | ids[p + 2])))
+select w, ids from t where least = {NO_PAIR}"""
+
 #: Rows of t: word, place, place and token of the next row, rank of the pair of the two. A word without a pair is done.
 ENCODE = """
 with recursive t(w, i, nxt, tok, ntok, m, done) as (
@@ -115,6 +133,7 @@ class Coder:
         self.split = regex.compile(pattern).findall
         self.ids = {token: np.uint32(rank).tobytes() for token, rank in ranks.items()}
         self.byte_ids = np.array([ranks[bytes([b])] for b in range(256)], dtype=np.int32)
+        self.byte_pairs = np.array([[ranks.get(bytes([a, b]), NO_PAIR) for b in range(256)] for a in range(256)], dtype=np.int32)
         self.con = duckdb.connect(":memory:", config={"threads": 1, "memory_limit": f"{MEMORY}MB", "temp_directory": ""})
         self.con.execute("set disabled_optimizers = 'join_order,build_side_probe_side'")  # tables of a step are built on, not the merge table
         # bytes are carried as the code points of the same number
@@ -130,6 +149,17 @@ class Coder:
         self.con.execute(f"set memory_limit = '{max(MEMORY, MEMORY * 4 * rows // QUERY_BYTES)}MB'")
 
     def _contract(self, words: list[bytes]) -> list[bytes]:
+        """Ids of each word of up to LIST_BYTES as little-endian 32-bit integers."""
+        lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
+        raw, ends = np.frombuffer(b"".join(words), dtype=np.uint8), np.cumsum(lengths)
+        ranks = np.full(len(raw), NO_PAIR, dtype=np.int32)
+        ranks[:-1] = self.byte_pairs[raw[:-1], raw[1:]]
+        ranks[ends - 1] = NO_PAIR
+        offsets = pa.array(np.append(0, ends).astype(np.int32))
+        lists = {name: pa.ListArray.from_arrays(offsets, pa.array(values)) for name, values in (("ids", self.byte_ids[raw]), ("ranks", ranks))}
+        return self._run(ENCODE_LISTS, "start_words", pa.table({"w": np.arange(len(words), dtype=np.int32)} | lists), len(words))
+
+    def _contract_long(self, words: list[bytes]) -> list[bytes]:
         """Ids of each word as little-endian 32-bit integers."""
         lengths = np.fromiter(map(len, words), dtype=np.int64, count=len(words))
         last = np.zeros(int(lengths.sum()), dtype=bool)
@@ -138,12 +168,16 @@ class Coder:
         places = np.arange(len(last), dtype=np.int32)  # over all words
         tokens = self.byte_ids[np.frombuffer(b"".join(words), dtype=np.uint8)]
         following = {"nxt": pa.array(places + 1, mask=last), "ntok": pa.array(np.roll(tokens, -1), mask=last)}
-        self.con.register("start_rows", pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "i": places, "tok": tokens} | following))
-        found = self.con.sql(ENCODE).to_arrow_table().combine_chunks()
-        self.con.unregister("start_rows")
+        start = pa.table({"w": np.repeat(np.arange(len(words), dtype=np.int32), lengths), "i": places, "tok": tokens} | following)
+        return self._run(ENCODE, "start_rows", start, len(words))
+
+    def _run(self, query: str, name: str, start: pa.Table, n: int) -> list[bytes]:
+        self.con.register(name, start)
+        found = self.con.sql(query).to_arrow_table().combine_chunks()
+        self.con.unregister(name)
         lists = found.column("ids").combine_chunks()
         offsets, flat = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4")
-        out: list[bytes] = [b""] * len(words)
+        out: list[bytes] = [b""] * n
         for w, a, b in zip(found.column("w").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
             out[w] = flat[a:b].tobytes()
         return out
@@ -152,16 +186,19 @@ class Coder:
         """Put the ids of all ``words`` into the young generation."""
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
-        unseen, raws = [], []
+        unseen: tuple[list[str], list[str]] = [], []
+        raws: tuple[list[bytes], list[bytes]] = [], []
         for word in words.difference(self.young):
             raw = word.encode()
             known = self.old.get(word) or self.ids.get(raw)
             if known is not None:
                 self.young[word] = known
             else:
-                unseen.append(word), raws.append(raw)
-        for part in runs_of(list(map(len, raws)), QUERY_BYTES):
-            self.young.update(zip(unseen[part], self._contract(raws[part]), strict=True))
+                long = len(raw) > LIST_BYTES
+                unseen[long].append(word), raws[long].append(raw)
+        for long, contract, most in ((False, self._contract, QUERY_BYTES), (True, self._contract_long, ROW_BYTES)):
+            for part in runs_of(list(map(len, raws[long])), most):
+                self.young.update(zip(unseen[long][part], contract(raws[long][part]), strict=True))
 
     def encode(self, texts: Iterator[str]) -> list[bytes]:
         """Ids of each text as little-endian 32-bit integers."""

@@ -288,6 +288,21 @@ def test_encoding_equals_the_tokenizer_library(coder):
     assert [x.decode() for x in coder.decode(ids)] == texts
 
 
+def test_many_words_of_one_length_fit_the_memory(coder):
+    """Sixteen hundred words of 300 letters ran out of DuckDB's memory as rows."""
+    own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
+    rng = random.Random(2)
+    word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
+    texts = [" ".join(word(n) for _ in range(k)) for n, k in ((300, 1600), (600, 200), (bpe.LIST_BYTES - 2, 3), (bpe.LIST_BYTES - 1, 3), (bpe.LIST_BYTES, 3))]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in coder.encode(texts)] == [own.encode_ordinary(t) for t in texts]
+
+
+def test_lists_and_rows_contract_alike(coder):
+    rng = random.Random(3)
+    words = [bytes(rng.choices(letters, k=rng.randint(2, 90))) for letters in (b"ab", b"the in", b"=-", bytes(range(256))) for _ in range(100)] + [b"a" * n for n in (2, 3, 64, 511, 512)]
+    assert coder._contract(words) == coder._contract_long(words)
+
+
 def test_bpe_edge_cases(spark, docs):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     assert bpe.code_documents(empty(spark), path, pattern).count() == 0
