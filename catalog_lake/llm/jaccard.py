@@ -17,6 +17,11 @@
    their own ship nothing; for the rest, shingle sets are compared exactly inside the task. Pairs aren't
    rows: a task returns each node's number of links and its root in the task's links.
 5. Roots are joined up by connected components; every document gets its class and number of links.
+6. Where classes alone are asked for (``drop_near_duplicates``), pairs whose nodes are in one class already
+   aren't compared, whether or not they are similar, so that a large group of near copies isn't sent to all
+   pairs of its blocks: each block is compared within itself first; then the nodes outside of a prefix's
+   largest class visit the other blocks. A prefix of n nodes, k of them outside, makes about n + k * blocks
+   rows. As pairs are left out, there is no estimate of recall: prefixes are shortened to the last depth.
 
 Defined cases: texts without words (NULL, blank) have no links, each is its own class; a NULL doc_id has
 a NULL class and no links; every other row of the same or similar words counts as a link, whether or not
@@ -156,9 +161,8 @@ def met_before(depth: int, full: int = DEPTH, trees: int = TREES) -> Column:
     return F.expr(f"filter(transform(sequence(0, {trees - 1}), t -> if(t < tree, {short}, {long})), x -> x is not null)")
 
 
-def prefix_members(nodes: DataFrame, depth: int, full: int = DEPTH, block: int | None = None) -> DataFrame:
-    """Rows (tree, prefix, i, j, own, node, doc, copies, before): the nodes of each pair of blocks (i <= j) of the prefixes that hold pairs which didn't meet at greater depth in this tree."""
-    block = block or BLOCK
+def shared_prefixes(nodes: DataFrame, depth: int, full: int = DEPTH) -> DataFrame:
+    """Rows (tree, prefix, node, n): the nodes of the prefixes that hold pairs which didn't meet at greater depth in this tree, and their number."""
     if depth < full:
         both = F.arrays_zip(prefixes(depth, full).alias("prefix"), prefixes(depth + 1, full).alias("child"))
         rows = nodes.select("node", F.posexplode(both).alias("tree", "x")).select("node", "tree", "x.prefix", "x.child")
@@ -167,8 +171,16 @@ def prefix_members(nodes: DataFrame, depth: int, full: int = DEPTH, block: int |
     else:
         rows = nodes.select("node", F.posexplode(prefixes(depth, full)).alias("tree", "prefix"))
         shared = rows.groupBy("tree", "prefix").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-    met = rows.join(shared.hint("merge"), ["tree", "prefix"])
-    met = met.withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")))
+    return rows.join(shared.hint("merge"), ["tree", "prefix"])
+
+
+def in_blocks(met: DataFrame, block: int) -> DataFrame:
+    return met.withColumn("blocks", F.expr(f"(n + {block - 1}) div {block}")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(SEED)), F.col("blocks")))
+
+
+def prefix_members(nodes: DataFrame, depth: int, full: int = DEPTH, block: int | None = None) -> DataFrame:
+    """Rows (tree, prefix, i, j, own, node, doc, copies, before): the nodes of each pair of blocks (i <= j) of the shared prefixes."""
+    met = in_blocks(shared_prefixes(nodes, depth, full), block or BLOCK)
     met = met.withColumn("other", F.explode(F.expr("sequence(0L, blocks - 1)")))
     met = met.select("tree", "prefix", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node")
     known = nodes.select("node", "doc", "copies", "signature", prefixes(depth, full).alias("shorter"))
@@ -176,6 +188,30 @@ def prefix_members(nodes: DataFrame, depth: int, full: int = DEPTH, block: int |
     return joined.select("tree", "prefix", "i", "j", "own", "node", "doc", "copies", met_before(depth, full).alias("before"))
 
 
+def class_members(met: DataFrame, nodes: DataFrame, depth: int, full: int = DEPTH) -> DataFrame:
+    """Shared prefixes' rows with what comparisons need of the nodes, ``label`` (the least node of the class so far) included."""
+    known = nodes.select("node", "doc", "copies", "label", "signature", prefixes(depth, full).alias("shorter"))
+    return met.join(known.hint("merge"), "node").withColumn("before", met_before(depth, full)).drop("signature", "shorter")
+
+
+def resident_members(members: DataFrame, block: int | None = None) -> DataFrame:
+    """Each block of a prefix by itself, as i = j."""
+    rows = in_blocks(members, block or BLOCK)
+    return rows.withColumn("i", F.col("own")).withColumn("j", F.col("own")).withColumn("core", F.lit(False))
+
+
+def visiting_members(members: DataFrame, block: int | None = None) -> DataFrame:
+    """The blocks i of a prefix with the nodes of other blocks that visit them: those outside of the prefix's largest class (not ``core``), in parts j = -1, -2, …"""
+    block = block or BLOCK
+    sizes = members.groupBy("tree", "prefix", "label").agg(F.count(F.lit(1)).alias("size"))
+    largest = sizes.groupBy("tree", "prefix").agg(F.max(F.struct("size", "label")).alias("most"), F.sum("size").alias("total"))
+    largest = largest.select("tree", "prefix", F.col("most.label").alias("largest"), F.expr(f"(total - most.size + {block - 1}) div {block}").alias("parts")).filter("parts > 0")
+    rows = in_blocks(members, block).join(largest.hint("merge"), ["tree", "prefix"]).withColumn("core", F.expr("label = largest"))
+    residents = rows.withColumn("i", F.col("own")).withColumn("j", F.explode(F.expr("sequence(-parts, -1L)")))
+    visitors = rows.filter("not core").withColumn("i", F.explode(F.expr("sequence(0L, blocks - 1)"))).filter("i <> own")
+    return residents.unionByName(visitors.withColumn("j", -1 - F.pmod(F.xxhash64("node", F.lit(SEED + 1)), F.col("parts"))))
+
+
 def group_bounds(*columns: np.ndarray) -> np.ndarray:
     """Where runs of equal rows begin in sorted columns, and the number of rows."""
     change = np.zeros(len(columns[0]), dtype=bool)
@@ -193,6 +229,13 @@ def fresh_pairs(before: np.ndarray, own: np.ndarray, across: bool) -> np.ndarray
     return np.triu(~met, 1)
 
 
+def visits(own: np.ndarray, block: int, core: np.ndarray) -> np.ndarray:
+    """Matrix of the pairs of a block's node and a visitor; of two nodes that visit each other's block the one of the lower block counts."""
+    here = own == block
+    pairs = here[:, None] & ~here[None, :] & (core[:, None] | (own[None, :] < block))
+    return pairs | pairs.T
+
+
 def sorted_table(table: pa.Table) -> tuple[pa.Table, np.ndarray]:
     table = table.sort_by([(c, "ascending") for c in ("tree", "prefix", "i", "j", "node")]).combine_chunks()
     return table, group_bounds(*(table.column(c).to_numpy() for c in ("tree", "prefix", "i", "j")))
@@ -203,8 +246,14 @@ def by_prefix(table: pa.Table, bounds: np.ndarray) -> Iterator[tuple[int, int, n
     lists = table.column("before").combine_chunks()
     flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))
     own, i, j = (table.column(c).to_numpy() for c in ("own", "i", "j"))
+    label, core = (table.column(c).to_numpy() if c in table.column_names else None for c in ("label", "core"))
     for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-        yield a, b, fresh_pairs(flat[ends[a] : ends[b]].reshape(b - a, -1), own[a:b], i[a] != j[a])
+        fresh = fresh_pairs(flat[ends[a] : ends[b]].reshape(b - a, -1), own[a:b], i[a] != j[a])
+        if label is not None:
+            fresh &= label[a:b, None] != label[None, a:b]
+        if j[a] < 0:
+            fresh &= visits(own[a:b], i[a], core[a:b])
+        yield a, b, fresh
 
 
 def with_work(key: tuple, table: pa.Table) -> pa.Table:
@@ -327,29 +376,42 @@ def count_links(threshold: float, full: int = DEPTH):
     return run
 
 
-def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
-    """(node, doc, root, root_doc, links) of every comparison that found links: from full depth up, until the estimated recall is the target."""
-    groups = 4 * max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    part = F.pmod(F.xxhash64("tree", "prefix", "i", "j"), F.lit(groups)).cast("int")
-    schema = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, doc bigint, copies bigint, before array<int>"
-    order = [x.split()[0] for x in schema.split(", ")]
+MEMBER = "tree int, prefix bigint, i bigint, j bigint, own bigint, node bigint, doc bigint, copies bigint, before array<int>"
 
-    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made = [shingle_set(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
 
-    texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_key().alias("text_key"), "text")
-    found: DataFrame | None = None
-    for depth in range(DEPTH, 0, -1):
-        work = materialise(prefix_members(nodes, depth).select(*order).groupBy(part.alias("part")).applyInArrow(with_work, schema), "members")
-        needed = nodes.select("node", "doc", "text_key").join(work.select("node").distinct().hint("merge"), "node", "left_semi")
+class Comparison:
+    """Exact comparison of rows of members: (node, doc, root, root_doc, links, pairs, missed) of every task that found links."""
+
+    def __init__(self, docs: DataFrame, nodes: DataFrame, threshold: float, schema: str = MEMBER) -> None:
+        self.nodes, self.threshold, self.schema = nodes, threshold, schema
+        self.groups = 4 * max(groups_for(docs, "text"), int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+        self.texts = docs.select(F.col("doc_id").cast("bigint").alias("doc"), text_key().alias("text_key"), "text")
+
+    def __call__(self, members: DataFrame) -> DataFrame:
+        part = F.pmod(F.xxhash64("tree", "prefix", "i", "j"), F.lit(self.groups)).cast("int")
+
+        def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                made = [shingle_set(t or "").astype("<u8").tobytes() for t in batch.column("text").to_pylist()]
+                yield pa.RecordBatch.from_arrays([batch.column("node"), pa.array(made, pa.binary())], ["node", "shingles"])
+
+        order = [x.split()[0] for x in self.schema.split(", ")]
+        work = materialise(members.select(*order).groupBy(part.alias("part")).applyInArrow(with_work, self.schema), "members")
+        needed = self.nodes.select("node", "doc", "text_key").join(work.select("node").distinct().hint("merge"), "node", "left_semi")
         # a row that is repeated is sent once: the semi-join comes before the aggregate
-        some = texts.join(needed.select("doc", "text_key").hint("merge"), ["doc", "text_key"], "left_semi")
+        some = self.texts.join(needed.select("doc", "text_key").hint("merge"), ["doc", "text_key"], "left_semi")
         once = some.groupBy("doc", "text_key").agg(F.min("text").alias("text")).join(needed.hint("merge"), ["doc", "text_key"]).select("node", "text")
         shipped = work.join(once.mapInArrow(sets, "node bigint, shingles binary").hint("merge"), "node").withColumn("part", part)
         result = "node bigint, doc bigint, root bigint, root_doc bigint, links bigint, pairs bigint, missed array<double>"
-        level = materialise(shipped.groupBy("part").applyInArrow(count_links(threshold), result), "links")
+        return materialise(shipped.groupBy("part").applyInArrow(count_links(self.threshold), result), "links")
+
+
+def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """(node, doc, root, root_doc, links) of every comparison that found links: from full depth up, until the estimated recall is the target."""
+    compared = Comparison(docs, nodes, threshold)
+    found: DataFrame | None = None
+    for depth in range(DEPTH, 0, -1):
+        level = compared(prefix_members(nodes, depth))
         found = level if found is None else found.unionByName(level)
         sums = [F.sum("pairs").alias("pairs"), *(F.sum(F.element_at("missed", d)).alias(f"m{d}") for d in range(1, depth + 1))]
         seen = found.agg(*sums).first()
@@ -359,14 +421,31 @@ def forest_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: fl
     return found
 
 
-def forest_classes(docs: DataFrame, threshold: float) -> tuple[DataFrame, DataFrame]:
-    """(signatures of every row; one row per node: words_key, node, doc and text_key of its least row, copies, links, root, class)."""
+def class_links(docs: DataFrame, nodes: DataFrame, threshold: float, recall: float = RECALL) -> DataFrame:
+    """As forest_links, to the last depth, without the links between nodes whose class is known by others."""
+    compared = Comparison(docs, nodes, threshold, f"{MEMBER}, label bigint, core boolean")
+    labelled, found = nodes.withColumn("label", F.col("node")), None
+    for depth in range(DEPTH, prefix_depth(threshold, TREES, DEPTH, recall) - 1, -1):
+        met = materialise(shared_prefixes(nodes, depth), "prefixes")
+        level = compared(resident_members(class_members(met, labelled, depth)))
+        found = level if found is None else found.unionByName(level)
+        large = met.filter(F.col("n") > BLOCK)
+        if not large.isEmpty():
+            labels = components(found.select(F.col("node").alias("a"), F.col("root").alias("b"))).withColumnRenamed("component", "label")
+            labelled = nodes.join(labels.hint("merge"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+            members = materialise(class_members(large, labelled, depth), "large")
+            found = found.unionByName(compared(visiting_members(members)))
+    return found
+
+
+def forest_classes(docs: DataFrame, threshold: float, found_by=forest_links) -> tuple[DataFrame, DataFrame]:
+    """(signatures of every row; one row per node: words_key, node, doc and text_key of its least row, copies, links (of those that ``found_by`` counts), root, class)."""
     sigs = materialise(signatures(docs), "signatures")
     known = sigs.filter("doc_id is not null and words_key is not null")
     nodes = known.groupBy("words_key").agg(F.min(F.struct("doc_id", "text_key")).alias("least"), F.count(F.lit(1)).alias("copies"), F.first("signature").alias("signature"))
     nodes = nodes.select("words_key", F.monotonically_increasing_id().alias("node"), F.col("least.doc_id").alias("doc"), "least.text_key", "copies", "signature")
     nodes = materialise(nodes, "nodes")
-    found = forest_links(docs, nodes, threshold)
+    found = found_by(docs, nodes, threshold)
     classes = components(found.select(F.struct("doc", "node").alias("a"), F.struct(F.col("root_doc").alias("doc"), F.col("root").alias("node")).alias("b")))
     classes = classes.select(F.col("node.node").alias("node"), F.col("component.node").alias("root"), F.col("component.doc").alias("class"))
     counts = found.groupBy("node").agg(F.sum("links").alias("links"))
@@ -389,7 +468,7 @@ def drop_near_duplicates(docs: DataFrame, threshold: float = THRESHOLD) -> DataF
     their tasks first, so that a row that repeats very often isn't shuffled whole. Texts without words are
     each their own class. Rows without a doc_id all stay.
     """
-    sigs, nodes = forest_classes(docs, threshold)
+    sigs, nodes = forest_classes(docs, threshold, class_links)
     first = nodes.groupBy(F.coalesce("root", "node").alias("root")).agg(F.min(F.struct("doc", "text_key")).alias("least")).select("least.*")
     blank = sigs.filter("doc_id is not null and words_key is null").select(F.col("doc_id").alias("doc"), "text_key").distinct()
     kept = first.unionByName(blank).select(F.col("doc").alias("__doc"), F.coalesce("text_key", F.lit(b"")).alias("__key"))

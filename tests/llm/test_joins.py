@@ -235,6 +235,34 @@ def test_one_row_of_each_class_stays_when_ids_repeat(spark):
     assert rows(kept) == sorted([(d, t, "x") for d, t in [(0, b), (1, least), (2, "own"), (None, a), (None, a), (3, ""), (3, None), (4, None)]], key=repr)
 
 
+def test_near_duplicates_of_a_large_group_are_not_sent_to_all_pairs_of_blocks(spark, monkeypatch):
+    rng = random.Random(9)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for d in range(240):  # most are near each other; some share prefixes with them, but are near few or none
+        w = list(base)
+        for _ in range(rng.randint(0, 2) if d % 8 else rng.randint(4, 14)):
+            w[rng.randrange(120)] = f"x{rng.random()}"
+        texts.append((d, " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id bigint, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 8)
+    sent, write = [], jaccard.materialise
+    monkeypatch.setattr(jaccard, "materialise", lambda df, kind: sent.append((kind, out := write(df, kind))) or out)
+    kept = {r["doc_id"] for r in jaccard.drop_near_duplicates(docs).collect()}
+    assert kept == {c for c, _ in brute_classes(texts).values()} and 5 < len(kept) < 60
+    # all pairs of 30 blocks would be 30 rows of each text in one tree alone
+    assert sum(df.count() for kind, df in sent if kind == "members") < 30 * len(texts)
+
+
+def test_visitors_meet_every_node_of_other_blocks_once():
+    own, core = np.array([0, 0, 0, 1, 2]), np.array([True, False, True, False, False])
+    met = np.zeros((5, 5), dtype=int)
+    for block in range(3):
+        there = np.flatnonzero((own == block) | ~core)
+        met[np.ix_(there, there)] += jaccard.visits(own[there], block, core[there])
+    assert (met == (own[:, None] != own[None, :])).all()
+
+
 def test_components_of_chains_stars_and_rings(spark):
     links = [(i, i + 1) for i in range(100, 140)] + [(7, i) for i in range(8, 30)] + [(50, 51), (51, 52), (52, 50), (60, 60)]
     found = dict(rows(graph.components(spark.createDataFrame(links, "a bigint, b bigint"))))
