@@ -289,7 +289,6 @@ def test_encoding_equals_the_tokenizer_library(coder):
 
 
 def test_many_words_of_one_length_fit_the_memory(coder):
-    """Sixteen hundred words of 300 letters ran out of DuckDB's memory as rows."""
     own = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken")), special_tokens={})
     rng = random.Random(2)
     word = lambda n: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=n))
@@ -303,6 +302,17 @@ def test_lists_and_rows_contract_alike(coder):
     assert coder._contract(words) == coder._contract_long(words)
 
 
+def test_ordinary_words_cost_less_than_rows_of_tokens(coder):
+    rng = random.Random(5)
+    words = sorted({"".join(rng.choices("etaoinshrdlu", k=rng.randint(5, 14))) for _ in range(30_000)})
+    begin = time.process_time()
+    coder.encode([" ".join(words)])
+    middle = time.process_time()
+    for part in bpe.runs_of(list(map(len, words)), 100_000):
+        coder._contract_long([w.encode() for w in words[part]])
+    assert middle - begin < 0.75 * (time.process_time() - middle)
+
+
 def test_bpe_edge_cases(spark, docs):
     path, pattern = public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN
     assert bpe.code_documents(empty(spark), path, pattern).count() == 0
