@@ -321,9 +321,29 @@ def i3(t):
 
 @query("i4_i5_pack_scan_tars", f"""with {MEMBERS}, {OFFSETS} select tar_name, concat(cast(listing_id as string), '_', cast(image_id as string), '.jpg') as member, offset_ as "offset", size from offsets""")
 def i4(t):
-    m = packable(t)
-    folder = new_folder(t)
-    return archive.scan_tars(archive.pack_tars(m, folder), folder)
+    def use(m, folder):
+        stored(packed(m, folder))
+        return archive.scan_tars(m, folder)
+
+    return archive.in_rounds(members(t), use)
+
+
+def member():
+    return F.format_string("%d_%d.jpg", "listing_id", "image_id")
+
+
+def body():
+    return F.coalesce(F.expr("cast(rpad('', int(size), cast(listing_id as string)) as binary)"), F.lit(b""))
+
+
+def packed(m, folder):
+    """Tars of members, whose contents are built from their keys."""
+    return archive.pack_tars(m.withColumn("member", member()), folder, body())
+
+
+def stored(df) -> None:
+    """Run a writer to its end."""
+    df.write.format("noop").mode("overwrite").save()
 
 
 def packable(t):

@@ -1,6 +1,7 @@
 """Catalogue operators on the boundary rows that decide their results."""
 
 import hashlib
+import io
 import json
 import os
 import struct
@@ -8,6 +9,7 @@ import tarfile
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -350,6 +352,31 @@ def test_tars_are_streamed_in_small_batches(spark, tmp_path):
     assert archive.pack_tars(empty.limit(0), folder).count() == 0
 
 
+def test_headers_are_those_of_tarfile(tmp_path):
+    names, sizes = ["a", "b" * 100, "\u00e9.jpg", "x/" * 60 + "y", "7_1.jpg"], np.array([0, 1, 512, 7000, (1 << 33) - 1])
+    blocks = archive.tar_headers(names, sizes)
+    for k, (name, size) in enumerate(zip(names, sizes, strict=True)):
+        info, block = tarfile.TarInfo(name), blocks[k * 512 : (k + 1) * 512]
+        info.size = int(size)
+        assert block == info.tobuf(tarfile.USTAR_FORMAT)
+        assert archive.plain_header(block) == (None if len(name) > 100 else (name, size))
+    # other members than plain files, and a broken header, are left to tarfile
+    with tarfile.open(tmp_path / "t.tar", "w") as tar:
+        for name in ("1_1.jpg", "l" * 150, "2_1.jpg"):
+            info = tarfile.TarInfo(name)
+            info.size = 600
+            tar.addfile(info, io.BytesIO(bytes(600)))
+    with tarfile.open(tmp_path / "t.tar") as tar:
+        want = [(m.name, m.offset, m.size) for m in tar]
+    listed = lambda: archive.list_tar(pa.OSFile(str(tmp_path / "t.tar")))
+    assert len(want) == 3 and listed() == want
+    raw = bytearray((tmp_path / "t.tar").read_bytes())
+    raw[0] ^= 1
+    (tmp_path / "t.tar").write_bytes(raw)
+    with pytest.raises(tarfile.ReadError):
+        listed()
+
+
 def test_ready_batches_stop_at_the_first_gap(spark):
     batches = frame(spark, [(0, b, f"t{b}", b, 1) for b in range(5)], "shard int, batch int, tar_name string, listing_id bigint, image_id bigint")
     files = frame(spark, [(i, 1) for i in (1, 2, 4)], "listing_id bigint, image_id bigint")

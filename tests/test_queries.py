@@ -10,10 +10,13 @@ import duckdb
 import pandas as pd
 import pytest
 
+from catalog_lake.operators import archive
 from catalog_lake.plans import ORACLES, QUERIES
 from catalog_lake.plans.fixtures import BASE
 
 SMALL = "/root/testdata/sf0.001"
+#: Queries that pack tars, read them and delete them, some at a time.
+IN_ROUNDS = ("i4_i5_pack_scan_tars",)
 #: One or two of each family; the whole set runs in the driver's comparison.
 CHOSEN = ("g7_incomplete_rows", "g11_check_shard_rows", "g12_embedded_rows", "j7_row_consistency", "a7_drop_imageless_pages", "a9_ingest_report", "c5_embed_report", "d2_rebuild_report", "k2_stream_upsert_stored", "s2_versioned_deletion", "a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
 
@@ -71,6 +74,22 @@ def test_ready_batches_follow_the_whole_inventories(spark, tmp_path):
     assert QUERIES["i2_ready_batches"](spark, str(tmp_path)).count() == batches
 
 
+@pytest.mark.parametrize("name", IN_ROUNDS)
+def test_tars_of_a_round_alone_lie_on_disk(spark, monkeypatch, name):
+    left = lambda: set(Path(spark.conf.get("spark.checkpoint.dir").removeprefix("file://")).rglob("*.tar"))
+    before, delete, rounds = left(), archive._delete, []
+
+    def counted(session, path):
+        if "/round-" in path:
+            rounds.append(sum(p.stat().st_size for p in left() - before))
+        delete(session, path)
+
+    monkeypatch.setattr(archive, "ROUND_BYTES", 1 << 20)
+    monkeypatch.setattr(archive, "_delete", counted)
+    test_query_equals_sql(spark, name)
+    assert len(rounds) > 1 and 0 < max(rounds) < sum(rounds) and left() == before
+
+
 def test_text_embeddings_are_of_every_image(spark):
     pairs = spark.read.parquet(f"{SMALL}/lineitem.parquet").select("l_orderkey", "l_linenumber").distinct().count()
     assert QUERIES["g4_embed_text"](spark, SMALL).count() == pairs
