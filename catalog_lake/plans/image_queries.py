@@ -364,13 +364,16 @@ def new_folder(t):
 )
 def i6(t):
     """Of ten tars one lacks its last member, and one has other contents than its sources."""
-    from catalog_lake.session import materialise
-
     kind = F.substring("tar_name", 10, 5).cast("int") % 10
-    m, folder = materialise(packable(t), "members"), new_folder(t)
-    scanned = materialise(archive.scan_tars(archive.pack_tars(m.filter((F.col("pos") < 99) | (kind != 4)), folder), folder), "scan")
-    sources = m.withColumn("content", F.when(kind == 3, F.concat("content", F.lit(b"x"))).otherwise(F.col("content")))
-    return archive.check_tars(scanned, sources, folder, expected=100, sample=10)
+
+    def use(m, folder):
+        stored(packed(m.filter((F.col("pos") < 99) | (kind != 4)), f"{folder}/tars"))
+        scanned = archive.scan_tars(m, f"{folder}/tars")
+        scanned.write.parquet(f"{folder}/scan")
+        sources = m.select("tar_name", member().alias("member"), F.when(kind == 3, F.concat(body(), F.lit(b"x"))).otherwise(body()).alias("content"))
+        return archive.check_tars(t._spark.read.schema(scanned.schema).parquet(f"{folder}/scan"), sources, f"{folder}/tars", expected=100, sample=10)
+
+    return archive.in_rounds(members(t), use)
 
 
 @query("i7_mark_tarred", f"with {BATCHES} select s.listing_id, s.image_id, is_primary, url, case when download_done = 2 and n.listing_id is not null then 3 else download_done end as download_done from image_status s left join named n on n.listing_id = s.listing_id and n.image_id = s.image_id and n.batch % 10 < 5")
