@@ -414,12 +414,12 @@ def i11(t):
 
 @query("i12_read_members", f"with {MEMBERS} select tar_name, concat(cast(listing_id as string), '_', cast(image_id as string), '.jpg') as member, size from members")
 def i12(t):
-    from catalog_lake.session import materialise
+    def use(m, folder):
+        stored(packed(m, folder))
+        wanted = m.select("tar_name", member().alias("member"))
+        return archive.read_members(archive.scan_tars(m, folder).join(wanted, ["tar_name", "member"]), folder).select("tar_name", "member", F.length("content").cast("bigint").alias("size"))
 
-    folder = new_folder(t)
-    scanned = materialise(archive.scan_tars(archive.pack_tars(packable(t), folder), folder), "scan")
-    wanted = members(t).select("tar_name", F.format_string("%d_%d.jpg", "listing_id", "image_id").alias("member"))
-    return archive.read_members(scanned.join(wanted, ["tar_name", "member"]), folder).select("tar_name", "member", F.length("content").cast("bigint").alias("size"))
+    return archive.in_rounds(members(t), use)
 
 
 @query("j1_status_counts", "select " + ", ".join(f"count(*) filter (where download_done = {s}) as {n}" for s, n in ((-1, "status_dead"), (0, "status_0"), (1, "status_1"), (2, "status_2"), (3, "status_3"), (4, "status_4"), (2, "downloaded"), (0, "pending"))) + ", count(*) as total from image_status")
