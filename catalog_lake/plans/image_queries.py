@@ -346,17 +346,6 @@ def stored(df) -> None:
     df.write.format("noop").mode("overwrite").save()
 
 
-def packable(t):
-    body = F.expr("cast(rpad('', int(size), cast(listing_id as string)) as binary)")
-    return members(t).select("tar_name", "pos", F.format_string("%d_%d.jpg", "listing_id", "image_id").alias("member"), F.coalesce(body, F.lit(b"")).alias("content"))
-
-
-def new_folder(t):
-    from catalog_lake.session import new_path
-
-    return new_path(t._spark, "tars")
-
-
 @query(
     "i6_check_tars",
     f"""with {MEMBERS}, m as (select *, cast(substr(tar_name, 10, 5) as int) % 10 as kind from members where pos < 99 or cast(substr(tar_name, 10, 5) as int) % 10 <> 4)

@@ -14,7 +14,7 @@ from catalog_lake.numbering import number_rows
 from catalog_lake.operators import archive, ingest
 from catalog_lake.operators.merge import insert_or_ignore
 from catalog_lake.plans.fixtures import NOW
-from catalog_lake.plans.image_queries import MEMBERS, OFFSETS, config, members, packable
+from catalog_lake.plans.image_queries import MEMBERS, OFFSETS, config, members, packed, stored
 from catalog_lake.plans.merge_queries import payloads
 from catalog_lake.plans.registry import ORACLES, query
 from catalog_lake.session import new_path
@@ -116,9 +116,11 @@ def s4(t):
 
 @query("s5_read_file_inventory", f"with {MEMBERS}, s as (select tar_name as name, sum(512 + (size + 511) DIV 512 * 512) + 1024 as n from members group by 1) select name, cast(null as bigint) as listing_id, cast((n + 10239) DIV 10240 * 10240 as bigint) as size from s")
 def s5(t):
-    folder = new_path(t._spark, "tars")
-    archive.pack_tars(packable(t), folder).write.format("noop").mode("overwrite").save()
-    return readers.read_file_inventory(t._spark, folder).select("name", "listing_id", "size")
+    def use(m, folder):
+        stored(packed(m, folder))
+        return readers.read_file_inventory(t._spark, folder).select("name", "listing_id", "size")
+
+    return archive.in_rounds(members(t), use)
 
 
 @query("s7_read_legacy_metadata", "select listing_id, error, case when error is null and image_id is distinct from 9999999999 then shop_id end as shop_id, case when error is null then image_id end as image_id from legacy_meta")

@@ -16,7 +16,7 @@ from catalog_lake.plans.fixtures import BASE
 
 SMALL = "/root/testdata/sf0.001"
 #: Queries that pack tars, read them and delete them, some at a time.
-IN_ROUNDS = ("i4_i5_pack_scan_tars", "i6_check_tars", "i12_read_members")
+IN_ROUNDS = ("i4_i5_pack_scan_tars", "i6_check_tars", "i12_read_members", "s5_read_file_inventory")
 #: One or two of each family; the whole set runs in the driver's comparison.
 CHOSEN = ("g7_incomplete_rows", "g11_check_shard_rows", "g12_embedded_rows", "j7_row_consistency", "a7_drop_imageless_pages", "a9_ingest_report", "c5_embed_report", "d2_rebuild_report", "k2_stream_upsert_stored", "s2_versioned_deletion", "a6_image_rows", "b2_staleness_gate", "b5_upsert_images", "c2_shops_for_reviews", "d1_reconcile_downloads", "e3_to_image_status", "f5_bucket_counts", "g9_append_to_shards", "h5_consensus", "i3_member_offsets", "j5_compare_inventories")
 
