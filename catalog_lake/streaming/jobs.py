@@ -5,6 +5,7 @@ from __future__ import annotations
 import json
 from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -106,21 +107,77 @@ def stream_recent_reviews(stream: DataFrame, late: str = "30 days") -> DataFrame
     return timed.dropna(subset=["shop_id", "listing_id", "create_timestamp"]).dropDuplicatesWithinWatermark(["shop_id", "listing_id", "create_timestamp"])
 
 
-def stream_after_watermark(stream: DataFrame, watermarks: DataFrame | None = None, default: int = DEFAULT_WATERMARK) -> DataFrame:
-    """Reviews newer than all of their shop's earlier micro-batches, with the shop's newest time as state.
+#: Buckets that the shops of a stream are dealt to; a stream's state is kept by bucket, so that it can't go on with another number.
+BUCKETS = 2048
+TIMED = ("listing_id", "create_timestamp", "ord")
+
 
-    watermarks, what was fetched before the stream began, has shop_id and last_ts; other shops begin with ``default``.
+class NewestTimes(StatefulProcessor):
+    """The newest time of each shop of a bucket, as two arrays, seeded from a stored table.
+
+    One call and one state row for a bucket in place of one for each shop. A batch's rows of a shop are kept up to the first
+    that isn't newer than the shop's time before the batch.
     """
 
-    def newer(rows: pd.DataFrame, last: int | None) -> tuple[pd.DataFrame, int | None]:
-        last = default if last is None else last
-        kept = rows[(rows["create_timestamp"].fillna(0) > last).cumprod().astype(bool)]
-        now = max(last, int(kept["create_timestamp"].max())) if len(kept) else None
-        return kept[["shop_id", "listing_id", "create_timestamp", "ord"]], now
+    def __init__(self, default: int) -> None:
+        self.default = default
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.newest = handle.getValueState("newest", "shops binary, times binary")
 
-    rows = stream.select("shop_id", "listing_id", "create_timestamp", "ord")
-    stored = None if watermarks is None else watermarks.select("shop_id", "last_ts")
-    return seeded(rows, "shop_id", "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint", LastSeen("last_ts", ("ord",), newer, default), stored)
+    def _known(self) -> tuple[np.ndarray, np.ndarray]:
+        stored = self.newest.get() if self.newest.exists() else (b"", b"")
+        return np.frombuffer(stored[0], np.int64), np.frombuffer(stored[1], np.int64)
+
+    def _add(self, shops: np.ndarray, times: np.ndarray) -> None:
+        """Replace or add times; shops are kept sorted."""
+        known, before = self._known()
+        stays = ~np.isin(known, shops)
+        shops, times = np.concatenate((known[stays], shops)), np.concatenate((before[stays], times))
+        order = np.argsort(shops)
+        self.newest.update((shops[order].tobytes(), times[order].tobytes()))
+
+    def handleInitialState(self, key: tuple, initialState: pd.DataFrame, timerValues) -> None:  # noqa: N802, N803
+        self._add(initialState["shop_id"].to_numpy(np.int64), initialState["last_ts"].to_numpy(np.int64))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        frame = pd.concat(list(rows), ignore_index=True).sort_values(["shop_id", "no_ord", "ord"], kind="stable")
+        shop, created = frame["shop_id"].to_numpy(np.int64), frame["create_timestamp"].to_numpy(np.int64)
+        first = np.flatnonzero(np.concatenate(([True], shop[1:] != shop[:-1])))
+        known, times = self._known()
+        last = np.full(len(first), self.default, np.int64)
+        if len(known):
+            place = np.minimum(np.searchsorted(known, shop[first]), len(known) - 1)
+            last = np.where(known[place] == shop[first], times[place], last)
+        of = np.repeat(np.arange(len(first)), np.diff(np.append(first, len(shop))))
+        older = created <= last[of]
+        upto = np.cumsum(older)
+        kept = upto == (upto - older)[first][of]  # none of the shop's rows up to this one is older
+        now = np.maximum.reduceat(np.where(kept, created, last[of]), first)
+        if (changed := now > last).any():
+            self._add(shop[first][changed], now[changed])
+        yield frame.loc[kept, ["shop_id", *TIMED, *(f"no_{c}" for c in TIMED)]]
+
+    def close(self) -> None:
+        pass
+
+
+def stream_after_watermark(stream: DataFrame, watermarks: DataFrame | None = None, default: int = DEFAULT_WATERMARK) -> DataFrame:
+    """Reviews newer than all of their shop's earlier micro-batches, with the shop's newest time as state.
+
+    watermarks, what was fetched before the stream began, has shop_id and last_ts, a row for each shop at most; other shops
+    begin with ``default``. Rows without a shop have no state and are left out.
+    """
+    keep_state_in_rocksdb(stream.sparkSession)
+    shop = F.col("shop_id").cast("bigint")
+    bucket = F.pmod(F.xxhash64(shop), F.lit(BUCKETS)).cast("int").alias("bucket")
+    # NULLs as flags, or one would make numbers of the whole bucket inexact
+    number = [F.coalesce(F.col(c).cast("bigint"), F.lit(0)).alias(c) for c in TIMED]
+    rows = stream.filter("shop_id is not null").select(bucket, shop.alias("shop_id"), *number, *(F.col(c).isNull().alias(f"no_{c}") for c in TIMED))
+    stored = None if watermarks is None else watermarks.filter("shop_id is not null").select(bucket, shop.alias("shop_id"), F.coalesce(F.col("last_ts").cast("bigint"), F.lit(default)).alias("last_ts")).groupBy("bucket")
+    schema = ", ".join(f"{c} bigint" for c in ("shop_id", *TIMED)) + "".join(f", no_{c} boolean" for c in TIMED)
+    kept = rows.groupBy("bucket").transformWithStateInPandas(NewestTimes(default), schema, "append", "none", stored)
+    return kept.select("shop_id", *(F.when(~F.col(f"no_{c}"), F.col(c)).alias(c) for c in TIMED))
 
 
 def stream_reconcile(files: DataFrame, table: VersionedTable, checkpoint: str, **trigger):

@@ -175,3 +175,31 @@ def test_reviews_after_stored_watermarks(spark, tmp_path):
     q = jobs.stream_after_watermark(landed(spark, reviews, str(tmp_path / "in"), 1), marks).writeStream.format("memory").queryName("after_stored").outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination(180)
     assert rows(spark.table("after_stored"), "shop_id", "ord") == [(2, 1), (2, 4), (3, 2)]
+
+
+@pytest.mark.parametrize("files", [1, 3])
+def test_watermarks_of_many_shops_are_kept_by_bucket(spark, tmp_path, monkeypatch, files):
+    monkeypatch.setattr(jobs, "BUCKETS", 3)
+    big = 1 << 60
+    data = [(o % 40 if o % 97 else None, None if o % 13 == 0 else big + o, None if o % 11 == 0 else 5000 + (o * 37) % 900 * (o % 7 > 0), big + o) for o in range(600)]
+    schema = "shop_id bigint, listing_id bigint, create_timestamp bigint, ord bigint"
+    marks = {k: None if k % 8 == 1 else 5000 + k for k in range(0, 50) if k % 4}
+    stream = landed(spark, spark.createDataFrame(data, schema), str(tmp_path / "in"), files)
+    stored = spark.createDataFrame(list(marks.items()), "shop_id bigint, last_ts bigint")
+    kept = jobs.stream_after_watermark(stream, stored, default=4000).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+    q = kept.option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    q.awaitTermination(180)
+    last, want = {k: 4000 if v is None else v for k, v in marks.items()}, []
+    for k in range(files):
+        newest, stopped = dict(last), set()
+        for row in data[k * 600 // files : (k + 1) * 600 // files]:
+            shop, _, created, _ = row
+            if shop is not None and shop not in stopped:
+                if (created or 0) > last.get(shop, 4000):
+                    want.append(row)
+                    newest[shop] = max(newest.get(shop, 4000), created)
+                else:
+                    stopped.add(shop)
+        last = newest
+    assert rows(spark.read.schema(schema).parquet(str(tmp_path / "out"))) == sorted(want, key=repr) and len(want) > 50
+    assert jobs.progress(q)["batches"] >= files and q.lastProgress["stateOperators"][0]["numRowsTotal"] == 3
