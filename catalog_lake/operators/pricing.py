@@ -12,7 +12,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
-from catalog_lake.session import materialise
+from catalog_lake.session import materialise, new_path
 
 UNBOUNDED = 1_000_000.0
 PAGING_CAP = 10_000
@@ -22,18 +22,26 @@ GROW_TARGET, HALVE_TARGET = 5_000, 8_000
 def descendants(nodes: DataFrame, root: int) -> DataFrame:
     """(id, name, depth, path): root and everything below it; sort by path for pre-order.
 
-    A recursive query: up to spark.sql.cteRecursionLevelLimit levels and cteRecursionRowLimit rows, beyond which it fails.
+    Level by level: a join for each, which is stored, until one is empty. There is no limit on levels or rows. A node that
+    is below itself is an error, as levels would never end; for that a row holds the ids above it.
     """
-    return nodes.sparkSession.sql(
-        """with recursive tree as (
-            select id, name, 0 as depth, cast('' as string) as path from {nodes} where id = {root}
-            union all
-            select n.id, n.name, t.depth + 1, concat(t.path, '/', lpad(cast(n.ord as string), 6, '0'))
-            from {nodes} n join tree t on n.parent_id = t.id)
-        select * from tree""",
-        nodes=nodes,
-        root=int(root),
-    )
+    spark = nodes.sparkSession
+    path = new_path(spark, "levels")
+    level = nodes.filter(F.col("id") == int(root)).select("id", "name", F.lit(0).alias("depth"), F.lit("").alias("path"), F.array(F.col("id")).alias("above"))
+    schema, depth = level.schema, 0
+    step = nodes.select(F.col("parent_id").alias("__up"), F.col("id").alias("__id"), F.col("name").alias("__name"), F.lpad(F.col("ord").cast("string"), 6, "0").alias("__ord"))
+    while True:
+        level.write.parquet(f"{path}/level={depth}")
+        done = spark.read.schema(schema).parquet(f"{path}/level={depth}")
+        if done.isEmpty():
+            break
+        depth += 1
+        again = F.raise_error(F.concat(F.lit("a node is below itself: "), F.col("__id").cast("string"))).cast("bigint")
+        level = step.join(done, F.col("__up") == F.col("id")).select(
+            F.when(F.array_contains("above", F.col("__id")), again).otherwise(F.col("__id")).alias("id"), F.col("__name").alias("name"), F.lit(depth).alias("depth"),
+            F.concat("path", F.lit("/"), "__ord").alias("path"), F.array_append("above", F.col("__id")).alias("above"),
+        )
+    return spark.read.schema(schema).parquet(*(f"{path}/level={k}" for k in range(depth + 1))).drop("above")
 
 
 def leaves(nodes: DataFrame, root: int) -> DataFrame:

@@ -219,6 +219,12 @@ def test_taxonomy_tree(spark):
     assert rows(pricing.leaves(nodes, 1), "id") == [(3,), (4,)]
 
 
+def test_leaves_of_many_rows(spark):
+    n = 1_000_100
+    wide = spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.lit(0)).cast("bigint").alias("parent_id"), F.lit("n").alias("name"), F.lit(7).alias("ord"))
+    assert pricing.leaves(wide, 0).agg(F.count("id"), F.min("id")).collect() == [(n - 1, 1)]
+
+
 # ---- vectors and search
 
 
