@@ -219,12 +219,25 @@ def test_taxonomy_tree(spark):
     assert rows(pricing.leaves(nodes, 1), "id") == [(3,), (4,)]
 
 
+def test_trees_have_no_limit_of_rows(spark):
+    n = 1_000_100  # more than a recursive query gives
+    wide = spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.lit(0)).cast("bigint").alias("parent_id"), F.lit("n").alias("name"), F.lit(7).alias("ord"))
+    assert pricing.descendants(wide, 0).agg(F.count("id"), F.max("depth"), F.max("path")).collect() == [(n, 1, "/000007")]
+    assert pricing.descendants(wide, -1).count() == 0
+
+
 def test_leaves_of_many_rows(spark):
     n = 1_000_100
     wide = spark.range(n).select(F.col("id"), F.when(F.col("id") > 0, F.lit(0)).cast("bigint").alias("parent_id"), F.lit("n").alias("name"), F.lit(7).alias("ord"))
     assert pricing.leaves(wide, 0).agg(F.count("id"), F.min("id")).collect() == [(n - 1, 1)]
 
 
+def test_a_node_below_itself_is_an_error(spark):
+    ring = frame(spark, [(1, 3, "a", 0), (2, 1, "b", 0), (3, 2, "c", 0)], "id bigint, parent_id bigint, name string, ord int")
+    with pytest.raises(Exception, match="below itself: 1"):
+        pricing.descendants(ring, 1)
+
+
 # ---- vectors and search
 
 
