@@ -371,6 +371,18 @@ def test_tars_are_streamed_in_small_batches(spark, tmp_path):
     assert archive.pack_tars(empty.limit(0), folder).count() == 0
 
 
+def test_tars_from_the_hundred_thousandth_on_have_names_of_their_own(spark):
+    index = spark.range(40).select((F.lit(9_999) + F.col("id").cast("int").bitwiseAND(1)).alias("shard"), F.expr("id div 2").alias("shard_row"), F.col("id").alias("listing_id"), F.lit(1).alias("image_id"))
+    batches = archive.tar_batches(index, 2, 20)
+    names = sorted({r[0] for r in batches.select("tar_name").collect()})
+    assert names == sorted(f"imageall_{k:05d}.tar" for k in range(99_990, 100_010))
+    # names cut to five digits would make the last tar there those of all ten
+    done = batches.filter("batch = 100000").select("tar_name").distinct()
+    ready = archive.ready_batches(batches.filter("shard = 10000"), done, index)
+    assert rows(ready, "batch") == [(k,) for k in range(100_001, 100_010)]
+    assert rows(archive.member_offsets(batches.withColumns({"pos": F.expr("shard_row % 2"), "size": F.lit(1)})), "offset") == [(0,)] * 20 + [(1024,)] * 20
+
+
 def test_headers_are_those_of_tarfile(tmp_path):
     names, sizes = ["a", "b" * 100, "\u00e9.jpg", "x/" * 60 + "y", "7_1.jpg"], np.array([0, 1, 512, 7000, (1 << 33) - 1])
     blocks = archive.tar_headers(names, sizes)
